@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe_codec, chat_tree, piece_count, secret_scan, topk, warc
+from sparkloom.llm import bpe_codec, chat_tree, minhash, piece_count, secret_scan, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(table(spark, sf_dir, "pages"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.NearDup(width=3, percent=85))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -45,7 +49,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_chat_prefix_tree, op4_warc_transactions, op6_byte_bpe_roundtrip, op7_exact_topk, op9_piece_counts, op10_secret_scan)
+QUERIES = (op1_chat_prefix_tree, op4_warc_transactions, op5_minhash_near_dedup, op6_byte_bpe_roundtrip, op7_exact_topk, op9_piece_counts, op10_secret_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
