@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe_codec, chat_tree, minhash, piece_count, secret_scan, topk, warc
+from sparkloom.llm import bpe_codec, chat_tree, langid, minhash, piece_count, secret_scan, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,18 @@ def op1_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tree.read_back(chat_tree.build(turns.unionByName(more)))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, learn=langid.learnable("doc_id"))
+    return langid.classify(docs, model).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=~toxicity.held_out("doc_id"))
+    return toxicity.classify(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "evidence")
+
+
 def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(table(spark, sf_dir, "pages"))
 
@@ -49,7 +61,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_chat_prefix_tree, op4_warc_transactions, op5_minhash_near_dedup, op6_byte_bpe_roundtrip, op7_exact_topk, op9_piece_counts, op10_secret_scan)
+QUERIES = (op1_chat_prefix_tree, op2_language_id, op3_toxicity_neighbours, op4_warc_transactions, op5_minhash_near_dedup, op6_byte_bpe_roundtrip, op7_exact_topk, op9_piece_counts, op10_secret_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
