@@ -38,7 +38,7 @@ class NearDup:
     width: int = 5
     percent: int = 80
     k: int = 32
-    estimate_k: int = 128
+    estimate_k: int = 256
     block: int = 1024
     deviations: float = 4.5
 
@@ -106,15 +106,16 @@ def _size_fits(a: Column, b: Column, how: NearDup) -> Column:
 
 def _estimates(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     """Pairs (a, b) whose union-sketch estimate can reach the threshold."""
-    low = lambda side: sets.select(F.col("cls").alias(side), F.slice("set", 1, how.estimate_k).alias(f"low_{side}"), (F.size("set") > how.estimate_k).alias(f"cut_{side}"))
+    low = lambda side: sets.select(F.col("cls").alias(side), F.slice("set", 1, how.estimate_k).alias(f"low_{side}"), (F.size("set") > how.estimate_k).alias(f"cut_{side}"), F.size("set").alias(f"n_{side}"))
     both = pairs.join(low("a"), "a").join(low("b"), "b")
     last = lambda s: F.when(F.col(f"cut_{s}"), F.element_at(f"low_{s}", -1)).otherwise(F.lit(2**63 - 1))
     edge = both.withColumn("edge", F.least(last("a"), last("b")))
     inside = lambda s: F.size(F.filter(f"low_{s}", lambda x: x <= F.col("edge")))
-    counted = edge.select("a", "b", F.size(F.array_intersect("low_a", "low_b")).alias("i"), (inside("a") + inside("b")).alias("ab"), (F.col("cut_a") | F.col("cut_b")).alias("cut"))
+    counted = edge.select("a", "b", F.size(F.array_intersect("low_a", "low_b")).alias("i"), (inside("a") + inside("b")).alias("ab"), (F.col("n_a") + F.col("n_b")).alias("n_ab"))
     t = how.percent / 100
     u = F.col("ab") - F.col("i")
-    room = F.when(F.col("cut"), how.deviations * F.sqrt(F.lit(t * (1 - t)) / u)).otherwise(1e-9)
+    # The sketch draws u of the union's elements without putting back; at similarity t the union has n_ab / (1 + t).
+    room = how.deviations * F.sqrt(F.lit(t * (1 - t)) / u * F.greatest(F.lit(0.0), 1 - u * (1 + t) / F.col("n_ab"))) + 1e-9
     return counted.where(F.col("i") / u >= t - room).select("a", "b")
 
 
@@ -151,8 +152,9 @@ def block_pairs(value: int, cls, label, n, prefix, low, cut, left, right, how: N
     ab = size_i + size_i.T
     union = ab - inter
     t = how.percent / 100
-    any_cut = cut[:, None] | cut[None, :]
-    room = np.where(any_cut, how.deviations * np.sqrt(t * (1 - t) / np.maximum(union, 1)), 1e-9)
+    drawn = np.maximum(union, 1)
+    rest = np.maximum(1 - drawn * (1 + t) / (n[:, None] + n[None, :]), 0)
+    room = how.deviations * np.sqrt(t * (1 - t) / drawn * rest) + 1e-9
     _, lab = np.unique(label, return_inverse=True)
     fits = np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * how.percent
     ok = fits & (inter >= (t - room) * union) & (lab[:, None] != lab[None, :]) & left[:, None] & right[None, :]
