@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe_codec, chat_tree, langid, minhash, piece_count, secret_scan, topk, toxicity, warc
+from sparkloom.llm import bpe_codec, chat_tree, decontam, langid, minhash, piece_count, secret_scan, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op6_byte_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_count.count_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -61,7 +65,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_chat_prefix_tree, op2_language_id, op3_toxicity_neighbours, op4_warc_transactions, op5_minhash_near_dedup, op6_byte_bpe_roundtrip, op7_exact_topk, op9_piece_counts, op10_secret_scan)
+QUERIES = (op1_chat_prefix_tree, op2_language_id, op3_toxicity_neighbours, op4_warc_transactions, op5_minhash_near_dedup, op6_byte_bpe_roundtrip, op7_exact_topk, op8_template_decontamination, op9_piece_counts, op10_secret_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
