@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import corpus
+from sparkloom.plans import corpus, training
 
-REGISTRIES = (corpus.R,)
+REGISTRIES = (corpus.R, training.R)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
