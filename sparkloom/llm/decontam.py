@@ -10,7 +10,6 @@ exchanged throughout is caught, and a chance likeness of form is not.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,12 +21,12 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import materialise
 from sparkloom.llm.shingles import mix
 
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
+#: Characters canonicalised at once; a longer text is a chunk of its own.
+CHUNK = 500_000
 #: Words that are units after a number.
 UNITS = frozenset("mm cm m km in ft mi mile miles inch inches foot feet yard yards mg g kg t lb lbs oz ounce ounces pound pounds ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh hz khz mhz ghz w kw mw v a ohm j kj cal kcal pa bar k c f degree degrees percent dollar dollars euro euros cent cents usd eur gbp".split())
 NUM, NAME, UNIT = 8, 16, 24
 _TYPES = {NUM: "num", NAME: "name", UNIT: "unit"}
-_CAPITAL, _UNIT, _BREAK = 1, 2, 4
 _U = np.uint64
 
 
@@ -44,87 +43,135 @@ class Settings:
     most_broadcast: int = 2_000_000
 
 
-class Canon:
-    """Turns texts into template codes; the hash of a word is kept for a bounded number of words."""
-
-    def __init__(self, most: int = 400_000):
-        self.kept: dict[str, int] = {}
-        self.most = most
-
-    def _code(self, token: str) -> int:
-        import xxhash
-
-        if token in ".!?\n":
-            return _BREAK
-        if token[0].isdigit():
-            return NUM
-        low = token.lower()
-        flags = (_CAPITAL if len(token) > 1 and token[0].isupper() and token[1:].islower() else 0) | (_UNIT if low in UNITS else 0)
-        return (xxhash.xxh64_intdigest(low) & ~31) | 32 | flags
-
-    def codes(self, text: str | None) -> tuple[np.ndarray, tuple[list[str], np.ndarray]]:
-        """Template codes without sentence ends, and the tokens with the places of those that stayed."""
-        tokens = TOKEN.findall(text or "")
-        kept = self.kept
-        try:
-            raw = np.fromiter(map(kept.__getitem__, tokens), np.uint64, len(tokens))
-        except KeyError:
-            if len(kept) > self.most:
-                kept.clear()
-            for t in set(tokens):
-                if t not in kept:
-                    kept[t] = self._code(t)
-            raw = np.fromiter(map(kept.__getitem__, tokens), np.uint64, len(tokens))
-        stop = raw == _U(_BREAK)
-        begins = np.concatenate([[True], stop[:-1]]) if len(raw) else stop
-        number = raw == _U(NUM)
-        after = np.concatenate([[False], number[:-1]]) if len(raw) else stop
-        word = raw >= _U(32)
-        flags = raw & _U(7)
-        out = np.where(word, raw & ~_U(7), raw)
-        out = np.where(word & ((flags & _U(_CAPITAL)) > 0) & ~begins, _U(NAME), out)
-        out = np.where(word & ((flags & _U(_UNIT)) > 0) & after, _U(UNIT), out)
-        where = np.flatnonzero(~stop)
-        return out[where], (tokens, where)
-
-
-def windows(codes: np.ndarray, how: Settings, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the windows that hold enough literals; with `whole`, a sequence shorter than a window is one."""
-    width = how.window
-    if len(codes) < width:
-        if not whole or not len(codes):
+_tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+_OTHER, _LETTER, _DIGIT, _BREAK, _POINT = range(5)
+
+
+def _char_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: kind, lower-case form, and 1 for upper and 2 for lower case."""
+    global _tables
+    if _tables is None:
+        kind, low, case = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, np.uint8)
+        for i in range(0x110000):
+            c = chr(i)
+            if c.isdecimal():
+                kind[i] = _DIGIT
+            elif c.isalnum():
+                kind[i] = _LETTER
+                case[i] = 1 if c.isupper() else 2 if c.islower() else 0
+                if case[i] == 1 and len(c.lower()) == 1:
+                    low[i] = ord(c.lower())
+        kind[[ord(c) for c in "!?\n"]] = _BREAK
+        kind[[ord(c) for c in ".,"]] = _POINT
+        _tables = kind, low, case
+    return _tables
+
+
+_BASE = 0xD1342543DE82EF95
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    global _powers
+    if _powers is None or len(_powers[0]) < n:
+        n = max(n, CHUNK + 65_536)
+        _powers = tuple(np.cumprod(np.concatenate([[_U(1)], np.full(n - 1, _U(x))]), dtype=np.uint64) for x in (_BASE, _INVERSE))
+    return _powers
+
+
+@dataclass
+class Template:
+    """Codes of all tokens of some texts one after the other, where each token stands in `joined`, and where each text's tokens begin."""
+
+    joined: str
+    codes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    begins: np.ndarray
+
+    def slots(self, at: int, width: int) -> list[str]:
+        """'offset type value' of the placeholders of a window."""
+        own = np.flatnonzero(self.codes[at : at + width] < _U(32)) + at
+        return [f"{j - at} {_TYPES[int(self.codes[j])]} {self.joined[self.starts[j] : self.ends[j]].lower()}" for j in own.tolist()]
+
+    def windows(self, how: Settings, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of the windows that lie in one text and hold enough literals."""
+        n = len(self.codes) - width + 1
+        if n <= 0 or not width:
             return np.zeros(0, int), np.zeros(0, np.uint64)
-        width = len(codes)
-    n = len(codes) - width + 1
+        with np.errstate(over="ignore"):
+            h = np.full(n, width, np.uint64)
+            for j in range(width):
+                h = (h ^ self.codes[j : j + n]) * _U(0x9E3779B97F4A7C15)
+                h ^= h >> _U(29)
+        literal = np.concatenate([[0], np.cumsum(self.codes >= _U(32), dtype=np.int32)])
+        ok = literal[width:] - literal[:-width] >= min(how.literals, width)
+        counts = np.diff(self.begins)
+        text = np.repeat(np.arange(len(counts)), counts)
+        ok &= text[:n] == text[width - 1 :]
+        at = np.flatnonzero(ok)
+        return at, mix(h[at])
+
+
+def canonical(texts: list[str | None]) -> Template:
+    """All tokens of the texts at once: every step is an array operation over their characters."""
+    kinds, lower, cases = _char_tables()
+    joined = "\n".join(["", *[t or "" for t in texts], ""])
+    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds[chars]
+    point = np.flatnonzero(kind == _POINT)
+    inner = (kind[point - 1] == _DIGIT) & (kind[point + 1] == _DIGIT)
+    kind[point[inner]] = _DIGIT
+    outer = point[~inner]
+    kind[outer] = np.where(chars[outer] == ord("."), _BREAK, _OTHER)
+    token = (kind == _LETTER) | (kind == _DIGIT)
+    change = np.concatenate([[True], kind[1:] != kind[:-1]])
+    starts = np.flatnonzero(token & change)
+    ends = np.flatnonzero(token[:-1] & change[1:]) + 1
+    powers, inverses = _power_tables(len(chars))
     with np.errstate(over="ignore"):
-        h = np.full(n, width, np.uint64)
-        for j in range(width):
-            h = (h ^ codes[j : j + n]) * _U(0x9E3779B97F4A7C15)
-            h ^= h >> _U(29)
-        h = mix(h)
-    literal = np.concatenate([[0], np.cumsum(codes >= _U(32))])
-    at = np.flatnonzero(literal[width:] - literal[:-width] >= min(how.literals, width))
-    return at, h[at]
-
-
-def _slots(codes: np.ndarray, tokens, at: int, width: int) -> list[str]:
-    """'offset type value' of the placeholders of a window."""
-    words, where = tokens
-    return [f"{j} {_TYPES[int(codes[at + j])]} {words[where[at + j]].lower()}" for j in range(width) if codes[at + j] < _U(32)]
+        total = np.cumsum((lower[chars].astype(np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15) * powers[: len(chars)], dtype=np.uint64)
+        h = mix((total[ends - 1] - total[starts - 1]) * inverses[starts] + (ends - starts).astype(np.uint64) * _U(_BASE))
+    codes = (h & ~_U(31)) | _U(32)
+    number = kind[starts] == _DIGIT
+    stops = np.cumsum(kind == _BREAK, dtype=np.int32)[starts]
+    fresh = np.concatenate([[True], stops[1:] != stops[:-1]])[: len(starts)]
+    case = cases[chars]
+    small = np.cumsum(case == 2, dtype=np.int32)
+    capital = (case[starts] == 1) & (ends - starts > 1) & (small[ends - 1] - small[starts] == ends - starts - 1)
+    out = np.where(capital & ~fresh, _U(NAME), codes)
+    after = np.flatnonzero(np.concatenate([[False], number[:-1]])[: len(starts)] & ~number & ~fresh)
+    for i in after.tolist():
+        if joined[starts[i] : ends[i]].lower() in UNITS:
+            out[i] = _U(UNIT)
+    out[number] = _U(NUM)
+    return Template(joined, out, starts, ends, np.searchsorted(starts, np.cumsum([1] + [len(t or "") + 1 for t in texts])))
+
+
+def chunks(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list[str | None]]]:
+    """Parts of a batch of about CHUNK characters, or one text."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHUNK):
+            size += len(texts[end] or "")
+            end += 1
+        yield ids[at:end], texts[at:end]
+        at = end
 
 
 def index_items(benchmark: DataFrame, how: Settings, *, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(hash, item_id, item_at, item_windows, width, item_slots) of each window. Null or empty items have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon = Canon()
         for b in batches:
             out = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                codes, tokens = canon.codes(text)
-                at, h = windows(codes, how, whole=True)
-                width = min(how.window, len(codes))
-                out += [(v, item, p, len(at), width, _slots(codes, tokens, p, width)) for p, v in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
+                t = canonical([text])
+                width = min(how.window, len(t.codes))
+                at, h = t.windows(how, width)
+                out += [(v, item, p, len(at), width, t.slots(p, width)) for p, v in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.int64(), b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["hash", "item_id", "item_at", "item_windows", "width", "item_slots"])
@@ -141,32 +188,24 @@ def match_windows(docs: DataFrame, index: DataFrame, how: Settings, *, id_col: s
         known = np.unique(np.array([r.hash for r in index.select("hash").distinct().collect()], np.int64).view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canon = Canon()
         if known is not None:
             door = np.zeros(1 << 20, bool)
             door[(known >> _U(44)).astype(np.int64)] = True
-        kinds = None
         for b in batches:
             kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.list_(pa.string())]
-            out = []
-
-            def batch():
-                cols = list(zip(*out, strict=True)) if out else [[]] * 4
-                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "at", "hash", "slots"])
-
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                codes, tokens = canon.codes(text)
+            for ids, texts in chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                t = canonical(texts)
+                out = []
                 for width in widths:
-                    at, h = windows(codes, Settings(width, how.literals))
+                    at, h = t.windows(how, width)
                     if known is not None:
                         near = np.flatnonzero(door[(h >> _U(44)).astype(np.int64)])
                         near = near[np.isin(h[near], known)]
                         at, h = at[near], h[near]
-                    out += [(doc, p, v, _slots(codes, tokens, p, width)) for p, v in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
-                if len(out) > 20_000:
-                    yield batch()
-                    out.clear()
-            yield batch()
+                    own = np.searchsorted(t.begins, at, side="right") - 1
+                    out += [(ids[d], p - s, v, t.slots(p, width)) for d, p, s, v in zip(own.tolist(), at.tolist(), t.begins[own].tolist(), h.view(np.int64).tolist(), strict=True)]
+                cols = list(zip(*out, strict=True)) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "at", "hash", "slots"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, at long, hash long, slots array<string>")
