@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import corpus, training
+from sparkloom.plans import corpus, reports, training
 
-REGISTRIES = (corpus.R, training.R)
+REGISTRIES = (corpus.R, training.R, reports.R)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
