@@ -35,7 +35,7 @@ def write_atomic(path: str, data: dict, *, durable: bool = False) -> None:
 
 
 def _objects(spark: SparkSession, paths: list[str] | str, schema: str) -> DataFrame:
-    raw = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     bad = f"{schema}, _bad string"
     j = raw.withColumn("j", F.from_json("value", bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowNonNumericNumbers": "true"}))
     return j.where(F.col("j").isNotNull() & F.col("j._bad").isNull()).select("path", "j.*").drop("_bad")
