@@ -59,6 +59,11 @@ def draws(counters: DataFrame, weights: dict[str, float], seed: int = 42) -> Dat
     return d.withColumn("k", (F.row_number().over(Window.partitionBy("slot", "bucket").orderBy("counter")) - 1).cast("long"))
 
 
+def uniform(buckets: list[str]) -> dict[str, float]:
+    """Equal weights, for a random interleave without preference."""
+    return dict.fromkeys(sorted(buckets), 1.0)
+
+
 def join_draws(drawn: DataFrame, items: DataFrame) -> DataFrame:
     """Items (slot, bucket, ord, ...) at the counters that drew them."""
     return drawn.join(items.withColumnRenamed("ord", "k"), ["slot", "bucket", "k"])

@@ -26,10 +26,20 @@ def shuffle_key(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]).cast("binary"))
 
 
-def shuffled_positions(df: DataFrame, group: list[str], ids: list[str], seed: int = 42, out: str = "doc_pos") -> DataFrame:
-    """A permutation of each group that depends on seed and names only. The key has the file but no epoch: every pass is the same."""
-    keyed = df.withColumn("_k", shuffle_key(seed, *group[-1:], *ids))
-    return positions(keyed, group, ["_k", *ids], out).drop("_k")
+def shuffled_positions(df: DataFrame, group: list[str], ids: list[str], seed: int = 42, out: str = "doc_pos", parts: int = 2) -> DataFrame:
+    """A permutation of each group that depends on seed and names only. The key has the file but no epoch: every pass is the same.
+
+    A group may hold a large share of all rows, so it isn't ranked in one task: the first `parts` digits of the md5 cut it into even parts, a
+    row's place is its rank in its part plus the sizes of the parts before, and these are a few numbers for each group.
+    """
+    keyed = df.withColumn("_k", shuffle_key(seed, *group[-1:], *ids)).withColumn("_p", F.substring("_k", 1, parts))
+    before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy(*group, "_p").agg(F.count("*").alias("_c"))
+    names = {g: f"_g{i}" for i, g in enumerate(group)} | {"_p": "_q"}
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c").withColumnsRenamed(names)
+    ranked = positions(keyed, [*group, "_p"], ["_k", *ids], "_at")
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in names.items()]
+    return ranked.join(starts, same).withColumn(out, F.col("_at") + F.col("_start")).select(*df.columns, out)
 
 
 def legacy_permutation(seed: int, file_idx: int, n: int) -> list[int]:

@@ -169,12 +169,13 @@ def pack_best_fit(windows: DataFrame, length: int, *, group: list[str], doc: str
     return slim.groupBy(*group).applyInArrow(pack, schema)
 
 
-def assemble(windows: DataFrame, placed: DataFrame, keys: list[str], seq: list[str], *, tokens: str = "tokens", length: int, mask: str = "repeated") -> DataFrame:
-    """Sequences with `ids` and `repeated` from windows and their places; `keys` join both, `seq` names a sequence."""
+def assemble(windows: DataFrame, placed: DataFrame, keys: list[str], seq: list[str], *, tokens: str = "tokens", length: int, mask: str = "repeated", window_id: str | None = None) -> DataFrame:
+    """Sequences with `ids` and `repeated` from windows and their places; `keys` join both, `seq` names a sequence. With `window_id`, also
+    `window_ids`: for each token the id of its window, as the streaming path numbers documents for attention."""
     joined = windows.join(placed, keys)
-    cut = joined.select(*seq, F.struct("place", F.slice(tokens, 1, length).alias("t"), F.slice(mask, 1, length).alias("m")).alias("w"))
+    cut = joined.select(*seq, F.struct("place", F.slice(tokens, 1, length).alias("t"), F.slice(mask, 1, length).alias("m"), (F.col(window_id) if window_id else F.lit(0)).alias("id")).alias("w"))
     lines = cut.groupBy(*seq).agg(F.array_sort(F.collect_list("w")).alias("ws"))
-    return lines.select(*seq, F.flatten(F.transform("ws", lambda w: w["t"])).alias("ids"), F.flatten(F.transform("ws", lambda w: w["m"])).alias("repeated"), F.size("ws").alias("n_windows"))
+    return lines.select(*seq, F.flatten(F.transform("ws", lambda w: w["t"])).alias("ids"), F.flatten(F.transform("ws", lambda w: w["m"])).alias("repeated"), F.size("ws").alias("n_windows"), *([F.flatten(F.transform("ws", lambda w: F.array_repeat(w["id"], F.size(w["t"])))).alias("window_ids")] if window_id else []))
 
 
 def efficiency(sequences: DataFrame, length: int, content: str = "content_len") -> Column:

@@ -141,3 +141,9 @@ def test_driver_findings(spark, tmp_path):
     assert V.exit_code(f).first().exit_code == 1 and "1 error" in V.render(f)
     drift = V.drift_findings(spark.createDataFrame([("arch", "a", "b"), ("config", "", "b"), ("config", "x", "y")], "kind string, stored string, current string"))
     assert sorted((r.code, r.severity) for r in drift.collect()) == [("resume.arch_drift", "ERROR"), ("resume.config_drift", "INFO")]
+
+
+def test_estimated_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"text": "abc"}\n' * 3000)
+    got = {r.file: (r.bytes, r.lines) for r in jsonl.estimate_lines(spark, str(tmp_path)).collect()}
+    assert got == {"a.jsonl": (48000, 3000)}

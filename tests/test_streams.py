@@ -88,3 +88,16 @@ def test_longest_first_balances(spark):
     got = {r.file_idx: r.slot for r in O.assign_longest_first(spark.createDataFrame(rows, "bucket string, file_idx int, tokens int"), 3).collect()}
     load = [sum(n for _, i, n in rows if got[i] == s) for s in range(3)]
     assert max(load) - min(load) <= 2 and len(got) == 8
+
+
+def test_shuffle_is_a_permutation_of_each_group(spark):
+    rows = [("a", f, i) for f, n in ((0, 300), (1, 5)) for i in range(n)] + [(None, None, i) for i in range(4)]
+    d = spark.createDataFrame(rows, "bucket string, file_idx int, i long")
+    got = O.shuffled_positions(d, ["bucket", "file_idx"], ["i"]).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.bucket, r.file_idx), {})[r.i] = r.doc_pos
+    assert {k: sorted(v.values()) for k, v in by.items()} == {("a", 0): list(range(300)), ("a", 1): list(range(5)), (None, None): list(range(4))}
+    one = O.positions(d.withColumn("k", O.shuffle_key(42, "file_idx", "i")), ["bucket", "file_idx"], ["k", "i"], "p").collect()
+    assert all(by[r.bucket, r.file_idx][r.i] == r.p for r in one)
+    assert list(by["a", 0].values()) != sorted(by["a", 0].values())
