@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pre-tokens that a worker keeps ids of; beyond it the dictionary starts anew, which changes no id.
-MAX_KEPT = 400_000
+MAX_KEPT = 200_000
 #: Where the byte 0 is mapped to; the others follow.
 FIRST_LETTER = 0x100
 LETTERS = {b: FIRST_LETTER + b for b in range(256)}

@@ -23,6 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
+    """Texts can be long: no more than so many rows go to a Python worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+    return spark
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/sparkloom/{what}-{uuid.uuid4().hex}"
 

@@ -22,7 +22,7 @@ from sparkloom.llm.common import materialise
 from sparkloom.llm.shingles import mix
 
 #: Characters canonicalised at once; a longer text is a chunk of its own.
-CHUNK = 500_000
+CHUNK = 250_000
 #: Words that are units after a number.
 UNITS = frozenset("mm cm m km in ft mi mile miles inch inches foot feet yard yards mg g kg t lb lbs oz ounce ounces pound pounds ton tons ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh hz khz mhz ghz w kw mw v a ohm j kj cal kcal pa bar k c f degree degrees percent dollar dollars euro euros cent cents usd eur gbp".split())
 NUM, NAME, UNIT = 8, 16, 24

@@ -61,9 +61,10 @@ def sketches(df: DataFrame, how: NearDup, *, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = shingle_sets(b.column(1).to_pylist(), how.width)
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), _signed([s[: how.k] for s in sets])], names=["doc_id", "n_shingles", "cls", "low"])
+            for i in range(0, b.num_rows, 512):
+                sets = shingle_sets(b.column(1).slice(i, 512).to_pylist(), how.width)
+                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 512), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), _signed([s[: how.k] for s in sets])], names=["doc_id", "n_shingles", "cls", "low"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, cls string, low array<long>")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pre-tokens that a task keeps counts of; beyond it the dictionary starts anew, which changes no count.
-MAX_KEPT = 400_000
+MAX_KEPT = 200_000
 SPACE = "▁"
 PRE_TOKEN = re.compile(r"\n| *[^ \n]+| +")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes hashed at once; a longer text is a batch of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
