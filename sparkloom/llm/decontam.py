@@ -2,7 +2,8 @@
 
 Texts become sequences of words in lower case in which numbers, names and units are typed placeholders: a number is a run
 of digits with inner points or commas; a unit is a unit's word right after a number; a name is a capitalised word inside a
-sentence. Windows of a fixed number of tokens are hashed and joined with those of the benchmark. Matches of a document and
+sentence. Each text is read in two more ways: with names as plain words, so that the case of letters doesn't decide, and with capitalised
+words that begin a sentence as names. Windows of a fixed number of tokens are hashed and joined with those of the benchmark. Matches of a document and
 an item on one diagonal (the same shift of positions) are one alignment. Its slots must be consistent: every value
 of the item stands for one value of the document and the other way round, so a question whose numbers or names were
 exchanged throughout is caught, and a chance likeness of form is not.
@@ -81,19 +82,15 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Template:
-    """Codes of all tokens of some texts one after the other, where each token stands in `joined`, and where each text's tokens begin."""
+class Reading:
+    """Codes of the tokens of some texts one after the other as one reading has them, where each text's tokens begin, and which tokens of the
+    template each one is. `wide` readings take every capitalised word for a name."""
 
-    joined: str
     codes: np.ndarray
-    starts: np.ndarray
-    ends: np.ndarray
     begins: np.ndarray
-
-    def slots(self, at: int, width: int) -> list[str]:
-        """'offset type value' of the placeholders of a window."""
-        own = np.flatnonzero(self.codes[at : at + width] < _U(32)) + at
-        return [f"{j - at} {_TYPES[int(self.codes[j])]} {self.joined[self.starts[j] : self.ends[j]].lower()}" for j in own.tolist()]
+    first: np.ndarray
+    last: np.ndarray
+    wide: bool = False
 
     def windows(self, how: Settings, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and hashes of the windows that lie in one text and hold enough literals."""
@@ -114,6 +111,40 @@ class Template:
         return at, mix(h[at])
 
 
+@dataclass
+class Template:
+    """Codes of all tokens of some texts one after the other, where each token stands in `joined`, and where each text's tokens begin; the words'
+    own codes, and which tokens are capitalised words that begin a sentence."""
+
+    joined: str
+    codes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    begins: np.ndarray
+    words: np.ndarray
+    opening: np.ndarray
+
+    def readings(self) -> list[Reading]:
+        """The template, the same with names as plain words, and the same with words that begin a sentence as names."""
+        own = np.arange(len(self.codes))
+        plain = np.where(self.codes == _U(NAME), self.words, self.codes)
+        opened = np.where(self.opening, _U(NAME), self.codes)
+        return [Reading(self.codes, self.begins, own, own + 1), Reading(plain, self.begins, own, own + 1), Reading(opened, self.begins, own, own + 1, wide=True)]
+
+    def value(self, a: int, z: int) -> str:
+        return " ".join(self.joined[self.starts[a] : self.ends[z - 1]].lower().split())
+
+    def slots(self, r: Reading, at: int, width: int) -> list[str]:
+        """'offset type value' of the placeholders of a window."""
+        own = np.flatnonzero(r.codes[at : at + width] < _U(32)) + at
+        return [f"{j - at} {_TYPES[int(r.codes[j])]} {self.value(r.first[j], r.last[j])}" for j in own.tolist()]
+
+    def fixed(self, r: Reading, at: int, width: int) -> list[str]:
+        """The same of the words of a window that are placeholders in the template, but not in this reading."""
+        own = [j for j in range(at, at + width) if r.codes[j] >= _U(32) and self.codes[r.first[j]] < _U(32)]
+        return [f"{j - at} {_TYPES[int(self.codes[r.first[j]])]} {self.value(r.first[j], r.last[j])}" for j in own]
+
+
 def canonical(texts: list[str | None]) -> Template:
     """All tokens of the texts at once: every step is an array operation over their characters."""
     kinds, lower, cases = _char_tables()
@@ -146,7 +177,8 @@ def canonical(texts: list[str | None]) -> Template:
         if joined[starts[i] : ends[i]].lower() in UNITS:
             out[i] = _U(UNIT)
     out[number] = _U(NUM)
-    return Template(joined, out, starts, ends, np.searchsorted(starts, np.cumsum([1] + [len(t or "") + 1 for t in texts])))
+    begins = np.searchsorted(starts, np.cumsum([1] + [len(t or "") + 1 for t in texts]))
+    return Template(joined, out, starts, ends, begins, codes, capital & fresh)
 
 
 def chunks(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list[str | None]]]:
@@ -162,26 +194,34 @@ def chunks(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list[str
 
 
 def index_items(benchmark: DataFrame, how: Settings, *, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(hash, item_id, item_at, item_windows, width, item_slots) of each window. Null or empty items have none."""
+    """(hash, item_id, item_at, size, item_windows, width, item_wide, item_slots, fixed) of each window of each reading; `size` is its tokens in the
+    template. Null or empty items have none."""
+    names = ["hash", "item_id", "item_at", "size", "item_windows", "width", "item_wide", "item_slots", "fixed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 t = canonical([text])
-                width = min(how.window, len(t.codes))
-                at, h = t.windows(how, width)
-                out += [(v, item, p, len(at), width, t.slots(p, width)) for p, v in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [pa.int64(), b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["hash", "item_id", "item_at", "item_windows", "width", "item_slots"])
+                own: dict[tuple[int, int], tuple] = {}
+                for r in t.readings():
+                    width = min(how.window, len(r.codes))
+                    at, h = r.windows(how, width)
+                    for p, v in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+                        first = int(r.first[p])
+                        own.setdefault((first, v), (int(r.last[p + width - 1]) - first, width, r.wide, t.slots(r, p, width), t.fixed(r, p, width)))
+                places = len({p for p, _ in own})
+                out += [(v, item, p, size, places, *rest) for (p, v), (size, *rest) in own.items()]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 9
+            kinds = [pa.int64(), b.schema.field(0).type, *[pa.int64()] * 4, pa.bool_(), *[pa.list_(pa.string())] * 2]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     kind = benchmark.schema[item_col].dataType.simpleString()
-    return benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, f"hash long, item_id {kind}, item_at long, item_windows long, width long, item_slots array<string>")
+    return benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, f"hash long, item_id {kind}, item_at long, size long, item_windows long, width long, item_wide boolean, item_slots array<string>, fixed array<string>")
 
 
 def match_windows(docs: DataFrame, index: DataFrame, how: Settings, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Windows of documents joined with those of items: (doc_id, at, item_id, item_at, item_windows, width, slots, item_slots)."""
+    """Windows of documents joined with those of items: (doc_id, row, at, wide, slots) and the columns of the index but the hash; `row` is a digest of the text."""
     widths = sorted(r.width for r in index.select("width").distinct().collect())
     known = None
     if index.count() <= how.most_broadcast:
@@ -192,23 +232,27 @@ def match_windows(docs: DataFrame, index: DataFrame, how: Settings, *, id_col: s
             door = np.zeros(1 << 20, bool)
             door[(known >> _U(44)).astype(np.int64)] = True
         for b in batches:
-            kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.list_(pa.string())]
-            for ids, texts in chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
+            for rows, texts in chunks(list(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)), b.column(1).to_pylist()):
                 t = canonical(texts)
-                out = []
-                for width in widths:
-                    at, h = t.windows(how, width)
-                    if known is not None:
-                        near = np.flatnonzero(door[(h >> _U(44)).astype(np.int64)])
-                        near = near[np.isin(h[near], known)]
-                        at, h = at[near], h[near]
-                    own = np.searchsorted(t.begins, at, side="right") - 1
-                    out += [(ids[d], p - s, v, t.slots(p, width)) for d, p, s, v in zip(own.tolist(), at.tolist(), t.begins[own].tolist(), h.view(np.int64).tolist(), strict=True)]
-                cols = list(zip(*out, strict=True)) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "at", "hash", "slots"])
+                out: dict[tuple[int, int], tuple] = {}
+                for r in t.readings():
+                    for width in widths:
+                        at, h = r.windows(how, width)
+                        if known is not None:
+                            near = np.flatnonzero(door[(h >> _U(44)).astype(np.int64)])
+                            near = near[np.isin(h[near], known)]
+                            at, h = at[near], h[near]
+                        own = np.searchsorted(r.begins, at, side="right") - 1
+                        for d, p, v in zip(own.tolist(), at.tolist(), h.view(np.int64).tolist(), strict=True):
+                            first = int(r.first[p])
+                            if (first, v) not in out:
+                                out[first, v] = (*rows[d], first - int(t.begins[d]), v, r.wide, t.slots(r, p, width))
+                cols = list(zip(*out.values(), strict=True)) if out else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "row", "at", "hash", "wide", "slots"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, at long, hash long, slots array<string>")
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row")).mapInArrow(run, f"doc_id {kind}, row long, at long, hash long, wide boolean, slots array<string>")
     return found.join(index, "hash").drop("hash")
 
 
@@ -227,20 +271,29 @@ def consistent(pairs: Iterator[tuple[int, list[str], list[str]]]) -> tuple[bool,
     return True, same
 
 
+def settle(line: list[dict]) -> tuple[list[dict], bool]:
+    """Of one alignment, the windows that may count, and whether all slots are equal. Where slots contradict each other, those count in which only
+    surer names are names; where these do as well, windows without slots stand alone."""
+    for part in (line, [x for x in line if not x["wide"]]):
+        sound, same = consistent((x["item_at"], x["item_slots"] + x["fixed"], x["slots"] + x["fixed"]) for x in part)
+        if sound and part:
+            return part, same
+    return [x for x in line if not x["slots"] and not x["fixed"]], True
+
+
 def judge(line: list[dict], how: Settings) -> tuple[bool, int, int, bool]:
-    """Of one alignment, its windows in order: found, windows matched, tokens of the longest run, all slots equal. Where slots
-    contradict each other, windows without slots stand alone."""
-    sound, same = consistent((x["item_at"], x["item_slots"], x["slots"]) for x in line)
-    kept = line if sound else [x for x in line if not x["slots"]]
+    """Of one alignment: found, windows matched, tokens of the longest run, all slots equal."""
+    kept, same = settle(line)
     if not kept:
         return False, 0, 0, False
-    width = kept[0]["width"]
-    longest = run = width
-    for a, z in zip(kept, kept[1:], strict=False):
-        run = run + z["item_at"] - a["item_at"] if z["item_at"] - a["item_at"] <= width else width
+    longest = run = end = 0
+    for x in sorted(kept, key=lambda x: x["item_at"]):
+        stop = x["item_at"] + x["size"]
+        run = run + max(0, stop - end) if run and x["item_at"] <= end else x["size"]
+        end = max(end, stop)
         longest = max(longest, run)
-    found = len(kept) >= how.coverage * kept[0]["item_windows"] or longest >= how.run
-    return found, len(kept), longest, same if sound else True
+    matched = len({x["item_at"] for x in kept})
+    return matched >= how.coverage * kept[0]["item_windows"] or longest >= how.run, matched, longest, same
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, how: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -251,8 +304,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Settings = Settings
     is compared whole; other columns are not read; empty tables give an empty one.
     """
     index = materialise(index_items(benchmark, how, item_col=item_col, text_col=item_text_col), "items")
-    pairs = match_windows(docs, index, how, id_col=id_col, text_col=text_col).withColumn("shift", F.col("at") - F.col("item_at"))
-    lines = pairs.groupBy("doc_id", "item_id", "shift").agg(F.array_sort(F.collect_set(F.struct("item_at", "item_windows", "width", "slots", "item_slots"))).alias("line"))
+    pairs = match_windows(docs, index, how, id_col=id_col, text_col=text_col).withColumns({"shift": F.col("at") - F.col("item_at"), "wide": F.col("wide") | F.col("item_wide")})
+    window = F.struct("item_at", "item_windows", "size", "wide", "slots", "item_slots", "fixed")
+    lines = pairs.groupBy("doc_id", "row", "item_id", "shift").agg(F.array_sort(F.collect_set(window)).alias("line")).drop("row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

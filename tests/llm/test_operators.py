@@ -442,6 +442,21 @@ def test_template_codes():
     assert len(set(same[:2].tolist())) == 1
 
 
+LEAK = "On Monday morning Alice drove 120 km to Boston in 3 hours and then Alice walked 5 km more before the shop closed at 9"
+FILL = "nothing here is like the question that stands above at all and so on "
+
+
+def leaks(spark, docs, items):
+    tables = [spark.createDataFrame(list(enumerate(x)), f"{c} long, text string") for c, x in (("doc_id", docs), ("item_id", items))]
+    return {(r.doc_id, r.item_id): r.kind for r in decontam.contaminated(*tables).collect()}
+
+
+def test_decontamination_whatever_the_case_and_names_that_begin_sentences(spark):
+    item = "Natalia sold 48 clips to friends in April. Natalia then sold half as many clips in May. Natalia now has 72 clips."
+    docs = [FILL + LEAK.lower() + " " + FILL, FILL + LEAK.upper(), FILL.strip() + ". " + item.replace("Natalia", "Robert").replace("48", "50")]
+    assert leaks(spark, docs, [LEAK, item]) == {(0, 0): "exact", (1, 0): "exact", (2, 1): "reparameterised"}
+
+
 def test_consistent_slots():
     pairs = lambda *p: ((i, [a], [b]) for i, (a, b) in enumerate(p))
     assert decontam.consistent(pairs(("0 num 1", "0 num 1"))) == (True, True)
