@@ -4,13 +4,15 @@ Texts become sequences of words in lower case in which numbers, names and units
 of digits with inner points or commas; a unit is a unit's word right after a number; a name is a capitalised word inside a
 sentence. Each text is read in two more ways: with names as plain words, so that the case of letters doesn't decide, and with capitalised
 words that begin a sentence as names. Windows of a fixed number of tokens are hashed and joined with those of the benchmark. Matches of a document and
-an item on one diagonal (the same shift of positions) are one alignment. Its slots must be consistent: every value
+an item on one diagonal (the same shift of positions) are one alignment; alignments near each other are taken together, since a word more or
+less, or a longer name, moves what follows. Names or numbers in a row are also read as one. The slots must be consistent: every value
 of the item stands for one value of the document and the other way round, so a question whose numbers or names were
 exchanged throughout is caught, and a chance likeness of form is not.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,13 +36,15 @@ _U = np.uint64
 @dataclass(frozen=True)
 class Settings:
     """window: tokens of a window (a shorter item is one window). literals: tokens of a window that are no placeholder, at least. An item is found in a
-    document if an alignment holds `coverage` of its windows, or `run` tokens in a row. most_broadcast: windows of the benchmark
+    document if an alignment holds `coverage` of its windows, or `run` tokens in a row. skip: tokens that a run may leave out where
+    the alignment changes. most_broadcast: windows of the benchmark
     that are sent to every task as a filter; with more, all windows of the documents are shuffled to the join instead."""
 
     window: int = 8
     literals: int = 4
     coverage: float = 0.5
     run: int = 13
+    skip: int = 2
     most_broadcast: int = 2_000_000
 
 
@@ -123,13 +127,21 @@ class Template:
     begins: np.ndarray
     words: np.ndarray
     opening: np.ndarray
+    fresh: np.ndarray
+
+    def collapsed(self, codes: np.ndarray, wide: bool = False) -> Reading:
+        """Names, or numbers, that follow each other in one sentence become one token."""
+        same = (codes[1:] == codes[:-1]) & ((codes[1:] == _U(NAME)) | (codes[1:] == _U(NUM))) & ~self.fresh[1:]
+        first = np.flatnonzero(np.concatenate([[True], ~same])[: len(codes)])
+        return Reading(codes[first], np.searchsorted(first, self.begins), first, np.append(first[1:], len(codes))[: len(first)], wide)
 
     def readings(self) -> list[Reading]:
-        """The template, the same with names as plain words, and the same with words that begin a sentence as names."""
+        """The template, the same with names as plain words, and, with runs of names or numbers as one, the template without and with words that
+        begin a sentence as names."""
         own = np.arange(len(self.codes))
         plain = np.where(self.codes == _U(NAME), self.words, self.codes)
         opened = np.where(self.opening, _U(NAME), self.codes)
-        return [Reading(self.codes, self.begins, own, own + 1), Reading(plain, self.begins, own, own + 1), Reading(opened, self.begins, own, own + 1, wide=True)]
+        return [Reading(self.codes, self.begins, own, own + 1), Reading(plain, self.begins, own, own + 1), self.collapsed(self.codes), self.collapsed(opened, wide=True)]
 
     def value(self, a: int, z: int) -> str:
         return " ".join(self.joined[self.starts[a] : self.ends[z - 1]].lower().split())
@@ -178,7 +190,7 @@ def canonical(texts: list[str | None]) -> Template:
             out[i] = _U(UNIT)
     out[number] = _U(NUM)
     begins = np.searchsorted(starts, np.cumsum([1] + [len(t or "") + 1 for t in texts]))
-    return Template(joined, out, starts, ends, begins, codes, capital & fresh)
+    return Template(joined, out, starts, ends, begins, codes, capital & fresh, fresh)
 
 
 def chunks(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list[str | None]]]:
@@ -194,9 +206,9 @@ def chunks(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list[str
 
 
 def index_items(benchmark: DataFrame, how: Settings, *, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(hash, item_id, item_at, size, item_windows, width, item_wide, item_slots, fixed) of each window of each reading; `size` is its tokens in the
+    """(hash, item_id, item_at, size, item_windows, tokens, width, item_wide, item_slots, fixed) of each window of each reading; `size` is its tokens in the
     template. Null or empty items have none."""
-    names = ["hash", "item_id", "item_at", "size", "item_windows", "width", "item_wide", "item_slots", "fixed"]
+    names = ["hash", "item_id", "item_at", "size", "item_windows", "tokens", "width", "item_wide", "item_slots", "fixed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,13 +223,13 @@ def index_items(benchmark: DataFrame, how: Settings, *, item_col: str = "item_id
                         first = int(r.first[p])
                         own.setdefault((first, v), (int(r.last[p + width - 1]) - first, width, r.wide, t.slots(r, p, width), t.fixed(r, p, width)))
                 places = len({p for p, _ in own})
-                out += [(v, item, p, size, places, *rest) for (p, v), (size, *rest) in own.items()]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 9
-            kinds = [pa.int64(), b.schema.field(0).type, *[pa.int64()] * 4, pa.bool_(), *[pa.list_(pa.string())] * 2]
+                out += [(v, item, p, size, places, len(t.codes), *rest) for (p, v), (size, *rest) in own.items()]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 10
+            kinds = [pa.int64(), b.schema.field(0).type, *[pa.int64()] * 5, pa.bool_(), *[pa.list_(pa.string())] * 2]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     kind = benchmark.schema[item_col].dataType.simpleString()
-    return benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, f"hash long, item_id {kind}, item_at long, size long, item_windows long, width long, item_wide boolean, item_slots array<string>, fixed array<string>")
+    return benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, f"hash long, item_id {kind}, item_at long, size long, item_windows long, tokens long, width long, item_wide boolean, item_slots array<string>, fixed array<string>")
 
 
 def match_windows(docs: DataFrame, index: DataFrame, how: Settings, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,37 +293,95 @@ def settle(line: list[dict]) -> tuple[list[dict], bool]:
     return [x for x in line if not x["slots"] and not x["fixed"]], True
 
 
-def judge(line: list[dict], how: Settings) -> tuple[bool, int, int, bool]:
-    """Of one alignment: found, windows matched, tokens of the longest run, all slots equal."""
-    kept, same = settle(line)
-    if not kept:
-        return False, 0, 0, False
+def reach(size: int) -> int:
+    """How far the shifts of alignments may be apart that are taken together: half of an item's tokens."""
+    return max(8, size // 2)
+
+
+def combine(lines: dict[int, list[dict]], seed: int, apart: int) -> tuple[list[dict], bool, list[int]]:
+    """The windows of the alignment `seed` and those of its neighbours, largest first, that stand in the same order in both texts and whose slots do
+    not contradict those already there; whether all slots are equal; and the shifts that were used."""
+
+    def pairs(some: list[dict]) -> Iterator[tuple[int, list[str], list[str]]]:
+        return ((x["item_at"], x["item_slots"] + x["fixed"], x["slots"] + x["fixed"]) for x in some)
+
+    kept, used = list(lines[seed]), [seed]
+    there = {x["item_at"]: x["item_at"] + seed for x in kept}
+    order = sorted(there)
+    same = consistent(pairs(kept))[1]
+    for shift in sorted((s for s in lines if s != seed and abs(s - seed) <= apart), key=lambda s: (-len(lines[s]), abs(s - seed), s)):
+        new = []
+        for x in lines[shift]:
+            k = bisect_left(order, x["item_at"])
+            before, after = order[k - 1] if k else None, order[k] if k < len(order) else None
+            at = x["item_at"] + shift
+            if x["item_at"] not in there and (before is None or there[before] < at) and (after is None or at < there[after]):
+                new.append(x)
+        sound, equal = consistent(pairs(kept + new))
+        if not sound:
+            new, equal = [x for x in new if not x["slots"] and not x["fixed"]], same
+        if new:
+            used.append(shift)
+            kept += new
+            same = equal
+            for x in new:
+                if x["item_at"] not in there:
+                    there[x["item_at"]] = x["item_at"] + shift
+                    insort(order, x["item_at"])
+    return kept, same, used
+
+
+def measure(kept: list[dict], how: Settings) -> tuple[bool, int, int]:
+    """Found, windows matched, tokens of the longest run. Where the shift changes, a run goes on over up to `how.skip` tokens of the item."""
     longest = run = end = 0
-    for x in sorted(kept, key=lambda x: x["item_at"]):
+    shift = None
+    for x in sorted(kept, key=lambda x: (x["item_at"], x["shift"])):
         stop = x["item_at"] + x["size"]
-        run = run + max(0, stop - end) if run and x["item_at"] <= end else x["size"]
-        end = max(end, stop)
+        gap = 0 if shift == x["shift"] else how.skip
+        run = run + max(0, stop - max(end, x["item_at"])) if run and x["item_at"] <= end + gap else x["size"]
+        end, shift = max(end, stop), x["shift"]
         longest = max(longest, run)
     matched = len({x["item_at"] for x in kept})
-    return matched >= how.coverage * kept[0]["item_windows"] or longest >= how.run, matched, longest, same
+    return matched >= how.coverage * kept[0]["item_windows"] or longest >= how.run, matched, longest
+
+
+def judge(windows: list[dict], how: Settings) -> tuple[bool, int, int, bool, int]:
+    """Of the windows of neighbouring alignments: found, windows matched, tokens of the longest run, all slots equal, and the first alignment's
+    shift. Each alignment is settled alone before those that stand near each other are taken together."""
+    lines: dict[int, list[dict]] = {}
+    for x in windows:
+        lines.setdefault(x["shift"], []).append(x)
+    lines = {s: kept for s, line in lines.items() if (kept := settle(line)[0])}
+    best, done = (False, 0, 0, False, 0), set()
+    for seed in sorted(lines, key=lambda s: (-len(lines[s]), s)):
+        if seed in done:
+            continue
+        kept, same, used = combine(lines, seed, reach(windows[0]["tokens"]))
+        done.update(used)
+        found, matched, longest = measure(kept, how)
+        best = max(best, (found, matched, longest, same, min(used)), key=lambda r: (r[0], r[1], -r[4]))
+    return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, how: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, matched, item_windows, coverage, longest_run, kind): a row for each item found in a document; kind is exact or
     reparameterised. The best alignment counts: most windows, then the first.
 
-    Null and empty texts and items match nothing; documents with one id count as one; equal items are each found; a very long text
+    Null and empty texts and items match nothing; an item found in any of the documents with one id is found in that id; equal items are each found; a very long text
     is compared whole; other columns are not read; empty tables give an empty one.
     """
     index = materialise(index_items(benchmark, how, item_col=item_col, text_col=item_text_col), "items")
     pairs = match_windows(docs, index, how, id_col=id_col, text_col=text_col).withColumns({"shift": F.col("at") - F.col("item_at"), "wide": F.col("wide") | F.col("item_wide")})
-    window = F.struct("item_at", "item_windows", "size", "wide", "slots", "item_slots", "fixed")
-    lines = pairs.groupBy("doc_id", "row", "item_id", "shift").agg(F.array_sort(F.collect_set(window)).alias("line")).drop("row")
+    # Shifts within reach of each other share one of the two regions that each alignment goes to as a whole.
+    apart = F.greatest(F.lit(8), F.floor(F.col("tokens") / 2)) + 1
+    pairs = pairs.withColumn("region", F.floor(F.col("shift") / apart)).withColumn("region", F.explode(F.array("region", F.col("region") - 1)))
+    window = F.struct("shift", "item_at", "item_windows", "tokens", "size", "wide", "slots", "item_slots", "fixed")
+    lines = pairs.groupBy("doc_id", "row", "item_id", "region").agg(F.array_sort(F.collect_set(window)).alias("line")).select("doc_id", "item_id", "line")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, matched, longest, same, sizes = zip(*[(*judge(line, how), line[0]["item_windows"]) for line in b.column(3).to_pylist()], strict=True) if b.num_rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.bool_()), pa.array(matched, pa.int64()), pa.array(longest, pa.int64()), pa.array(same, pa.bool_()), pa.array(sizes, pa.int64())], names=["doc_id", "item_id", "shift", "found", "matched", "longest_run", "same", "item_windows"])
+            found, matched, longest, same, shift, sizes = zip(*[(*judge(line, how), line[0]["item_windows"]) for line in b.column(2).to_pylist()], strict=True) if b.num_rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shift, pa.int64()), pa.array(found, pa.bool_()), pa.array(matched, pa.int64()), pa.array(longest, pa.int64()), pa.array(same, pa.bool_()), pa.array(sizes, pa.int64())], names=["doc_id", "item_id", "shift", "found", "matched", "longest_run", "same", "item_windows"])
 
     d, i = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     judged = lines.mapInArrow(run, f"doc_id {d}, item_id {i}, shift long, found boolean, matched long, longest_run long, same boolean, item_windows long").where("found")

@@ -457,6 +457,26 @@ def test_decontamination_whatever_the_case_and_names_that_begin_sentences(spark)
     assert leaks(spark, docs, [LEAK, item]) == {(0, 0): "exact", (1, 0): "exact", (2, 1): "reparameterised"}
 
 
+def test_decontamination_over_moved_parts(spark):
+    words = LEAK.split()
+    short = "a very short question asks how many of the red apples are still in this old basket today please"
+    york = "In the morning Paris is where the old man goes by train and later the same man leaves Paris for good with two friends"
+    moved = [" ".join([*words[:12], "just", *words[12:]]), " ".join(short.split()[:9] + ["big"] + short.split()[9:]), " ".join(short.split()[:9] + short.split()[10:]), york.replace("Paris", "New York")]
+    apart = " ".join(short.split()[10:] + FILL.split() * 3 + short.split()[:8])
+    backward = " ".join(short.split()[10:] + short.split()[:9])
+    got = leaks(spark, [*[FILL + m + " " + FILL for m in moved], apart, FILL, backward], [LEAK, short, york])
+    assert got == {(0, 0): "exact", (1, 1): "exact", (2, 1): "exact", (3, 2): "reparameterised"}
+
+
+def test_alignments_taken_together_agree_in_slots():
+    def window(shift, at, item, doc):
+        return {"shift": shift, "item_at": at, "item_windows": 17, "tokens": 24, "size": 8, "wide": False, "slots": [f"0 num {doc}"], "item_slots": [f"0 num {item}"], "fixed": []}
+
+    first = [window(0, k, 1, 7) for k in range(5)]
+    assert decontam.judge(first + [window(1, k, 1, 7) for k in range(12, 17)], decontam.Settings())[:2] == (True, 10)
+    assert decontam.judge(first + [window(1, k, 1, 8) for k in range(12, 17)], decontam.Settings())[:2] == (False, 5)
+
+
 def test_consistent_slots():
     pairs = lambda *p: ((i, [a], [b]) for i, (a, b) in enumerate(p))
     assert decontam.consistent(pairs(("0 num 1", "0 num 1"))) == (True, True)
