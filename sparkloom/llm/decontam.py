@@ -35,7 +35,8 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    """window: tokens of a window (a shorter item is one window). literals: tokens of a window that are no placeholder, at least. An item is found in a
+    """window: tokens of a window (a shorter item is one window). literals: tokens of a window that are no placeholder, at least;
+    with fewer, only the same values match. An item is found in a
     document if an alignment holds `coverage` of its windows, or `run` tokens in a row. skip: tokens that a run may leave out where
     the alignment changes. most_broadcast: windows of the benchmark
     that are sent to every task as a filter; with more, all windows of the documents are shuffled to the join instead."""
@@ -88,16 +89,18 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Reading:
     """Codes of the tokens of some texts one after the other as one reading has them, where each text's tokens begin, and which tokens of the
-    template each one is. `wide` readings take every capitalised word for a name."""
+    template each one is. `wide` readings take every capitalised word for a name. A reading that is `instead` of other codes has those windows only
+    that hold too few literals in them."""
 
     codes: np.ndarray
     begins: np.ndarray
     first: np.ndarray
     last: np.ndarray
     wide: bool = False
+    instead: np.ndarray | None = None
 
     def windows(self, how: Settings, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of the windows that lie in one text and hold enough literals."""
+        """Positions and hashes of the windows that lie in one text and hold enough literals, or of a reading instead of another too few there."""
         n = len(self.codes) - width + 1
         if n <= 0 or not width:
             return np.zeros(0, int), np.zeros(0, np.uint64)
@@ -106,8 +109,8 @@ class Reading:
             for j in range(width):
                 h = (h ^ self.codes[j : j + n]) * _U(0x9E3779B97F4A7C15)
                 h ^= h >> _U(29)
-        literal = np.concatenate([[0], np.cumsum(self.codes >= _U(32), dtype=np.int32)])
-        ok = literal[width:] - literal[:-width] >= min(how.literals, width)
+        literal = np.concatenate([[0], np.cumsum((self.codes if self.instead is None else self.instead) >= _U(32), dtype=np.int32)])
+        ok = (literal[width:] - literal[:-width] >= min(how.literals, width)) == (self.instead is None)
         counts = np.diff(self.begins)
         text = np.repeat(np.arange(len(counts)), counts)
         ok &= text[:n] == text[width - 1 :]
@@ -136,12 +139,12 @@ class Template:
         return Reading(codes[first], np.searchsorted(first, self.begins), first, np.append(first[1:], len(codes))[: len(first)], wide)
 
     def readings(self) -> list[Reading]:
-        """The template, the same with names as plain words, and, with runs of names or numbers as one, the template without and with words that
+        """The template, the same with names as plain words, all values where that has too few literals, and, with runs of names or numbers as one, the template without and with words that
         begin a sentence as names."""
         own = np.arange(len(self.codes))
         plain = np.where(self.codes == _U(NAME), self.words, self.codes)
         opened = np.where(self.opening, _U(NAME), self.codes)
-        return [Reading(self.codes, self.begins, own, own + 1), Reading(plain, self.begins, own, own + 1), self.collapsed(self.codes), self.collapsed(opened, wide=True)]
+        return [Reading(self.codes, self.begins, own, own + 1), Reading(plain, self.begins, own, own + 1), Reading(self.words, self.begins, own, own + 1, instead=plain), self.collapsed(self.codes), self.collapsed(opened, wide=True)]
 
     def value(self, a: int, z: int) -> str:
         return " ".join(self.joined[self.starts[a] : self.ends[z - 1]].lower().split())

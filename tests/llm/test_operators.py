@@ -468,6 +468,12 @@ def test_decontamination_over_moved_parts(spark):
     assert got == {(0, 0): "exact", (1, 1): "exact", (2, 1): "exact", (3, 2): "reparameterised"}
 
 
+def test_decontamination_of_items_with_few_words(spark):
+    items = ["What is 15 plus 27?", "Alice paid 12 dollars", "3 5 7 11 13 17 19 23 29 31", "Alice Bob Carol Dave Erin Frank", "7"]
+    docs = [f"{FILL.strip()}. {x} {FILL}" for x in items[:4]] + ["what is 15 plus 28", "Alice paid 13 dollars", "3 5 8 11 14 17 20 23 30 31"]
+    assert leaks(spark, docs, items) == {(i, i): "exact" for i in range(4)} | {(2, 4): "exact"}
+
+
 def test_alignments_taken_together_agree_in_slots():
     def window(shift, at, item, doc):
         return {"shift": shift, "item_at": at, "item_windows": 17, "tokens": 24, "size": 8, "wide": False, "slots": [f"0 num {doc}"], "item_slots": [f"0 num {item}"], "fixed": []}
