@@ -3,7 +3,8 @@
 A text's subwords are its character n-grams in lower case, with a mark for word edges; each is hashed to a row of an
 embedding table, and the average of these rows goes through a linear softmax. Fitting takes a bounded sample of labelled
 rows. A part of the sample that takes no part in fitting sets the temperature of the softmax and the
-score below which a prediction is rejected: the least score from which on enough predictions are right.
+score below which a prediction is rejected: the least score from which on enough predictions are right, within bounds that hold
+whatever the labels are. A score is the probability of the language times the share of the text's subwords that were seen in fitting.
 
 After fitting, average and softmax fold into one table of logits by bucket, so that prediction only looks up and sums.
 """
@@ -27,7 +28,8 @@ _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 @dataclass(frozen=True)
 class Settings:
     """sample: most labelled rows that are learned from, a fourth of them for calibration. steps: of SGD, at least; few rows
-    are passed over more often. right: share of accepted predictions that must be right on the calibration rows."""
+    are passed over more often. right: share of accepted predictions that must be right on the calibration rows. floor, margin: the score at this share of right
+    calibration rows, times the margin, is rejected below in any case. spare: most right calibration rows that may be rejected, as a share."""
 
     sample: int = 3000
     buckets: int = 1 << 14
@@ -39,6 +41,9 @@ class Settings:
     rate: float = 4.0
     seed: int = 7
     right: float = 0.99
+    floor: float = 0.005
+    margin: float = 0.9
+    spare: float = 0.02
 
 
 _letters: np.ndarray | None = None
@@ -78,13 +83,15 @@ def subwords(texts: list[str | None], widths: tuple[int, ...], buckets: int):
 
 @dataclass
 class Model:
-    """Logits by bucket, already divided by the temperature; `least` is the score below which a prediction is rejected."""
+    """Logits by bucket, already divided by the temperature; `least` is the score below which a prediction is rejected; `seen` is 1 for
+    buckets of subwords that were learned from."""
 
     langs: list[str]
     table: np.ndarray
     bias: np.ndarray
     least: float
     settings: Settings
+    seen: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -103,8 +110,9 @@ class Model:
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             best = p.argmax(1)
+            known = np.bincount(owner, weights=self.seen[bucket], minlength=len(part)) / n
             for i in np.flatnonzero(letters):
-                pred[start + i], score[start + i] = self.langs[best[i]], p[i, best[i]]
+                pred[start + i], score[start + i] = self.langs[best[i]], p[i, best[i]] * known[i]
             start = stop
         return pred, score
 
@@ -136,7 +144,7 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_
     rows = sorted((r for r in rows if r.found), key=lambda r: (r.h, r.g))
     langs = sorted({r.label for r in rows})
     if not langs:
-        return Model([], np.zeros((settings.buckets, 0)), np.zeros(0), 0.0, settings)
+        return Model([], np.zeros((settings.buckets, 0)), np.zeros(0), 0.0, settings, np.zeros(settings.buckets))
     y = np.array([langs.index(r.label) for r in rows])
     sparse = [(np.frombuffer(r.found, "<u4").astype(int), np.frombuffer(r.times, "<f4")) for r in rows]
 
@@ -149,6 +157,9 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_
     rng = np.random.default_rng(settings.seed)
     order = rng.permutation(len(rows))
     held, learned = order[: len(rows) // 4], order[len(rows) // 4 :]
+    seen = np.zeros(settings.buckets)
+    for j in learned:
+        seen[sparse[j][0]] = 1
     emb = rng.normal(0, 0.1, (settings.buckets, settings.dims)).astype(np.float32)
     w, bias = np.zeros((settings.dims, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     per_epoch = max(1, -(-len(learned) // settings.batch))
@@ -187,13 +198,17 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_
         s = z / heat
         p = np.exp(s - s.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        top = p.max(1)
+        top = p.max(1) * np.array([(sparse[j][1] * seen[sparse[j][0]]).sum() / sparse[j][1].sum() for j in held])
         by = np.argsort(-top, kind="stable")
-        share = np.cumsum(p.argmax(1)[by] == true[by]) / np.arange(1, len(by) + 1)
+        hit = p.argmax(1) == true
+        share = np.cumsum(hit[by]) / np.arange(1, len(by) + 1)
         good = np.flatnonzero(share >= settings.right)
-        # Where all predictions together are right often enough, none is rejected.
+        # Where all predictions together are right often enough, only those below the floor are rejected.
         least = 0.0 if len(good) and good[-1] == len(by) - 1 else float(top[by[good[-1]]]) if len(good) else 1.0
-    return Model(langs, np.ascontiguousarray(logits / heat).astype(np.float32), bias / heat, least, settings)
+        if hit.any():
+            own = np.sort(top[hit])
+            least = min(max(least, float(own[int(settings.floor * len(own))]) * settings.margin), float(own[int(settings.spare * len(own))]))
+    return Model(langs, np.ascontiguousarray(logits / heat).astype(np.float32), bias / heat, least, settings, seen)
 
 
 def classify(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

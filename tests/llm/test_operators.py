@@ -126,6 +126,20 @@ def test_language_id_without_labels(spark):
     assert langid.classify(empty_docs(spark), m).count() == 0
 
 
+def test_unlearned_text_is_rejected_and_learned_text_stays_with_noisy_labels(spark):
+    d = lang_docs(spark)
+    other = ["Η γλώσσα αυτή δεν είναι γνωστή και κανείς δεν τη διάβασε ποτέ", "これは学習していない言語の文章です", "этот язык никогда не встречался в обучении", "qxzjk wvqzx jjqkx zzxqv kqxjw"]
+    m = langid.fit(d)
+    pred, score = m.predict(other)
+    assert m.least > 0 and (score < m.least).all()
+    rows = d.collect()
+    langs = sorted({r.lang for r in rows})
+    wrong = F.element_at(F.array(*map(F.lit, langs)), (F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) % len(langs) + 1).cast("int"))
+    noisy = d.withColumn("lang", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 20 == 0, wrong).otherwise(F.col("lang")))
+    for model in (m, langid.fit(noisy)):
+        assert np.mean(model.predict([r.text for r in rows])[1] >= model.least) > 0.95
+
+
 def test_held_out_language_does_not_teach(spark):
     d = lang_docs(spark)
     noisy = d.withColumn("lang", F.when(langid.held_out("doc_id"), "zz").otherwise(F.col("lang")))
