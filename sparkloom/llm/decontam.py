@@ -38,15 +38,15 @@ class Settings:
     """window: tokens of a window (a shorter item is one window). literals: tokens of a window that are no placeholder, at least;
     with fewer, only the same values match. An item is found in a
     document if an alignment holds `coverage` of its windows, or `run` tokens in a row. skip: tokens that a run may leave out where
-    the alignment changes. most_broadcast: windows of the benchmark
-    that are sent to every task as a filter; with more, all windows of the documents are shuffled to the join instead."""
+    the alignment changes. filter_bits: the base-2 logarithm of the number of 64-bit words of the filter that each task
+    gets; its size is the same for any benchmark."""
 
     window: int = 8
     literals: int = 4
     coverage: float = 0.5
     run: int = 13
     skip: int = 2
-    most_broadcast: int = 2_000_000
+    filter_bits: int = 18
 
 
 _tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
@@ -235,17 +235,28 @@ def index_items(benchmark: DataFrame, how: Settings, *, item_col: str = "item_id
     return benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, f"hash long, item_id {kind}, item_at long, size long, item_windows long, tokens long, width long, item_wide boolean, item_slots array<string>, fixed array<string>")
 
 
+def _marks(h: np.ndarray) -> np.ndarray:
+    """The two bits of a filter's word that stand for a hash."""
+    return (_U(1) << (h & _U(63))) | (_U(1) << ((h >> _U(6)) & _U(63)))
+
+
+def window_filter(index: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of the index's hashes: the upper bits name a word, two marks are set in it. Words are merged on the executors, so
+    the driver gets at most 2^bits of them however large the benchmark is. A fuller filter lets more windows through to the exact join, no fewer."""
+    mark = lambda by: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {by}) & 63 as int))")
+    merged = index.select(F.shiftrightunsigned("hash", 64 - bits).alias("word"), mark(0).bitwiseOR(mark(6)).alias("m")).groupBy("word").agg(F.bit_or("m").alias("m")).toArrow()
+    words = np.zeros(1 << bits, np.uint64)
+    words[merged.column("word").to_numpy()] = merged.column("m").to_numpy().astype(np.int64).view(np.uint64)
+    return words
+
+
 def match_windows(docs: DataFrame, index: DataFrame, how: Settings, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Windows of documents joined with those of items: (doc_id, row, at, wide, slots) and the columns of the index but the hash; `row` is a digest of the text."""
+    """Windows of documents joined with those of items: (doc_id, row, at, wide, slots) and the columns of the index but the hash; `row` is a digest of the text.
+    What passes the filter of the benchmark's windows is joined by hash."""
     widths = sorted(r.width for r in index.select("width").distinct().collect())
-    known = None
-    if index.count() <= how.most_broadcast:
-        known = np.unique(np.array([r.hash for r in index.select("hash").distinct().collect()], np.int64).view(np.uint64))
+    words, shift = window_filter(index, how.filter_bits), _U(64 - how.filter_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if known is not None:
-            door = np.zeros(1 << 20, bool)
-            door[(known >> _U(44)).astype(np.int64)] = True
         for b in batches:
             kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
             for rows, texts in chunks(list(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)), b.column(1).to_pylist()):
@@ -254,10 +265,8 @@ def match_windows(docs: DataFrame, index: DataFrame, how: Settings, *, id_col: s
                 for r in t.readings():
                     for width in widths:
                         at, h = r.windows(how, width)
-                        if known is not None:
-                            near = np.flatnonzero(door[(h >> _U(44)).astype(np.int64)])
-                            near = near[np.isin(h[near], known)]
-                            at, h = at[near], h[near]
+                        near = np.flatnonzero((words[(h >> shift).astype(np.int64)] & (bits := _marks(h))) == bits)
+                        at, h = at[near], h[near]
                         own = np.searchsorted(r.begins, at, side="right") - 1
                         for d, p, v in zip(own.tolist(), at.tolist(), h.view(np.int64).tolist(), strict=True):
                             first = int(r.first[p])
