@@ -43,6 +43,20 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, side: DataFrame, key: str, count: str, most: int = 1000) -> DataFrame:
+    """`rows` with the columns of `side` (one row a key), which says in `count` how many rows of `rows` have the key; every key must be there.
+
+    Keys with more than 1/`most` of the rows could land in one task; there are fewer than `most` of them, whatever the rows, so
+    these are broadcast, and the rest is shuffled.
+    """
+    total = side.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * most > total
+    is_hot = side.where(hot).drop(count)
+    held = rows.join(F.broadcast(is_hot), key)
+    rest = rows.join(F.broadcast(is_hot.select(key)), key, "left_anti").join(side.where(~hot).drop(count), key)
+    return held.select(*rest.columns).unionByName(rest)
+
+
 def utf8(column: Column) -> Column:
     return column.cast("string").cast("binary")
 

@@ -10,9 +10,12 @@ generate candidates, the sketch of a pair's union estimates its similarity, and
    the lists unless they make up half a document.
 3. Each list compares its members with one pivot, the member whose values are the commonest; links are joined to
    components. That settles a large group of near copies with as many pairs as members.
-4. Members of a list that are still in different components are compared with each other, in blocks of a bounded size;
-   only pairs whose estimate can reach t leave the block. So no link is lost, and pairs inside a component are
+4. Members of a list that are still in different components are compared with each other, in blocks of a bounded size,
+   tile by tile; only pairs whose estimate can reach t leave the block. So no link is lost, and pairs inside a component are
    never made.
+
+Pairs are verified in a stream: a pair's first class is dealt out over many tasks, each of which holds that class's set once and
+lets the sets of its partners pass by. `NearDup.exact` keeps whole sets in the place of sketches: then nothing is left to chance.
 """
 
 from __future__ import annotations
@@ -25,27 +28,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialise
+from sparkloom.llm.common import join_hot, materialise
 from sparkloom.llm.components import components
 from sparkloom.llm.shingles import shingle_sets
 
 
 @dataclass(frozen=True)
 class NearDup:
-    """Words of a shingle, similarity in hundredths, retained values for lists and for estimates, members of a block, and
-    the standard deviations that an estimate may lie below the threshold."""
+    """Words of a shingle, similarity in hundredths, retained values for lists and for estimates, members of a block and of a
+    tile inside it, tasks that a class's partners are dealt out over, and the standard deviations that an estimate may lie below the threshold."""
 
     width: int = 5
     percent: int = 80
     k: int = 32
     estimate_k: int = 256
     block: int = 1024
+    tile: int = 256
+    salts: int = 256
     deviations: float = 4.5
 
     @property
     def shared(self) -> int:
         return int(self.k * (self.percent / 100 - 0.35))
 
+    @classmethod
+    def exact(cls, width: int = 5, percent: int = 80) -> NearDup:
+        """Sketches that hold whole sets: lists keep the exact prefix and estimates are the similarity itself."""
+        return cls(width, percent, k=2**31 - 1, estimate_k=2**31 - 1)
+
 
 def _signed(values) -> pa.Array:
     """Unsigned hashes in an order-keeping signed form."""
@@ -105,65 +115,111 @@ def _size_fits(a: Column, b: Column, how: NearDup) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * how.percent
 
 
-def _estimates(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
-    """Pairs (a, b) whose union-sketch estimate can reach the threshold."""
-    low = lambda side: sets.select(F.col("cls").alias(side), F.slice("set", 1, how.estimate_k).alias(f"low_{side}"), (F.size("set") > how.estimate_k).alias(f"cut_{side}"), F.size("set").alias(f"n_{side}"))
-    both = pairs.join(low("a"), "a").join(low("b"), "b")
-    last = lambda s: F.when(F.col(f"cut_{s}"), F.element_at(f"low_{s}", -1)).otherwise(F.lit(2**63 - 1))
-    edge = both.withColumn("edge", F.least(last("a"), last("b")))
-    inside = lambda s: F.size(F.filter(f"low_{s}", lambda x: x <= F.col("edge")))
-    counted = edge.select("a", "b", F.size(F.array_intersect("low_a", "low_b")).alias("i"), (inside("a") + inside("b")).alias("ab"), (F.col("n_a") + F.col("n_b")).alias("n_ab"))
+def _room(u, n_ab, how: NearDup):
+    """How far below the threshold an estimate from `u` values of the union may lie. The sketch draws them without putting back; at
+    similarity t the union of sets with `n_ab` members together has n_ab / (1 + t)."""
+    import numpy as np
+
     t = how.percent / 100
-    u = F.col("ab") - F.col("i")
-    # The sketch draws u of the union's elements without putting back; at similarity t the union has n_ab / (1 + t).
-    room = how.deviations * F.sqrt(F.lit(t * (1 - t)) / u * F.greatest(F.lit(0.0), 1 - u * (1 + t) / F.col("n_ab"))) + 1e-9
-    return counted.where(F.col("i") / u >= t - room).select("a", "b")
+    u = np.maximum(u, 1)
+    return how.deviations * np.sqrt(t * (1 - t) / u * np.maximum(1 - u * (1 + t) / n_ab, 0)) + 1e-9
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
-    """Pairs (a, b) whose exact Jaccard on full sets reaches the threshold."""
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b")), "b")
-    inter = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("i"), (F.size("set_a") + F.size("set_b")).alias("ab"))
-    return inter.where(F.col("i") * 100 >= (F.col("ab") - F.col("i")) * how.percent).select("a", "b")
+def similar(a, b, how: NearDup) -> bool:
+    """Whether two sorted sets reach the threshold: first by the sketch of their union, then on the full sets."""
+    import numpy as np
 
+    if min(len(a), len(b)) * 100 < max(len(a), len(b)) * how.percent:
+        return False
+    k = how.estimate_k
+    if len(a) > k or len(b) > k:
+        edge = min(x[k - 1] for x in (a, b) if len(x) > k)
+        low = [x[: np.searchsorted(x, edge, side="right")] for x in (a, b)]
+        i = len(np.intersect1d(*low, assume_unique=True))
+        u = len(low[0]) + len(low[1]) - i
+        if i < (how.percent / 100 - _room(u, len(a) + len(b), how)) * u:
+            return False
+    i = len(np.intersect1d(a, b, assume_unique=True))
+    return i * 100 >= (len(a) + len(b) - i) * how.percent
 
-def block_pairs(value: int, cls, label, n, prefix, low, cut, left, right, how: NearDup):
-    """Pairs of a block's members in different components whose union-sketch estimate can reach the threshold, and whose
-    smallest common prefix value is this list's, so that each pair leaves one list only. `left` and `right` tell which
-    members stand on either side."""
+
+def confirm(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
+    """Pairs (a, b) whose estimate can reach the threshold and whose exact Jaccard on full sets does. The partners of a class `a` go to
+    up to `how.salts` tasks by their hash; a task reads that class's set first and then one partner after the other."""
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(how.salts)).cast("int").alias("salt"))
+    partners = salted.join(sets.select(F.col("cls").alias("b"), "set"), "b").select("a", "salt", "b", "set")
+    heads = salted.select("a", "salt").distinct().join(sets.select(F.col("cls").alias("a"), "set"), "a").select("a", "salt", F.lit(None).cast("string").alias("b"), "set")
+    dealt = heads.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        own = head = None
+        for batch in batches:
+            found = []
+            for start in range(0, batch.num_rows, 64):  # long sets: few at once
+                part = batch.slice(start, 64)
+                sets_ = part.column(3)
+                at, flat = sets_.offsets.to_numpy(), sets_.values.to_numpy(zero_copy_only=False)
+                for j, (a, salt, b) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    mine = flat[at[j] : at[j + 1]]
+                    if b is None:
+                        own, head = (a, salt), np.array(mine)
+                    elif own != (a, salt):
+                        raise ValueError("a partner without its class's set")
+                    elif similar(head, mine, how):
+                        found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], names=["a", "b"])
+
+    return dealt.mapInArrow(check, "a string, b string")
+
+
+@dataclass
+class Members:
+    """Some members of a list: class, component, set size, prefix values, and sketches (`cut`: the set has more values)."""
+
+    cls: list[str]
+    label: list[str]
+    n: object
+    prefix: list[frozenset]
+    low: list
+    cut: object
+
+    def part(self, at) -> Members:
+        return Members([self.cls[i] for i in at], [self.label[i] for i in at], self.n[at], [self.prefix[i] for i in at], [self.low[i] for i in at], self.cut[at])
+
+
+def tile_pairs(value: int, x: Members, y: Members, how: NearDup):
+    """Pairs of a member of `x` and one of `y` in different components whose union-sketch estimate can reach the threshold, and whose
+    smallest common prefix value is this list's, so that each pair leaves one list only. Memory goes with the product of the two numbers of members."""
     import numpy as np
 
-    m = len(cls)
-    values, code = np.unique(np.concatenate(low), return_inverse=True)
-    row = np.repeat(np.arange(m), [len(x) for x in low])
-    often = np.bincount(code, minlength=len(values)) > 1
-    place = np.cumsum(often) - 1
-    use = often[code]
-    code, row = place[code[use]], row[use]
-    inter = np.zeros((m, m), np.float32)
-    for a in range(0, int(often.sum()), 2048):
-        here = (code >= a) & (code < a + 2048)
-        hot = np.zeros((m, 2048), np.float32)
-        hot[row[here], code[here] - a] = 1
-        inter += hot @ hot.T
-    last = np.array([x[-1] if c else np.iinfo(np.int64).max for x, c in zip(low, cut, strict=True)])
-    inside = np.stack([np.searchsorted(x, last, side="right") for x in low])  # of row i up to the last value of row j
-    own = np.array([len(x) for x in low])
-    size_i = np.minimum(own[:, None], inside)
-    ab = size_i + size_i.T
-    union = ab - inter
-    t = how.percent / 100
-    drawn = np.maximum(union, 1)
-    rest = np.maximum(1 - drawn * (1 + t) / (n[:, None] + n[None, :]), 0)
-    room = how.deviations * np.sqrt(t * (1 - t) / drawn * rest) + 1e-9
-    _, lab = np.unique(label, return_inverse=True)
-    fits = np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * how.percent
-    ok = fits & (inter >= (t - room) * union) & (lab[:, None] != lab[None, :]) & left[:, None] & right[None, :]
+    top = np.iinfo(np.int64).max
+    values, code = np.unique(np.concatenate([*x.low, *y.low]), return_inverse=True)
+    split = sum(map(len, x.low))
+    rows = [np.repeat(np.arange(len(m.cls)), [len(v) for v in m.low]) for m in (x, y)]
+    codes = [code[:split], code[split:]]
+    inter = np.zeros((len(x.cls), len(y.cls)), np.float32)
+    for a in range(0, len(values), 2048):
+        hot = []
+        for m, row, c in zip((x, y), rows, codes, strict=True):
+            here = (c >= a) & (c < a + 2048)
+            hot.append(np.zeros((len(m.cls), 2048), np.float32))
+            hot[-1][row[here], c[here] - a] = 1
+        inter += hot[0] @ hot[1].T
+    last = [np.array([v[-1] if c else top for v, c in zip(m.low, m.cut, strict=True)]) for m in (x, y)]
+    # Values of a member up to the last value of the other, whichever of the two sketches ends first.
+    in_x = np.stack([np.searchsorted(v, np.minimum(last[1], e), side="right") for v, e in zip(x.low, last[0], strict=True)])
+    in_y = np.stack([np.searchsorted(v, np.minimum(last[0], e), side="right") for v, e in zip(y.low, last[1], strict=True)]).T
+    union = in_x + in_y - inter
+    small, large = np.minimum(x.n[:, None], y.n[None, :]), np.maximum(x.n[:, None], y.n[None, :])
+    ok = (inter >= (how.percent / 100 - _room(union, small + large, how)) * union) & (small * 100 >= large * how.percent)
+    ok &= np.array(x.label)[:, None] != np.array(y.label)[None, :]
     out = set()
     for i, j in zip(*np.nonzero(ok), strict=True):
-        common = prefix[i] & prefix[j]
-        if i != j and common and min(common) == value:
-            out.add((cls[i], cls[j]) if cls[i] < cls[j] else (cls[j], cls[i]))
+        common = x.prefix[i] & y.prefix[j]
+        if common and min(common) == value:
+            out.add((x.cls[i], y.cls[j]) if x.cls[i] < y.cls[j] else (y.cls[j], x.cls[i]))
     return out
 
 
@@ -184,8 +240,19 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, how: NearD
 
         value, p, q = (t.column(c)[0].as_py() for c in ("value", "p", "q"))
         mine = t.column("mine").to_numpy()
-        low = [np.array(x, np.int64) for x in t.column("low").to_pylist()]
-        found = block_pairs(value, t.column("cls").to_pylist(), np.array(t.column("label").to_pylist()), t.column("n").to_numpy(), [frozenset(x) for x in t.column("prefix").to_pylist()], low, t.column("cut").to_numpy(zero_copy_only=False), mine == p, mine == q, how)
+
+        def arrays(name):
+            lists = t.column(name).combine_chunks()
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+        prefix = [frozenset(x.tolist()) for x in arrays("prefix")]
+        whole = Members(t.column("cls").to_pylist(), t.column("label").to_pylist(), t.column("n").to_numpy(), prefix, arrays("low"), t.column("cut").to_numpy(zero_copy_only=False))
+        found = set()
+        left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
+        for i in range(0, len(left), how.tile):
+            for j in range(0 if p != q else i, len(right), how.tile):
+                found |= tile_pairs(value, whole.part(left[i : i + how.tile]), whole.part(right[j : j + how.tile]), how)
         return pa.table([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], names=["a", "b"])
 
     return dealt.join(low, "cls").groupBy("value", "p", "q").applyInArrow(compare, "a string, b string").distinct()
@@ -197,7 +264,7 @@ def near_duplicates(df: DataFrame, how: NearDup = NearDup(), *, id_col: str = "d
     Null texts and texts without words have no shingles and are linked with nothing; a text with fewer words than a
     shingle is one shingle. component_id is the smallest id that links lead to, kept whether that is the row's own;
     a null id is linked with nothing: its component is null and it is kept. Repeated rows give a row each. Other columns
-    are not read. An empty table gives an empty one.
+    are not read. An empty table gives an empty one. A very long text is one row with a long set.
     """
     kind = df.schema[id_col].dataType.simpleString()
     rows = materialise(sketches(df, how, id_col=id_col, text_col=text_col), "sketches")
@@ -208,14 +275,17 @@ def near_duplicates(df: DataFrame, how: NearDup = NearDup(), *, id_col: str = "d
 
     star = lists.where((F.col("cls") != F.col("pivot")) & _size_fits(F.col("n"), F.col("pivot_n"), how))
     star = star.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
-    links = materialise(confirm(_estimates(star, sets, how), sets, how), "links")
+    links = materialise(confirm(star, sets, how), "links")
     labels = components(links)
     more = confirm(_open_pairs(lists, labels, sets, how), sets, how)
     labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
     least = labels.join(members, labels.node == members.cls).groupBy("label").agg(F.min("rep").alias("component_id"))
     found = labels.join(least, "label").select(F.col("node").alias("cls"), "component_id")
-    reps = classes.select("cls", "rep").join(found, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "cls").join(reps, "cls", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).cast(kind)
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    many = rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    reps = materialise(many.join(found, "cls", "left").select("cls", "copies", F.coalesce("component_id", "rep").cast(kind).alias("component_id")), "classes")
+    out = rows.select("doc_id", "n_shingles", "cls")
+    grouped = join_hot(out.where("cls IS NOT NULL AND doc_id IS NOT NULL"), reps, "cls", "copies")
+    alone = out.where("cls IS NULL OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
+    both = grouped.select("doc_id", "n_shingles", "component_id").unionByName(alone.drop("cls"))
+    return both.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
