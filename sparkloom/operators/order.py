@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def file_index(df: DataFrame, bucket: str, file: str, out: str = "file_idx") -> DataFrame:
@@ -17,9 +18,40 @@ def bucket_ids(df: DataFrame, bucket: str = "bucket") -> DataFrame:
     return df.select(bucket).distinct().withColumn("bucket_id", (F.row_number().over(Window.orderBy(bucket)) - 1).cast("int"))
 
 
-def positions(df: DataFrame, group: list[str], order: list, out: str) -> DataFrame:
-    """Place of a row in its group, from 0."""
-    return df.withColumn(out, (F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).cast("long"))
+#: Parts that a group's rows are ranked in.
+PARTS = 64
+
+
+def _even_parts(df: DataFrame, lead: str) -> Column:
+    """A number or text that grows with `lead`: by its quantiles over all rows, of which the driver gets one list, or by a text's first two letters."""
+    kind = df.schema[lead].dataType
+    if not isinstance(kind, T.NumericType):
+        return F.substring(F.col(lead).cast("string"), 1, 2)
+    cuts = df.agg(F.percentile_approx(lead, [i / PARTS for i in range(1, PARTS)])).first()[0] or []
+    part = F.lit(0)
+    for i, cut in enumerate(sorted(set(cuts)), 1):
+        part = F.when(F.col(lead) > F.lit(cut), i).otherwise(part)
+    return part
+
+
+def positions(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """Place of a row in its group, from 0; `order` must be unique in a group, else ties stand in any order. A null stands first.
+
+    A group may hold all rows, so it isn't ranked in one task: the first column of `order` cuts it into even parts, and a row's place is its rank
+    in its part plus the sizes of the parts before.
+    """
+    return _ranked_by_parts(df.withColumn("_p", _even_parts(df, order[0])), group, order, df.columns, out)
+
+
+def _ranked_by_parts(parted: DataFrame, group: list[str], order: list[str], columns: list[str], out: str) -> DataFrame:
+    """Rank by `order` in each group's parts `_p`, plus the sizes of the parts before; these are a few numbers for each group."""
+    before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    names = {g: f"_g{i}" for i, g in enumerate(group)} | {"_p": "_q"}
+    sizes = parted.groupBy(*group, "_p").agg(F.count("*").alias("_c"))
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c").withColumnsRenamed(names)
+    ranked = parted.withColumn("_at", F.row_number().over(Window.partitionBy(*group, "_p").orderBy(*order)) - 1)
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in names.items()]
+    return ranked.join(starts, same).withColumn(out, (F.col("_at") + F.col("_start")).cast("long")).select(*[c for c in columns if c != out], out)
 
 
 def shuffle_key(seed: int, *cols: str) -> Column:
@@ -33,13 +65,7 @@ def shuffled_positions(df: DataFrame, group: list[str], ids: list[str], seed: in
     row's place is its rank in its part plus the sizes of the parts before, and these are a few numbers for each group.
     """
     keyed = df.withColumn("_k", shuffle_key(seed, *group[-1:], *ids)).withColumn("_p", F.substring("_k", 1, parts))
-    before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = keyed.groupBy(*group, "_p").agg(F.count("*").alias("_c"))
-    names = {g: f"_g{i}" for i, g in enumerate(group)} | {"_p": "_q"}
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c").withColumnsRenamed(names)
-    ranked = positions(keyed, [*group, "_p"], ["_k", *ids], "_at")
-    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in names.items()]
-    return ranked.join(starts, same).withColumn(out, F.col("_at") + F.col("_start")).select(*df.columns, out)
+    return _ranked_by_parts(keyed, group, ["_k", *ids], df.columns, out)
 
 
 def legacy_permutation(seed: int, file_idx: int, n: int) -> list[int]:

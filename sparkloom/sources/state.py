@@ -1,37 +1,36 @@
-"""Small JSON states: written atomically by the driver, read tolerantly as tables."""
+"""Small JSON states: replaced as a whole by the driver, read tolerantly as tables."""
 
 from __future__ import annotations
 
 import json
 import os
-import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run's status record, and the training state beside a checkpoint.
+#: A run's status record, and the training state beside a checkpoint: fixed names.
 RUN = "status string, pid int, started_at string, updated_at string, global_step long, max_steps long, loss double, learning_rate double, tokens_trained long, tokens_per_sec double, error string, latest_checkpoint string, checkpoint string, config_path string"
 TRAINER = "schema_version int, step long, tokens_trained long, config_hash string, model_arch_hash string, curriculum struct<phase_idx:int,phase_tokens_consumed:long,current_mix:map<string,double>>, timing struct<wallclock_seconds_elapsed:double,last_save_duration_seconds:double,saved_at:string>, metrics struct<loss:double,learning_rate:double,grad_norm:double,tokens_per_sec:double>, lineage struct<resumed_from:string,is_shutdown_checkpoint:boolean>"
 TRAINER_VERSION = 1
 
 
-def write_atomic(path: str, data: dict, *, durable: bool = False) -> None:
-    """Readers see the old file or the new one, never a part; `durable` waits for the disk."""
-    folder = os.path.dirname(os.path.abspath(path))
-    os.makedirs(folder, exist_ok=True)
-    handle, temp = tempfile.mkstemp(dir=folder, suffix=".tmp")
+def replace_state(path: str, data: dict, *, durable: bool = False) -> None:
+    """Readers see the old state or the new one, never a part; `durable` also outlives a power cut. A sibling file gets the whole text first and then
+    the name, which a file system does at once."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    sibling = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
+    text = json.dumps(data, indent=2) + "\n"
     try:
-        with os.fdopen(handle, "w") as f:
-            json.dump(data, f, indent=2)
-            f.write("\n")
-            if durable:
-                f.flush()
+        sibling.write_text(text)
+        if durable:
+            with sibling.open("rb") as f:
                 os.fsync(f.fileno())
-        os.replace(temp, path)
-    except BaseException:
-        if os.path.exists(temp):
-            os.unlink(temp)
-        raise
+        sibling.replace(target)
+    finally:
+        sibling.unlink(missing_ok=True)
 
 
 def _objects(spark: SparkSession, paths: list[str] | str, schema: str) -> DataFrame:
@@ -53,6 +52,12 @@ def read_trainers(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return t.where(F.coalesce("schema_version", F.lit(TRAINER_VERSION)) == TRAINER_VERSION)
 
 
+def unreadable(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(path) of training states that can't be read, or not in the supported version."""
+    every = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path")).distinct()
+    return every.join(read_trainers(spark, paths).select("path"), "path", "left_anti")
+
+
 def write_slots(states: DataFrame, path: str) -> None:
     """Progress and counters of all slots, a row for each."""
     states.write.mode("overwrite").parquet(path)

@@ -1,6 +1,7 @@
 import gzip
 import json
 import os
+import re
 
 import numpy as np
 import pytest
@@ -19,7 +20,7 @@ def test_index_round_trip():
     assert data[:16] == b"GPTS\x01\0\0\0\x02\0\0\0\x03\0\0\0"
     code, offsets, overlaps = shards.unpack_index(data)
     assert (code, offsets.tolist(), overlaps.tolist()) == (2, [0, 100, 250, 400], [0, 16, 0])
-    with pytest.raises(ValueError, match="magic"):
+    with pytest.raises(ValueError, match="no shard index"):
         shards.unpack_index(b"NOPE" + data[4:])
 
 
@@ -35,9 +36,45 @@ def test_shards_round_trip(spark, tmp_path):
     by_sql = shards.read_headers(spark, str(tmp_path)).collect()
     assert sorted(r.tokens for r in by_sql) == sorted(r.tokens for r in heads)
     assert back.where("bucket = 'a' AND file_idx = 0").count() == next(r.docs for r in heads if r.file_idx == 0)
-    with open(os.path.join(root, "shard-000000.bin"), "ab") as f:
+    with open(os.path.join(root, sorted(f for f in os.listdir(root) if f.endswith(".bin"))[0]), "ab") as f:
         f.write(b"xx")
-    assert any(r.error for r in shards.read_shards(spark, str(tmp_path), "header").collect())
+    heads = shards.read_shards(spark, str(tmp_path), "header")
+    assert sum(r.error is not None for r in heads.collect()) == 1
+    assert sorted((r.split, r.bucket, r.failed) for r in shards.roll_up(heads).collect() if r.bucket) == [("train", "a", 1)]
+
+
+def test_shards_add_up_and_are_named_after_inputs(spark, tmp_path):
+    root = str(tmp_path / "train" / "a")
+    one = lambda t, f="x.jsonl.gz": spark.createDataFrame([([t] * 3, 0, f)], "tokens array<int>, overlap_len int, file string")
+    tokens = lambda: sorted(list(r.tokens) for r in shards.read_shards(spark, str(tmp_path)).collect())
+    shards.write_shards(one(1), root, 100)
+    shards.write_shards(one(2), root, 100)
+    assert tokens() == [[1, 1, 1], [2, 2, 2]]
+    shards.write_shards(one(3), root, 100, overwrite=True)
+    assert tokens() == [[3, 3, 3]]
+    files = one(4).unionByName(one(5, "b.jsonl")).unionByName(one(6, "b.jsonl")).coalesce(1)
+    shards.write_shards(files, root, 100, file="file")
+    assert sorted(f for f in os.listdir(root) if not f.startswith("shard-")) == ["b.bin", "b.idx", "x.bin", "x.idx"] and len(tokens()) == 4
+    with pytest.raises(Exception, match="already holds"):
+        shards.write_shards(files, root, 100, file="file")
+    with pytest.raises(Exception, match="more than one task"):
+        shards.write_shards(one(7).unionByName(one(8)).repartition(2, "tokens"), str(tmp_path / "o"), 100, file="file")
+    with pytest.raises(Exception, match="does not fit"):
+        shards.write_shards(one(70_000), root, 100)
+    assert len(tokens()) == 4 and shards.read_shards(spark, str(tmp_path), "header").where("bucket = 'a'").count() == 3
+
+
+def test_trees(spark, tmp_path):
+    for code, made in (("data.split.missing", "train"), ("data.buckets.empty", "val"), ("data.bucket.no_shards", "train/a"), (None, "val/b")):
+        (tmp_path / made).mkdir(parents=True)
+        if made == "val/b":
+            (tmp_path / "train/a/s.idx").write_bytes(b"")
+            (tmp_path / "val/b/t.idx").write_bytes(b"")
+            assert [(r.split, r.bucket, r.file_idx) for r in shards.scan_tree(spark, str(tmp_path)).collect()] == [("train", "a", 0), ("val", "b", 0)]
+            continue
+        with pytest.raises(shards.TreeError) as e:
+            shards.scan_tree(spark, str(tmp_path))
+        assert e.value.code in (code, "data.buckets.empty")
 
 
 def test_json_lines(spark, tmp_path):
@@ -67,7 +104,7 @@ def test_numbers_of_split_files(spark, tmp_path):
 
 
 def test_states(spark, tmp_path):
-    state.write_atomic(str(tmp_path / "a.json"), {"status": "running", "loss": float("inf"), "checkpoint": "c", "odd": 1})
+    state.replace_state(str(tmp_path / "a.json"), {"status": "running", "loss": float("inf"), "checkpoint": "c", "odd": 1})
     (tmp_path / "b.json").write_text("{broken")
     rows = state.read_runs(spark, str(tmp_path)).collect()
     assert [(r.status, r.loss, r.latest_checkpoint) for r in rows] == [("running", float("inf"), "c")]
@@ -105,11 +142,33 @@ def test_sql_names(spark):
 
 def test_config(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"data": {"curriculum": [{"duration_tokens": 10, "mix": {"a": 3, "b": 1}}]}}))
-    c = config.Config.from_file(str(tmp_path / "c.json"))
-    assert c.mix_rows() == [(0, 10, "a", 0.75), (0, 10, "b", 0.25)]
-    for bad in ({"data": {"format": "csv"}}, {"data": {"nope": 1}}, {"data": {"max_length": 10, "overlap_size": 6}}, {"optimizer": {"learning_rate": 0}}):
-        with pytest.raises(config.ConfigError):
-            config.Config.from_dict(bad)
+    c = config.read(str(tmp_path / "c.json"))
+    assert c.mix_rows() == [(0, 10, "a", 0.75), (0, 10, "b", 0.25)] and c["optimizer.warmup_steps"] == 100 and c["data.tokenizer"] == "gpt2"
+    (tmp_path / "c.yaml").write_text("training:\n  max_steps: 7\n")
+    assert config.read(str(tmp_path / "c.yaml"))["training.max_steps"] == 7
+    phase = {"duration_tokens": 5, "mix": {"a": 1}}
+    wrong = {"data.format": {"data": {"format": "csv"}}, "data.nope": {"data": {"nope": 1}}, "data.overlap_size": {"data": {"max_length": 10, "overlap_size": 6}}, "optimizer.learning_rate": {"optimizer": {"learning_rate": 0}}}
+    wrong |= {"data.curriculum": {"data": {"format": "jsonl", "curriculum": [phase]}}, "data.curriculum[1].duration_tokens": {"data": {"curriculum": [phase, {**phase, "duration_tokens": 0}]}}}
+    wrong |= {f"data.curriculum[0].{k}": {"data": {"curriculum": [{**phase, k: v}]}} for k, v in {"mix": {"a": 0}}.items()}
+    for place, raw in wrong.items():
+        assert [p for p, _ in config.problems(raw)] == [place]
+        with pytest.raises(config.ConfigError, match=re.escape(place)) as e:
+            config.build(raw)
+        assert e.value.exit_code == 2
+    with pytest.raises(config.ConfigError):
+        config.read(str(tmp_path / "none.json"))
+    with pytest.warns(UserWarning, match="odd"):
+        config.build({"odd": {}})
+
+
+def test_states_are_replaced_as_a_whole(spark, tmp_path):
+    state.replace_state(str(tmp_path / "s" / "a.json"), {"schema_version": 1, "step": 3}, durable=True)
+    with pytest.raises(TypeError):
+        state.replace_state(str(tmp_path / "s" / "a.json"), {"step": object()})
+    (tmp_path / "s" / "b.json").write_text('{"schema_version": 9}')
+    assert sorted(os.listdir(tmp_path / "s")) == ["a.json", "b.json"]
+    assert [r.step for r in state.read_trainers(spark, str(tmp_path / "s")).collect()] == [3]
+    assert [r.path.rsplit("/", 1)[1] for r in state.unreadable(spark, str(tmp_path / "s")).collect()] == ["b.json"]
 
 
 def test_records_run_by_group(spark):
@@ -128,7 +187,19 @@ def test_records_run_by_group(spark):
     out = [json.loads(r.value) for r in Rec.output_lines(ready, Rec.run_groups(ready, load)).collect()]
     assert [o.get("output") for o in out] == ["base:a", "x/final:é", None]
     assert out[0]["id"] == 7 and out[2]["error"] == "ValueError: no"
-    assert Rec.problems(Rec.parse(spark.createDataFrame([(4, "[]")], "line_num int, value string"), Rec.Defaults()), "f").first().message == "f:4: expected a JSON object, got list"
+    assert Rec.problems(Rec.parse(spark.createDataFrame([(4, "[]")], "line_num int, value string"), Rec.Defaults()), "f").first().message == "f:4: line.object, wanted is an object"
+
+
+def test_nothing_runs_with_problems(spark):
+    lines = [(1, '{"prompt": "a"}'), (2, '{"prompt": 7, "generation": {"top_p": 2}}'), (3, "  "), (4, None), (5, '{"prompt": "b", "model": {"checkpoint": "lost"}}')]
+    parsed = Rec.parse(spark.createDataFrame(lines, "line_num int, value string"), Rec.Defaults("base"))
+    known = spark.createDataFrame([("base", "base/final")], "path string, checkpoint string")
+    with pytest.raises(Rec.InvalidRecords) as e:
+        Rec.plan(parsed, known, "in")
+    assert (e.value.exit_code, e.value.count) == (2, 3)
+    assert [m.split(",")[0] for m in e.value.problems] == ["in:2: generation.top_p", "in:2: prompt.text", "model.resolve"]
+    ready, models = Rec.plan(parsed.where("line_num = 1"), known)
+    assert [(r["index"], r.checkpoint) for r in ready.collect()] == [(0, "base/final")] and models.count() == 1
 
 
 def test_driver_findings(spark, tmp_path):
@@ -141,6 +212,22 @@ def test_driver_findings(spark, tmp_path):
     assert V.exit_code(f).first().exit_code == 1 and "1 error" in V.render(f)
     drift = V.drift_findings(spark.createDataFrame([("arch", "a", "b"), ("config", "", "b"), ("config", "x", "y")], "kind string, stored string, current string"))
     assert sorted((r.code, r.severity) for r in drift.collect()) == [("resume.arch_drift", "ERROR"), ("resume.config_drift", "INFO")]
+    lost = V.resume_findings(spark.createDataFrame([("a", None), ("b", "b/1"), ("c", "c/1")], "path string, checkpoint string"), spark.createDataFrame([("c/1",)], "checkpoint string"))
+    assert sorted((r.code, r.subject) for r in lost.collect()) == [("resume.resolve_failed", "a"), ("resume.trainer_state_unreadable", "b/1")]
+    sizes = spark.createDataFrame([(5, 8), (None, 8), (0, None)], "known int, padded int")
+    assert [r.n for r in sizes.select(V.vocab_size(F.col("known"), F.col("padded")).alias("n")).collect()] == [5, 8, 50304] and V.vocab_findings(sizes).count() == 1
+
+
+def test_all_groups_of_rules_run(spark, tmp_path):
+    def broken():
+        raise RuntimeError("no")
+
+    found = V.run_all(spark, {"drift": lambda: V.drift_findings(spark.createDataFrame([("arch", "a", "b")], "kind string, stored string, current string")), "tokenizer": broken, "data": lambda: V.driver_findings(spark, data=None)})
+    assert [r.code for r in found.collect()] == ["rule.failed", "data.path.empty", "resume.arch_drift"]
+    text = V.render(found, {"Model": {"vocabulary": "50304"}})
+    assert [x for x in text.split("\n") if not x.startswith(" ")] == ["Model", "Data", "Resume", "Runtime", "3 error, 0 budget, 0 warning, 0 info"]
+    with pytest.raises(ValueError, match="nope"):
+        V.run_all(spark, {"nope": broken})
 
 
 def test_estimated_lines(spark, tmp_path):
