@@ -14,8 +14,8 @@ generate candidates, the sketch of a pair's union estimates its similarity, and
    tile by tile; only pairs whose estimate can reach t leave the block. So no link is lost, and pairs inside a component are
    never made.
 
-Pairs are verified in a stream: a pair's first class is dealt out over many tasks, each of which holds that class's set once and
-lets the sets of its partners pass by. `NearDup.exact` keeps whole sets in the place of sketches: then nothing is left to chance.
+Pairs are verified in a stream: a task holds one class's set and lets the sets of its partners pass by; a class with many partners
+is dealt out over many tasks. `NearDup.exact` keeps whole sets in the place of sketches: then nothing is left to chance.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from sparkloom.llm.shingles import shingle_sets
 @dataclass(frozen=True)
 class NearDup:
     """Words of a shingle, similarity in hundredths, retained values for lists and for estimates, members of a block and of a
-    tile inside it, tasks that a class's partners are dealt out over, and the standard deviations that an estimate may lie below the threshold."""
+    tile inside it, partners of a class that are verified in one task, and the standard deviations that an estimate may lie below the threshold."""
 
     width: int = 5
     percent: int = 80
@@ -44,7 +44,7 @@ class NearDup:
     estimate_k: int = 256
     block: int = 1024
     tile: int = 256
-    salts: int = 256
+    partners: int = 256
     deviations: float = 4.5
 
     @property
@@ -125,28 +125,43 @@ def _room(u, n_ab, how: NearDup):
     return how.deviations * np.sqrt(t * (1 - t) / u * np.maximum(1 - u * (1 + t) / n_ab, 0)) + 1e-9
 
 
-def similar(a, b, how: NearDup) -> bool:
-    """Whether two sorted sets reach the threshold: first by the sketch of their union, then on the full sets."""
+def _counts(head, flat, at):
+    """How many of each part's values `head` holds; parts are flat[at[i] : at[i + 1]], all sorted."""
     import numpy as np
 
-    if min(len(a), len(b)) * 100 < max(len(a), len(b)) * how.percent:
-        return False
-    k = how.estimate_k
-    if len(a) > k or len(b) > k:
-        edge = min(x[k - 1] for x in (a, b) if len(x) > k)
-        low = [x[: np.searchsorted(x, edge, side="right")] for x in (a, b)]
-        i = len(np.intersect1d(*low, assume_unique=True))
-        u = len(low[0]) + len(low[1]) - i
-        if i < (how.percent / 100 - _room(u, len(a) + len(b), how)) * u:
-            return False
-    i = len(np.intersect1d(a, b, assume_unique=True))
-    return i * 100 >= (len(a) + len(b) - i) * how.percent
+    if not len(flat):
+        return np.zeros(len(at) - 1, int)
+    place = np.minimum(np.searchsorted(head, flat), len(head) - 1)
+    return np.diff(np.concatenate([[0], np.cumsum(head[place] == flat)])[at])
+
+
+def similar(head, flat, at, how: NearDup):
+    """Which sets, flat[at[i] : at[i + 1]], reach the threshold with `head`: first by the sketch of the union, then on full sets."""
+    import numpy as np
+
+    n, k, top = np.diff(at), how.estimate_k, np.iinfo(np.int64).max
+    ok = np.minimum(n, len(head)) * 100 >= np.maximum(n, len(head)) * how.percent
+    if len(head) > k or (n > k).any():
+        own = head[k - 1] if len(head) > k else top
+        edge = np.minimum(own, np.where(n > k, flat[np.minimum(at[:-1] + k, at[1:]) - 1], top))
+        low = flat <= np.repeat(edge, n)
+        inside = np.concatenate([[0], np.cumsum(low)])[at]
+        i = _counts(head, flat[low], inside)
+        union = np.diff(inside) + np.searchsorted(head, edge, side="right") - i
+        ok &= i >= (how.percent / 100 - _room(union, len(head) + n, how)) * union
+    for j in np.array_split(np.flatnonzero(ok), 1 + ok.sum() // 64):
+        if len(j):
+            parts = [flat[at[x] : at[x + 1]] for x in j]
+            i = _counts(head, np.concatenate(parts), np.concatenate([[0], np.cumsum(n[j])]))
+            ok[j] = i * 100 >= (len(head) + n[j] - i) * how.percent
+    return ok
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
-    """Pairs (a, b) whose estimate can reach the threshold and whose exact Jaccard on full sets does. The partners of a class `a` go to
-    up to `how.salts` tasks by their hash; a task reads that class's set first and then one partner after the other."""
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(how.salts)).cast("int").alias("salt"))
+    """Pairs (a, b) whose estimate can reach the threshold and whose exact Jaccard on full sets does. `size` says how many partners a class may
+    have; those of one with many go to several tasks by their hash. A task reads that class's set first and then lets its partners' sets pass by."""
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / how.partners)).cast("int")
+    salted = pairs.groupBy("a", "b").agg(F.max("size").alias("size")).select("a", "b", salt.alias("salt"))
     partners = salted.join(sets.select(F.col("cls").alias("b"), "set"), "b").select("a", "salt", "b", "set")
     heads = salted.select("a", "salt").distinct().join(sets.select(F.col("cls").alias("a"), "set"), "a").select("a", "salt", F.lit(None).cast("string").alias("b"), "set")
     dealt = heads.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -154,21 +169,28 @@ def confirm(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        own = head = None
+        key = head = None
         for batch in batches:
             found = []
-            for start in range(0, batch.num_rows, 64):  # long sets: few at once
-                part = batch.slice(start, 64)
-                sets_ = part.column(3)
-                at, flat = sets_.offsets.to_numpy(), sets_.values.to_numpy(zero_copy_only=False)
-                for j, (a, salt, b) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    mine = flat[at[j] : at[j + 1]]
-                    if b is None:
-                        own, head = (a, salt), np.array(mine)
-                    elif own != (a, salt):
+            for start in range(0, batch.num_rows, 256):  # sets can be long: few at once
+                part = batch.slice(start, 256)
+                at, flat = part.column(3).offsets.to_numpy(), part.column(3).values.to_numpy(zero_copy_only=False)
+                keys = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+                b = part.column(2).to_pylist()
+                i = 0
+                while i < len(b):
+                    if b[i] is None:
+                        key, head = keys[i], np.array(flat[at[i] : at[i + 1]])
+                        i += 1
+                        continue
+                    z = i
+                    while z < len(b) and b[z] is not None and keys[z] == key:
+                        z += 1
+                    if z == i:
                         raise ValueError("a partner without its class's set")
-                    elif similar(head, mine, how):
-                        found.append((a, b))
+                    ok = similar(head, flat[at[i] : at[z]], at[i : z + 1] - at[i], how)
+                    found += [(key[0], b[i + x]) for x in np.flatnonzero(ok)]
+                    i = z
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], names=["a", "b"])
 
     return dealt.mapInArrow(check, "a string, b string")
@@ -224,7 +246,7 @@ def tile_pairs(value: int, x: Members, y: Members, how: NearDup):
 
 
 def _open_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
-    """Candidates (a, b) among members of one list that are in different components."""
+    """Candidates (a, b, size of the list) among members of one list that are in different components."""
     named = lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     mixed = named.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
     blocks = F.ceil(F.col("size") / how.block).cast("int")
@@ -232,13 +254,13 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, how: NearD
     # Each pair of blocks is a task of its own; a member goes to those its block takes part in.
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     dealt = named.join(mixed, "value", "left_semi").withColumn("mine", mine).withColumn("other", other)
-    dealt = dealt.select("value", "cls", "label", "n", "prefix", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+    dealt = dealt.select("value", "cls", "label", "n", "prefix", "size", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
     low = sets.select("cls", F.slice("set", 1, how.estimate_k).alias("low"), (F.size("set") > how.estimate_k).alias("cut"))
 
     def compare(t: pa.Table) -> pa.Table:
         import numpy as np
 
-        value, p, q = (t.column(c)[0].as_py() for c in ("value", "p", "q"))
+        value, p, q, size = (t.column(c)[0].as_py() for c in ("value", "p", "q", "size"))
         mine = t.column("mine").to_numpy()
 
         def arrays(name):
@@ -253,9 +275,9 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, how: NearD
         for i in range(0, len(left), how.tile):
             for j in range(0 if p != q else i, len(right), how.tile):
                 found |= tile_pairs(value, whole.part(left[i : i + how.tile]), whole.part(right[j : j + how.tile]), how)
-        return pa.table([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], names=["a", "b"])
+        return pa.table([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), pa.array([size] * len(found), pa.int64())], names=["a", "b", "size"])
 
-    return dealt.join(low, "cls").groupBy("value", "p", "q").applyInArrow(compare, "a string, b string").distinct()
+    return dealt.join(low, "cls").groupBy("value", "p", "q").applyInArrow(compare, "a string, b string, size long")
 
 
 def near_duplicates(df: DataFrame, how: NearDup = NearDup(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,7 +296,8 @@ def near_duplicates(df: DataFrame, how: NearDup = NearDup(), *, id_col: str = "d
     sets = materialise(full_sets(df, how, members, id_col=id_col, text_col=text_col), "sets")
 
     star = lists.where((F.col("cls") != F.col("pivot")) & _size_fits(F.col("n"), F.col("pivot_n"), how))
-    star = star.select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+    # A pivot is the greatest of its list in one order of all classes, so a pair never turns round.
+    star = star.select(F.col("pivot").alias("a"), F.col("cls").alias("b"), "size")
     links = materialise(confirm(star, sets, how), "links")
     labels = components(links)
     more = confirm(_open_pairs(lists, labels, sets, how), sets, how)
