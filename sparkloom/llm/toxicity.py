@@ -1,13 +1,17 @@
 """Toxicity (operator 3): nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Fitting takes a bounded sample of labelled rows, as many toxic as clean ones where there are. Terms are words in lower case
-and their beginnings of a few lengths, so that inflected and compounded forms meet; those stay whose link with
-the label is beyond chance. Examples are ordered by label and likeness and dealt into blocks; for each term and block the index has the
-postings and their greatest weight. A query's bound for a block is the sum of its weights times these; blocks go
-from the highest bound down until a bound is below the k-th best cosine, so the neighbours are exact.
-
-The neighbours' labels vote with weights that fall with distance. A logistic curve over the vote and the best cosine,
-fitted on the sample with each example's own row left out and classes weighted to their true shares, gives the score.
+Fitting takes a bounded sample of labelled rows, as many toxic as clean ones where there are. Terms are all words of the sample in lower
+case and their beginnings, so that inflected and compounded forms meet; none is left out. A term's weight is its inverse document
+frequency, times a relevance between a small base and 1 that grows with its link to the toxic label beyond chance: texts in one language
+share many words, and these must not outweigh the few that matter.
+
+Examples are ordered by label and likeness and dealt into blocks; the index has each term's postings by block, and their greatest weight
+there. A query's bound for a block is the sum of its weights times these. The blocks with the highest bounds are scored first, then all
+whose bound reaches the k-th best cosine so far, so the neighbours are exact.
+
+The neighbours' labels, toxic and clean, vote with weights that fall with distance. A logistic curve over the vote and the best cosine gives the
+score. It is fitted on votes of examples over indexes, weights included, that were built without them and without their copies, classes weighted to
+their true shares.
 """
 
 from __future__ import annotations
@@ -29,17 +33,19 @@ WORD = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: most examples of each label. beginnings: lengths of word beginnings. least_ratio: a term's log-likelihood ratio
-    against independence of the label; pure: share of toxic examples among those that hold it, at their true shares;
-    least_rows: examples that must hold it, where near copies of one text count as one."""
+    """sample: most examples of each label. longest: characters of the longest text taken as an example. beginnings: lengths of word
+    beginnings. base, full: relevance of a term without a link to the toxic label, and the log-likelihood ratio of such a link that counts in
+    full. folds: parts for the fit of the curve. first: blocks scored before others are ruled out."""
 
     sample: int = 2000
-    beginnings: tuple[int, ...] = (4, 5, 6)
-    least_ratio: float = 20.0
-    pure: float = 0.6
-    least_rows: float = 4.0
+    longest: int = 200_000
+    beginnings: tuple[int, ...] = (5,)
+    base: float = 0.05
+    full: float = 20.0
     neighbours: int = 15
     block: int = 64
+    first: int = 3
+    folds: int = 3
     threshold: float = 0.7
 
 
@@ -47,96 +53,95 @@ def terms_of(word: str, beginnings: tuple[int, ...]) -> list[str]:
     return [word, *[word[:n] + "*" for n in beginnings if len(word) >= n]]
 
 
+def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and which range each is from."""
+    n = stop - start
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(owner)) + (start - (np.cumsum(n) - n))[owner], owner
+
+
 class Index:
-    """Block-max inverted index over unit vectors; `ids` name the examples."""
+    """Block-max inverted index over unit vectors. `origin` says which vector each row is. A term's list is cut into runs, one for each block that
+    it is in, with the run's greatest weight; lists that hold more than one in `full` of all rows are kept unpacked, a cell for each row."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list[int], n_terms: int, block: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_terms: int, block: int, first: int = 3, full: int = 8):
         lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
-        order = sorted(range(len(vectors)), key=lambda i: (labels[i], lead[i], ids[i]))
-        self.labels, self.ids, self.block, self.n_terms = labels[order].astype(float), [ids[i] for i in order], block, n_terms
-        self.origin = order
+        order = sorted(range(len(vectors)), key=lambda i: (labels[i], lead[i], i))
+        self.origin, self.labels, self.block, self.first = order, np.asarray(labels, float)[order], block, first
         self.n_blocks = max(1, -(-len(order) // block))
         row = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
         term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, int)]).astype(int)
         weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
-        by = np.lexsort((row, term, row // block))
-        row, term, weight = row[by], term[by], weight[by]
-        key = (row // block) * n_terms + term
-        self.start = np.searchsorted(key, np.arange(self.n_blocks * n_terms + 1))
-        self.row, self.weight = row % block, weight
-        self.most = np.zeros((n_terms, self.n_blocks))
-        np.maximum.at(self.most, (term, row // block), weight)
+        often = np.bincount(term, minlength=n_terms) * full > len(order)
+        self.unpacked = np.where(often, np.cumsum(often) - 1, -1)
+        self.cells = np.zeros((int(often.sum()), self.n_blocks, block))
+        at = often[term]
+        self.cells[self.unpacked[term[at]], row[at] // block, row[at] % block] = weight[at]
+        self.cells_most = self.cells.max(2, initial=0)
+        by = np.lexsort((row[~at], term[~at]))
+        row, term, weight = row[~at][by], term[~at][by], weight[~at][by]
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (row[1:] // block != row[:-1] // block)])[: len(row)])
+        self.row, self.weight = row, weight
+        self.run_start = np.append(new, len(row))
+        self.run_block = row[new] // block
+        self.run_most = np.maximum.reduceat(weight, new) if len(new) else np.zeros(0)
+        self.term_start = np.searchsorted(term[new], np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest with a cosine over 0, best first, ties by row; row `skip` takes no part."""
-        bound = weights @ self.most[terms]
-        rows, sims = np.zeros(0, int), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(sims) >= k and bound[b] < sims[-1] - 1e-12):
+        cell = self.unpacked[terms]
+        often = cell >= 0
+        cell, cell_weight, terms, weights = cell[often], weights[often], terms[~often], weights[~often]
+        run, owner = _spread(self.term_start[terms], self.term_start[terms + 1])
+        weight, block = weights[owner], self.run_block[run]
+        bound = cell_weight @ self.cells_most[cell] + np.bincount(block, weights=weight * self.run_most[run], minlength=self.n_blocks)
+        wave = np.zeros(self.n_blocks, bool)
+        wave[np.argsort(-bound, kind="stable")[: self.first]] = True
+        done, score, floor = np.zeros(self.n_blocks, bool), np.zeros((self.n_blocks, self.block)), 0.0
+        while True:
+            wave &= (bound > 0) & ~done
+            if not wave.any():
                 break
-            score = np.zeros(self.block)
-            at = b * self.n_terms
-            for t, w in zip(terms, weights, strict=True):
-                a, z = self.start[at + t], self.start[at + t + 1]
-                if a < z:
-                    score[self.row[a:z]] += w * self.weight[a:z]
-            hit = np.flatnonzero(score > 0)
-            own = hit + b * self.block
+            which = np.flatnonzero(wave)
+            here = np.flatnonzero(wave[block])
+            posting, of = _spread(self.run_start[run[here]], self.run_start[run[here] + 1])
+            score += np.bincount(self.row[posting], weights=self.weight[posting] * weight[here][of], minlength=score.size).reshape(score.shape)
+            score[which] += np.tensordot(cell_weight, self.cells[cell[:, None], which], 1)
+            done |= wave
+            flat = score.reshape(-1)
             if skip >= 0:
-                hit, own = hit[own != skip], own[own != skip]
-            rows, sims = np.concatenate([rows, own]), np.concatenate([sims, score[hit]])
-            if len(rows) > 1:
-                best = np.lexsort((rows, -np.round(sims, 12)))[:k]
-                rows, sims = rows[best], sims[best]
-        return rows, sims
-
+                flat[skip] = 0
+            if len(flat) > k:
+                floor = np.partition(flat, len(flat) - k)[len(flat) - k]
+            wave = bound >= floor - 1e-9
+        flat = score.reshape(-1)
+        rows = np.flatnonzero(flat >= max(floor - 1e-9, 1e-300))
+        rows = rows[np.lexsort((rows, -np.round(flat[rows], 12)))[:k]]
+        return rows, flat[rows]
 
-class Model:
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, index: Index | None, curve: np.ndarray, settings: Settings):
-        self.vocabulary, self.idf, self.index, self.curve, self.settings = vocabulary, idf, index, curve, settings
-        self.known: dict[str, tuple[int, ...]] = {}
 
-    def __getstate__(self):
-        return {**self.__dict__, "known": {}}
+@dataclass
+class Weights:
+    """Terms' weights, learned from examples."""
 
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and their weights, of length one; empty without known terms."""
-        return self.weights(Counter(WORD.findall((text or "").lower())))
+    weight: np.ndarray
+    settings: Settings
 
-    def weights(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        tf: Counter = Counter()
-        known = self.known
-        for word, n in words.items():
-            own = known.get(word)
-            if own is None:
-                if len(known) >= 500_000:
-                    known.clear()
-                own = known[word] = tuple(self.vocabulary[t] for t in terms_of(word, self.settings.beginnings) if t in self.vocabulary)
-            for t in own:
-                tf[t] += n
-        terms = np.array(sorted(tf), int)
-        if not len(terms):
-            return terms, np.zeros(0)
-        w = (1 + np.log([tf[t] for t in terms.tolist()])) * self.idf[terms]
-        return terms, w / np.sqrt((w * w).sum())
-
-    def inputs(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1):
-        """The vote in -1 to 1, the best cosine, and the neighbours."""
-        if self.index is None or not len(terms):
-            return 0.0, 0.0, (np.zeros(0, int), np.zeros(0))
-        rows, sims = self.index.nearest(terms, weights, self.settings.neighbours, skip)
-        if not len(rows):
-            return 0.0, 0.0, (rows, sims)
-        near = 1 / (1.05 - np.minimum(sims, 1))
-        return float((near * (2 * self.index.labels[rows] - 1)).sum() / near.sum()), float(sims[0]), (rows, sims)
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.weight[terms]
+        return terms, w / np.sqrt((w * w).sum()) if len(w) else w
 
-    def calibrated(self, vote: float, best: float) -> float:
-        x = np.array([1.0, vote, vote * best, float(best > 0)])
-        return float(1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30))))
 
-    def score(self, text: str | None) -> tuple[float, tuple[np.ndarray, np.ndarray]]:
-        vote, best, found = self.inputs(*self.vector(text))
-        return self.calibrated(vote, best), found
+def _weights(examples: list, labels: np.ndarray, share: np.ndarray, n_terms: int, settings: Settings) -> Weights:
+    """Inverse document frequency times relevance; of copies, each counts for its share of one text."""
+    held = np.zeros((2, n_terms))
+    for (terms, _), y, s in zip(examples, labels, share, strict=True):
+        held[int(y), terms] += s
+    n = np.array([share[labels == y].sum() for y in (0, 1)])
+    idf = np.log((1 + n.sum()) / (1 + held.sum(0))) + 1
+    leaning = held[1] * n[0] > held[0] * n[1]
+    link = np.where(leaning, _likelihood_ratio(held, np.maximum(n, 1e-9)), 0)
+    return Weights(idf * (settings.base + (1 - settings.base) * np.minimum(1, link / settings.full) ** 2), settings)
 
 
 def _likelihood_ratio(held: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -150,8 +155,56 @@ def _likelihood_ratio(held: np.ndarray, n: np.ndarray) -> np.ndarray:
     return 2 * sum(part(held[i], n[i], held[i] / n[i]) - part(held[i], n[i], common) for i in (0, 1))
 
 
-def _shares_of_copies(examples: list[np.ndarray], n_words: int, tries: int = 12, of: int = 8) -> np.ndarray:
-    """One over the size of each example's group of near copies: those that agree in all word min-hashes of any try."""
+def _votes(index: Index | None, vector: tuple[np.ndarray, np.ndarray], settings: Settings, skip: int = -1):
+    """The vote in -1 to 1, the best cosine, and the neighbours."""
+    if index is None or not len(vector[0]):
+        return 0.0, 0.0, (np.zeros(0, int), np.zeros(0))
+    rows, sims = index.nearest(*vector, settings.neighbours, skip)
+    if not len(rows):
+        return 0.0, 0.0, (rows, sims)
+    near = 1 / (1.05 - np.minimum(sims, 1))
+    return float((near * (2 * index.labels[rows] - 1)).sum() / near.sum()), float(sims[0]), (rows, sims)
+
+
+def _inputs(vote: float, best: float) -> list[float]:
+    return [1.0, vote, vote * best, float(best > 0)]
+
+
+class Model:
+    """`ids` and `labels` are the examples'; without examples of both labels there is no index, and every score is the same."""
+
+    def __init__(self, vocabulary: dict[str, int], weights: Weights, index: Index | None, ids: list, curve: np.ndarray, settings: Settings):
+        self.vocabulary, self.weights, self.index, self.curve, self.settings = vocabulary, weights, index, curve, settings
+        self.ids = [ids[i] for i in index.origin] if index else []
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def __getstate__(self):
+        return {**self.__dict__, "known": {}}
+
+    def terms(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms of a text and how often they stand in it."""
+        known, vocabulary = self.known, self.vocabulary
+        found: dict[int, int] = {}
+        for word, n in Counter(WORD.findall((text or "").lower())).items():
+            own = known.get(word)
+            if own is None:
+                if len(known) >= 200_000:
+                    known.clear()
+                own = known[word] = tuple(vocabulary[t] for t in terms_of(word, self.settings.beginnings) if t in vocabulary)
+            for t in own:
+                found[t] = found.get(t, 0) + n
+        return np.fromiter(found, int, len(found)), np.fromiter(found.values(), float, len(found))
+
+    def calibrated(self, vote: float, best: float) -> float:
+        return float(1 / (1 + np.exp(-np.clip(np.array(_inputs(vote, best)) @ self.curve, -30, 30))))
+
+    def score(self, text: str | None) -> tuple[float, tuple[np.ndarray, np.ndarray]]:
+        vote, best, found = _votes(self.index, self.weights.vector(*self.terms(text)), self.settings) if self.index else (0.0, 0.0, (np.zeros(0, int), np.zeros(0)))
+        return self.calibrated(vote, best), found
+
+
+def _groups_of_copies(examples: list[np.ndarray], n_words: int, tries: int = 12, of: int = 8) -> np.ndarray:
+    """The group of near copies that each example is in: those that agree in all word min-hashes of any try."""
     rng = np.random.default_rng(11)
     orders = [rng.permutation(n_words) for _ in range(tries * of)]
     group = list(range(len(examples)))
@@ -170,73 +223,77 @@ def _shares_of_copies(examples: list[np.ndarray], n_words: int, tries: int = 12,
         for j in range(tries):
             key = (j, *low[j * of : j * of + of])
             group[root(i)] = root(first.setdefault(key, i))
-    roots = [root(i) for i in range(len(examples))]
-    size = Counter(roots)
-    return np.array([1 / size[r] for r in roots])
+    return np.array([root(i) for i in range(len(examples))], int)
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn: Column | None = None, settings: Settings = Settings()) -> Model:
-    """Learns from at most `settings.sample` labelled rows of either label for which `learn` holds. Of repeated labels of an id the
-    highest counts. Without examples of both labels every score is the share of toxic ones."""
-    h = F.xxhash64(F.col("id").cast("string"))
+    """Learns from at most `settings.sample` labelled rows of either label for which `learn` holds, of at most `settings.longest` characters.
+    Of repeated labels of an id the highest counts; an id with several texts gives an example for each. Rows with a null id, text or label
+    teach nothing. Without examples of both labels, empty tables included, every score is the share of toxic ones. Ids may be of any type."""
     learn = F.lit(True) if learn is None else learn
-    marked = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
+    marked = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("long").alias("label"))
     shares = {r.label: r["count"] for r in marked.groupBy("label").count().collect()}
+    h = F.xxhash64(F.col("id").cast("string"))
     picked = [marked.where(F.col("label") == y).orderBy(h, "id").limit(settings.sample) for y in (0, 1)]
-    chosen = picked[0].unionByName(picked[1])
+    chosen = picked[0].unionByName(picked[1]).withColumn("h", h)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = ["\n".join(f"{w} {n}" for w, n in Counter(WORD.findall((t or "").lower())).items()) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.string())], names=["id", "label", "words"])
+            words = ["\n".join(f"{w} {n}" for w, n in sorted(Counter(WORD.findall(t.lower())).items())) for t in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(words, pa.string())], names=["id", "label", "h", "g", "words"])
 
     # The chosen ids are at most twice the sample, so this side is bounded.
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text").dropDuplicates(["id"])
-    rows = texts.select("id", F.col("label").cast("long").alias("label"), "text").mapInArrow(count, "id long, label long, words string").collect()
-    rows.sort(key=lambda r: r.id)
-    y = np.array([r.label > 0 for r in rows], int)
+    kind = documents.schema[id_col].dataType.simpleString()
+    texts = documents.where(F.length(text_col) <= settings.longest).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select(F.col("id"), "label", "h", F.xxhash64("text").alias("g"), "text")
+    counted = texts.mapInArrow(count, f"id {kind}, label long, h long, g long, words string").dropDuplicates(["id", "g"])
+    rows = counted.orderBy("h", "id", "g").limit(2 * settings.sample).collect()
+    y = np.array([r.label for r in rows], int)
+    total = sum(shares.values())
+    prior = (shares.get(1, 0) + 0.5) / (total + 1)
+    base = np.array([np.log(prior / (1 - prior)), 0.0, 0.0, 0.0])
+    if len(np.unique(y)) < 2:
+        return Model({}, Weights(np.zeros(0), settings), None, [], base, settings)
     number: dict[str, int] = {}
-    examples = []
+    words = []
     for r in rows:
         pairs = [line.rsplit(" ", 1) for line in r.words.split("\n") if line]
-        examples.append((np.array([number.setdefault(w, len(number)) for w, _ in pairs], int), np.array([int(c) for _, c in pairs], int)))
+        words.append((np.array([number.setdefault(w, len(number)) for w, _ in pairs], int), np.array([int(c) for _, c in pairs], float)))
     ids = [r.id for r in rows]
     del rows
-    term_number: dict[str, int] = {}
-    of_word = [np.array([term_number.setdefault(t, len(term_number)) for t in terms_of(w, settings.beginnings)], int) for w in number]
-    alone = _shares_of_copies([w for w, _ in examples], len(number))
-    held = np.zeros((2, len(term_number)))
-    for (words, _), label, share in zip(examples, y, alone, strict=True):
-        if len(words):
-            held[label, np.unique(np.concatenate([of_word[w] for w in words]))] += share
-    total = sum(shares.values())
-    prior = (sum(v for k, v in shares.items() if k) + 0.5) / (total + 1)
-    base = np.array([np.log(prior / (1 - prior)), 0.0, 0.0, 0.0])
-    n = np.array([alone[y == 0].sum(), alone[y == 1].sum()])
     vocabulary: dict[str, int] = {}
-    idf = np.zeros(0)
-    if n.min() > 0:
-        rate = held / n[:, None]
-        purity = prior * rate[1] / np.maximum(prior * rate[1] + (1 - prior) * rate[0], 1e-12)
-        chosen_terms = (held.sum(0) >= settings.least_rows) & (purity >= settings.pure) & (_likelihood_ratio(held, n) >= settings.least_ratio)
-        vocabulary = {t: i for i, t in enumerate(sorted(t for t, j in term_number.items() if chosen_terms[j]))}
-        df = np.array([held[:, term_number[t]].sum() for t in vocabulary])
-        idf = np.log((1 + n.sum()) / (1 + df)) + 1
-    if not vocabulary:
-        return Model({}, idf, None, base, settings)
-    bare = Model(vocabulary, idf, None, base, settings)
-    words = list(number)
-    vectors = [bare.weights({words[w]: int(c) for w, c in zip(*e, strict=True)}) for e in examples]
-    bare.index = Index(vectors, y > 0, ids, len(vocabulary), settings.block)
-    x = []
-    for row, i in enumerate(bare.index.origin):
-        vote, best, _ = bare.inputs(*vectors[i], skip=row)
-        x.append([1.0, vote, vote * best, float(best > 0)])
-    x, target = np.array(x), bare.index.labels
-    weight = np.where(target > 0, prior / max(n[1], 1), (1 - prior) / max(n[0], 1)) * alone[bare.index.origin]
-    weight = weight / weight.sum() * len(weight)
-    bare.curve = _logistic(x, target, weight, base)
-    return bare
+    of_word = [[vocabulary.setdefault(t, len(vocabulary)) for t in terms_of(w, settings.beginnings)] for w in number]
+    n_of, flat = np.array([len(x) for x in of_word], int), np.array([t for x in of_word for t in x], int)
+    first = np.cumsum(n_of) - n_of
+    examples = []
+    for w, c in words:
+        at, owner = _spread(first[w], first[w] + n_of[w])
+        terms, place = np.unique(flat[at], return_inverse=True)
+        examples.append((terms, np.bincount(place, weights=c[owner], minlength=len(terms))))
+    group = _groups_of_copies([w for w, _ in words], len(number))
+    alone = 1 / np.bincount(group, minlength=len(group))[group]
+
+    def build(which: np.ndarray) -> tuple[Weights, Index]:
+        own = [examples[i] for i in which]
+        weights = _weights(own, y[which], alone[which], len(vocabulary), settings)
+        return weights, Index([weights.vector(*e) for e in own], y[which], len(vocabulary), settings.block, settings.first)
+
+    # A group of copies is in one fold as a whole.
+    fold = np.random.default_rng(5).permutation(len(group))[group] % settings.folds
+    x, target, weight = [], [], []
+    for f in range(settings.folds):
+        rest = np.flatnonzero(fold != f)
+        if len(np.unique(y[rest])) < 2:
+            continue
+        weights, index = build(rest)
+        for i in np.flatnonzero(fold == f):
+            x.append(_inputs(*_votes(index, weights.vector(*examples[i]), settings)[:2]))
+            target.append(y[i])
+            weight.append((prior if y[i] else 1 - prior) * alone[i] / alone[y == y[i]].sum())
+    curve = base
+    if x and len(set(target)) > 1:
+        curve = _logistic(np.array(x), np.array(target, float), np.array(weight) / np.sum(weight) * len(weight), base)
+    weights, index = build(np.arange(len(y)))
+    return Model(vocabulary, weights, index, ids, curve, settings)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -261,24 +318,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarra
 
 
 def classify(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted, evidence) for each row; evidence lists the nearest examples with label and cosine.
+    """(doc_id, score, predicted, evidence) for each row; evidence lists the nearest examples with id, label and cosine.
 
     A null or empty text, or one without known terms, has no neighbours and gets the score that such examples have. A very
-    long text counts whole; equal cosines go to the example that comes first in the index. Other columns are not read.
+    long text counts whole; equal cosines go to the example that comes first in the index. Repeated rows and null ids give a row each;
+    an empty table gives an empty one. Other columns are not read.
     """
+    kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
         for b in batches:
+            id_type = b.schema.field(0).type
+            near = pa.list_(pa.struct([("doc_id", id_type), ("toxic", pa.int32()), ("cosine", pa.float64())]))
             scores, evidence = [], []
             for text in b.column(1).to_pylist():
                 s, (rows, sims) = model.score(text)
                 scores.append(s)
-                evidence.append([{"doc_id": model.index.ids[r], "toxic": int(model.index.labels[r]), "cosine": float(c)} for r, c in zip(rows, sims, strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= model.settings.threshold) for s in scores], pa.int32()), pa.array(evidence, kind)], names=["doc_id", "score", "predicted", "evidence"])
+                evidence.append([{"doc_id": model.ids[r], "toxic": int(model.index.labels[r]), "cosine": float(c)} for r, c in zip(rows, sims, strict=True)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= model.settings.threshold) for s in scores], pa.int32()), pa.array(evidence, near)], names=["doc_id", "score", "predicted", "evidence"])
 
-    kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
+    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id:{kind},toxic:int,cosine:double>>")
 
 
 def held_out(id_col: str):
