@@ -1,10 +1,9 @@
 """Secret scans (operator 10): key patterns, and windows of high Shannon entropy inside candidate strings.
 
 Base kinds are patterns of assignments, access keys and long hex strings. The entropy method looks at candidate
-strings, runs of key characters without a gap: for each class of characters a window slides over the string, its
-character counts are kept by adding the entering and taking off the leaving character, and the sum of c*log2(c)
-changes by those two terms only. Windows over the class's threshold that hold what keys hold (a digit and a letter,
-for mixed strings both cases) join to one span, unless the allow-list knows the string.
+strings, runs of key characters without a gap, less the parts that the allow-list knows: for each class of characters a window slides over
+the runs of that class, its character counts are kept by adding the entering and taking off the leaving character, and the sum of c*log2(c)
+changes by those two terms only. Windows over the class's threshold that hold what its keys hold join to one span.
 """
 
 from __future__ import annotations
@@ -32,25 +31,30 @@ LONG_HEX = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
 
 @dataclass(frozen=True)
 class CharClass:
-    """A class of key characters: window length and least entropy in bits a character."""
+    """A class of key characters: window length, least entropy in bits a character, and sets of characters of which a window holds at least so many."""
 
     name: str
     chars: str
     window: int
     bits: float
-    mixed_case: bool
+    holds: tuple[tuple[str, int], ...]
 
 
-HEX_CHARS = "0123456789abcdefABCDEF"
-KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-CLASSES = (CharClass("hex", HEX_CHARS, 24, 3.0, False), CharClass("key", KEY_CHARS, 20, 3.75, True))
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+KEY_CHARS = UPPER + LOWER + DIGITS + "+/_-"
+CLASSES = (
+    CharClass("hex", DIGITS + "abcdefABCDEF", 24, 3.0, ((DIGITS, 1), ("abcdefABCDEF", 1))),
+    CharClass("key", KEY_CHARS, 20, 3.75, ((DIGITS, 1), (LOWER, 1), (UPPER, 1))),
+    CharClass("lower", LOWER + DIGITS, 24, 3.6, ((DIGITS, 3), (LOWER, 3))),
+    CharClass("upper", UPPER + DIGITS, 24, 3.6, ((DIGITS, 3), (UPPER, 3))),
+)
 SHORTEST = min(c.window for c in CLASSES)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % SHORTEST)
-#: Strings that look random but are known: UUIDs, documentation samples, alphabets and counters.
+#: Parts that look random but are known: UUIDs, words of documentation samples, alphabets and counters.
 ALLOW = (
-    r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
-    r"(?i).*example.*",
-    r"(?i).*(abcdefghij|0123456789).*",
+    r"(?i)(?<![0-9a-f])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-f])",
+    r"(?i)[a-z0-9]*example[a-z0-9]*",
+    r"(?i)abcdefghij[k-z]*|0123456789",
 )
 _CAND_TABLE = bytes(99 if chr(i) in KEY_CHARS else 32 for i in range(256))
 _HEX_TABLE = bytes(104 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
@@ -77,18 +81,11 @@ def window_entropies(s: str, window: int) -> Iterator[float]:
             yield math.log2(window) - total / window
 
 
-def _key_like(s: str, mixed: bool) -> bool:
-    digit = any(c.isdigit() for c in s)
-    if mixed:
-        return digit and any(c.islower() for c in s) and any(c.isupper() for c in s)
-    return digit and any(c.isalpha() for c in s)
-
-
 class Scanner:
     def __init__(self, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW):
         self.classes = classes
         self.runs = [re.compile("[" + re.escape(c.chars) + "]{%d,}" % c.window) for c in classes]
-        self.allowed = [re.compile(a).fullmatch for a in allow]
+        self.allowed = re.compile("|".join(f"(?:{a.removeprefix('(?i)')})" for a in allow), re.IGNORECASE) if allow else None
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of the patterns: all matches from left to right, those too short dropped afterwards."""
@@ -103,21 +100,16 @@ class Scanner:
         return sorted(found)
 
     def entropy(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, 3, end) of joined windows over a class's threshold, outside allowed strings."""
+        """(start, 3, end) of joined windows over a class's threshold, outside allowed parts."""
         if _CAND_RUN not in text.encode("utf-8", "replace").translate(_CAND_TABLE):
             return []
         spans = []
         for cand in CANDIDATE.finditer(text):
-            if any(a(cand[0]) for a in self.allowed):
-                continue
-            for cls, runs in zip(self.classes, self.runs, strict=True):
-                for run in runs.finditer(cand[0]):
-                    s, at = run[0], cand.start() + run.start()
-                    if not _key_like(s, cls.mixed_case):
-                        continue
-                    for i, bits in enumerate(window_entropies(s, cls.window)):
-                        if bits >= cls.bits and _key_like(s[i : i + cls.window], cls.mixed_case):
-                            spans.append((at + i, at + i + cls.window))
+            for start, part in self.unknown(cand[0]):
+                for cls, runs in zip(self.classes, self.runs, strict=True):
+                    for run in runs.finditer(part):
+                        at = cand.start() + start + run.start()
+                        spans += [(at + i, at + i + cls.window) for i in self.windows(run[0], cls)]
         joined: list[list[int]] = []
         for a, z in sorted(spans):
             if joined and a <= joined[-1][1]:
@@ -127,6 +119,25 @@ class Scanner:
         return [(a, 3, z) for a, z in joined]
 
 
+    def unknown(self, candidate: str) -> list[tuple[int, str]]:
+        """(start, part) of what the allow-list leaves of a candidate and could hold a window."""
+        out, at = [], 0
+        for m in self.allowed.finditer(candidate) if self.allowed else ():
+            out.append((at, candidate[at : m.start()]))
+            at = m.end()
+        return [(a, p) for a, p in [*out, (at, candidate[at:])] if len(p) >= SHORTEST]
+
+    @staticmethod
+    def windows(run: str, cls: CharClass) -> Iterator[int]:
+        """Starts of the windows of a run that pass the class's threshold and hold what its keys hold."""
+        need = [(frozenset(chars), least) for chars, least in cls.holds]
+        if any(sum(c in chars for c in run) < least for chars, least in need):
+            return
+        for i, bits in enumerate(window_entropies(run, cls.window)):
+            if bits >= cls.bits and all(sum(c in chars for c in run[i : i + cls.window]) >= least for chars, least in need):
+                yield i
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in sorted(spans))
 
@@ -156,7 +167,8 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scann
 
 
 def redact(df: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]", scanner: Scanner | None = None) -> DataFrame:
-    """`df` with each found span of the text replaced by `mark`; overlapping spans become one mark, null stays null."""
+    """`df` with each found span of the text replaced by `mark`; overlapping spans become one mark, null stays null. Empty and very long texts, repeated
+    rows and empty tables need nothing special; other columns are kept as they are."""
     scanner = scanner or Scanner()
 
     @F.pandas_udf("string")
