@@ -118,19 +118,46 @@ class Model:
 
 
 def _sample(df: DataFrame, id_col: str, text_col: str, label_col: str, learn: Column | None, bound: int) -> DataFrame:
-    """At most `bound` labelled rows, those with the smallest hash of their id: picked on narrow columns first."""
+    """Labelled rows with the `bound` smallest hashes of their ids, and rows that tie with the last: picked on narrow columns."""
     h = F.xxhash64(F.col(id_col).cast("string"))
-    able = df.where(F.col(label_col).isNotNull() if learn is None else learn & F.col(label_col).isNotNull())
+    able = df.where((F.col(label_col).isNotNull() if learn is None else learn & F.col(label_col).isNotNull()) & F.col(text_col).isNotNull())
     edge = able.select(h.alias("h")).orderBy("h").limit(bound).agg(F.max("h")).first()[0]
-    if edge is None:
-        edge = -(2**63)
-    rows = able.where((h <= edge) & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), h.alias("h"), F.xxhash64(text_col).alias("g"))
-    return rows.orderBy("h", "g").limit(bound)
+    rows = able.where(F.lit(False) if edge is None else h <= edge)
+    return rows.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), h.alias("h"), F.xxhash64(text_col).alias("g"))
+
+
+def train(sparse: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, learned: np.ndarray, n_langs: int, settings: Settings, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings, softmax weights and bias after stochastic gradient descent over the texts `learned`, given as (buckets, counts)."""
+    emb = rng.normal(0, 0.1, (settings.buckets, settings.dims)).astype(np.float32)
+    w, bias = np.zeros((settings.dims, n_langs), np.float32), np.zeros(n_langs, np.float32)
+    per_epoch = max(1, -(-len(learned) // settings.batch))
+    epochs = max(settings.epochs, -(-settings.steps // per_epoch))
+    steps, done = epochs * per_epoch, 0
+    for _ in range(epochs):
+        rng.shuffle(learned)
+        for i in range(0, len(learned), settings.batch):
+            which = learned[i : i + settings.batch]
+            cols = np.unique(np.concatenate([sparse[j][0] for j in which]))
+            x = np.zeros((len(which), len(cols)), np.float32)
+            for r, j in enumerate(which):
+                x[r, np.searchsorted(cols, sparse[j][0])] = sparse[j][1] / sparse[j][1].sum()
+            own = emb[cols]
+            hidden = x @ own
+            z = hidden @ w + bias
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(which)), y[which]] -= 1
+            p *= settings.rate * (1 - done / steps) / len(which)
+            emb[cols] = own - x.T @ (p @ w.T)
+            w -= hidden.T @ p
+            bias -= p.sum(0)
+            done += 1
+    return emb, w, bias
 
 
 def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", learn: Column | None = None, settings: Settings = Settings()) -> Model:
-    """Learns from at most `settings.sample` rows of `df` for which `learn` holds. Subwords are counted on the executors; the driver gets
-    at most `buckets` counts for a row. Without labelled rows the model knows no language."""
+    """Learns from at most `settings.sample` rows of `df` for which `learn` holds. Subwords are counted on the executors, where the texts are; the driver
+    gets at most `buckets` counts for a row. Rows without a label or text teach nothing; without any the model knows no language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,7 +167,7 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_
                 out.append((found.astype("<u4").tobytes(), times.astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["label", "h", "g", "found", "times"])
 
-    rows = _sample(df, id_col, text_col, label_col, learn, settings.sample).mapInArrow(count, "label string, h long, g long, found binary, times binary").collect()
+    rows = _sample(df, id_col, text_col, label_col, learn, settings.sample).mapInArrow(count, "label string, h long, g long, found binary, times binary").orderBy("h", "g").limit(settings.sample).collect()
     rows = sorted((r for r in rows if r.found), key=lambda r: (r.h, r.g))
     langs = sorted({r.label for r in rows})
     if not langs:
@@ -160,30 +187,7 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_
     seen = np.zeros(settings.buckets)
     for j in learned:
         seen[sparse[j][0]] = 1
-    emb = rng.normal(0, 0.1, (settings.buckets, settings.dims)).astype(np.float32)
-    w, bias = np.zeros((settings.dims, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    per_epoch = max(1, -(-len(learned) // settings.batch))
-    epochs = max(settings.epochs, -(-settings.steps // per_epoch))
-    steps, done = epochs * per_epoch, 0
-    for _ in range(epochs):
-        rng.shuffle(learned)
-        for i in range(0, len(learned), settings.batch):
-            which = learned[i : i + settings.batch]
-            cols = np.unique(np.concatenate([sparse[j][0] for j in which]))
-            x = np.zeros((len(which), len(cols)), np.float32)
-            for r, j in enumerate(which):
-                x[r, np.searchsorted(cols, sparse[j][0])] = sparse[j][1] / sparse[j][1].sum()
-            own = emb[cols]
-            hidden = x @ own
-            z = hidden @ w + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(which)), y[which]] -= 1
-            p *= settings.rate * (1 - done / steps) / len(which)
-            emb[cols] = own - x.T @ (p @ w.T)
-            w -= hidden.T @ p
-            bias -= p.sum(0)
-            done += 1
+    emb, w, bias = train(sparse, y, learned, len(langs), settings, rng)
     logits = emb @ w
     z = np.concatenate([dense(held[i : i + 64]) @ logits for i in range(0, len(held), 64)] or [np.zeros((0, len(langs)))]) + bias
     true = y[held]
@@ -213,7 +217,8 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_
 
 def classify(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) for each row. A text that is null or has no letter is `und` with score 0 and
-    rejected; a very long text counts whole; equal scores go to the first language by name. Other columns are not read."""
+    rejected; a very long text counts whole; equal scores go to the first language by name. Repeated rows and null ids give a row each; an empty
+    table gives an empty one. Other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -226,7 +231,8 @@ def classify(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
 
 
 def keep_identified(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows of `df` whose text is not rejected, with their columns."""
+    """The rows of `df` whose text is not rejected, with their columns. Null and empty texts and those without letters go; repeated rows are judged
+    alike; ids are not looked at."""
 
     @F.pandas_udf("boolean")
     def accepted(texts):
