@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,15 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
     """Texts can be long: no more than so many rows go to a Python worker at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
+    now = int(spark.conf.get(_BATCH_ROWS, "10000"))
     if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+        spark.conf.set(_BATCH_ROWS, str(rows))
     return spark
 
 
+@contextmanager
+def with_bounded_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """The same for what is written inside; afterwards the session is as it was."""
+    before = spark.conf.get(_BATCH_ROWS, "10000")
+    bounded_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+
+
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/sparkloom/{what}-{uuid.uuid4().hex}"
 
@@ -43,6 +57,14 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Remove the written table that `df` reads, which nothing needs any more."""
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def join_hot(rows: DataFrame, side: DataFrame, key: str, count: str, total: int | None = None, most: int = 1000) -> DataFrame:
     """`rows` with the columns of `side` (one row a key), which says in `count` how many rows of `rows` have the key; rows without a
     key there go. `total` is the sum of these counts, or more.
@@ -58,6 +80,12 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, count: str, total: int
     return held.select(*rest.columns).unionByName(rest)
 
 
+def drop_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`df` without the rows that `gone` names by id and digest of the text (_id, _row); null ids equal each other."""
+    named = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_row"))
+    return df.join(gone, named, "left_anti")
+
+
 def utf8(column: Column) -> Column:
     return column.cast("string").cast("binary")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import join_hot, materialise
+from sparkloom.llm.common import discard, join_hot, materialise
 
 MAX_ROUNDS = 64
 
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
         small = join_hot(large, low, "u", "c", total)
         small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = materialise(small, "cc")
+        before, now = now, materialise(small, "cc")
+        discard(before.sparkSession, before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == mark:
             break

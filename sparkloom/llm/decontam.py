@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialise
+from sparkloom.llm.common import drop_rows, materialise
 from sparkloom.llm.shingles import mix
 
 #: Characters canonicalised at once; a longer text is a chunk of its own.
@@ -375,33 +375,39 @@ def judge(windows: list[dict], how: Settings) -> tuple[bool, int, int, bool, int
     return best
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, how: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, matched, item_windows, coverage, longest_run, kind): a row for each item found in a document; kind is exact or
-    reparameterised. The best alignment counts: most windows, then the first.
-
-    Null and empty texts and items match nothing; an item found in any of the documents with one id is found in that id; equal items are each found; a very long text
-    is compared whole; other columns are not read; empty tables give an empty one.
-    """
+def judged(docs: DataFrame, benchmark: DataFrame, how: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, row, item_id, shift, matched, longest_run, same, item_windows) of the alignments in which an item is found; `row` is a digest of the text."""
     index = materialise(index_items(benchmark, how, item_col=item_col, text_col=item_text_col), "items")
     pairs = match_windows(docs, index, how, id_col=id_col, text_col=text_col).withColumns({"shift": F.col("at") - F.col("item_at"), "wide": F.col("wide") | F.col("item_wide")})
     # Shifts within reach of each other share one of the two regions that each alignment goes to as a whole.
     apart = F.greatest(F.lit(8), F.floor(F.col("tokens") / 2)) + 1
     pairs = pairs.withColumn("region", F.floor(F.col("shift") / apart)).withColumn("region", F.explode(F.array("region", F.col("region") - 1)))
     window = F.struct("shift", "item_at", "item_windows", "tokens", "size", "wide", "slots", "item_slots", "fixed")
-    lines = pairs.groupBy("doc_id", "row", "item_id", "region").agg(F.array_sort(F.collect_set(window)).alias("line")).select("doc_id", "item_id", "line")
+    lines = pairs.groupBy("doc_id", "row", "item_id", "region").agg(F.array_sort(F.collect_set(window)).alias("line")).select("doc_id", "item_id", "line", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found, matched, longest, same, shift, sizes = zip(*[(*judge(line, how), line[0]["item_windows"]) for line in b.column(2).to_pylist()], strict=True) if b.num_rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shift, pa.int64()), pa.array(found, pa.bool_()), pa.array(matched, pa.int64()), pa.array(longest, pa.int64()), pa.array(same, pa.bool_()), pa.array(sizes, pa.int64())], names=["doc_id", "item_id", "shift", "found", "matched", "longest_run", "same", "item_windows"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shift, pa.int64()), pa.array(found, pa.bool_()), pa.array(matched, pa.int64()), pa.array(longest, pa.int64()), pa.array(same, pa.bool_()), pa.array(sizes, pa.int64()), b.column(3)], names=["doc_id", "item_id", "shift", "found", "matched", "longest_run", "same", "item_windows", "row"])
 
     d, i = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    judged = lines.mapInArrow(run, f"doc_id {d}, item_id {i}, shift long, found boolean, matched long, longest_run long, same boolean, item_windows long").where("found")
-    best = judged.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("matched", "item_windows", "longest_run", "same"), F.struct("matched", -F.col("shift"))).alias("b"))
+    return lines.mapInArrow(run, f"doc_id {d}, item_id {i}, shift long, found boolean, matched long, longest_run long, same boolean, item_windows long, row long").where("found")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, how: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, matched, item_windows, coverage, longest_run, kind): a row for each item found in a document; kind is exact or
+    reparameterised. The best alignment counts: most windows, then the first.
+
+    Null and empty texts and items match nothing; an item found in any of the documents with one id is found in that id, rows with a null id
+    counting as one; equal items are each found; a very long text is compared whole; other columns are not read; empty tables give an empty one.
+    """
+    found = judged(docs, benchmark, how, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col)
+    best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("matched", "item_windows", "longest_run", "same"), F.struct("matched", -F.col("shift"))).alias("b"))
     return best.select("doc_id", "item_id", "b.matched", "b.item_windows", (F.col("b.matched") / F.col("b.item_windows")).alias("coverage"), "b.longest_run", F.when(F.col("b.same"), "exact").otherwise("reparameterised").alias("kind"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, how: Settings = Settings(), *, id_col: str = "doc_id") -> DataFrame:
-    """The rows of `docs` in which no item is found, with their columns; rows with a null id stay."""
-    found = materialise(contaminated(docs, benchmark, how, id_col=id_col).select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
-    return docs.join(found, id_col, "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, how: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` in whose own text no item is found, with their columns: of rows that share an id, those with other texts stay. A null
+    id, an empty text or an extra column changes nothing; empty tables give back `docs`."""
+    found = judged(docs, benchmark, how, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    return drop_rows(docs, materialise(found, "contaminated"), id_col, text_col)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import join_hot, materialise
+from sparkloom.llm.common import drop_rows, join_hot, materialise
 from sparkloom.llm.components import components
 from sparkloom.llm.shingles import shingle_sets
 
@@ -66,18 +66,20 @@ def _signed(values) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array((flat ^ np.uint64(1 << 63)).view(np.int64)))
 
 
-def sketches(df: DataFrame, how: NearDup, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, cls, low): size and digest of the set (null without words), and its k smallest hashes."""
+def sketches(df: DataFrame, how: NearDup, *, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, n_shingles, cls, low): size and digest of the set (null without words), and its k smallest hashes; and what `extra` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 sets = shingle_sets(b.column(1).slice(i, 512).to_pylist(), how.width)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 512), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), _signed([s[: how.k] for s in sets])], names=["doc_id", "n_shingles", "cls", "low"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 512), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.string()), _signed([s[: how.k] for s in sets]), *[c.slice(i, 512) for c in b.columns[2:]]], names=["doc_id", "n_shingles", "cls", "low", *more])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, cls string, low array<long>")
+    slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[c.alias(k) for k, c in (extra or {}).items()])
+    more = slim.columns[2:]
+    schema = f"doc_id {slim.dtypes[0][1]}, n_shingles long, cls string, low array<long>" + "".join(f", {k} {t}" for k, t in slim.dtypes[2:])
+    return slim.mapInArrow(run, schema)
 
 
 def full_sets(df: DataFrame, how: NearDup, wanted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,7 +163,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
     """Pairs (a, b) whose estimate can reach the threshold and whose exact Jaccard on full sets does. `size` says how many partners a class may
     have; those of one with many go to several tasks by their hash. A task reads that class's set first and then lets its partners' sets pass by."""
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / how.partners)).cast("int")
-    salted = pairs.groupBy("a", "b").agg(F.max("size").alias("size")).select("a", "b", salt.alias("salt"))
+    salted = materialise(pairs.groupBy("a", "b").agg(F.max("size").alias("size")).select("a", "b", salt.alias("salt")), "pairs")
     partners = salted.join(sets.select(F.col("cls").alias("b"), "set"), "b").select("a", "salt", "b", "set")
     heads = salted.select("a", "salt").distinct().join(sets.select(F.col("cls").alias("a"), "set"), "a").select("a", "salt", F.lit(None).cast("string").alias("b"), "set")
     dealt = heads.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -280,8 +282,8 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, how: NearD
     return dealt.join(low, "cls").groupBy("value", "p", "q").applyInArrow(compare, "a string, b string, size long")
 
 
-def near_duplicates(df: DataFrame, how: NearDup = NearDup(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of `df`.
+def near_duplicates(df: DataFrame, how: NearDup = NearDup(), *, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of `df`, and what `extra` names.
 
     Null texts and texts without words have no shingles and are linked with nothing; a text with fewer words than a
     shingle is one shingle. component_id is the smallest id that links lead to, kept whether that is the row's own;
@@ -289,7 +291,7 @@ def near_duplicates(df: DataFrame, how: NearDup = NearDup(), *, id_col: str = "d
     are not read. An empty table gives an empty one. A very long text is one row with a long set.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    rows = materialise(sketches(df, how, id_col=id_col, text_col=text_col), "sketches")
+    rows = materialise(sketches(df, how, id_col=id_col, text_col=text_col, extra=extra), "sketches")
     classes = rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("low").alias("low"))
     lists = materialise(inverted_lists(classes, how), "lists")
     members = lists.select("rep", "cls").distinct()
@@ -307,8 +309,28 @@ def near_duplicates(df: DataFrame, how: NearDup = NearDup(), *, id_col: str = "d
     found = labels.join(least, "label").select(F.col("node").alias("cls"), "component_id")
     many = rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = materialise(many.join(found, "cls", "left").select("cls", "copies", F.coalesce("component_id", "rep").cast(kind).alias("component_id")), "classes")
-    out = rows.select("doc_id", "n_shingles", "cls")
+    more = list(extra or {})
+    out = rows.select("doc_id", "n_shingles", "cls", *more)
     grouped = join_hot(out.where("cls IS NOT NULL AND doc_id IS NOT NULL"), reps, "cls", "copies")
     alone = out.where("cls IS NULL OR doc_id IS NULL").withColumn("component_id", F.col("doc_id"))
-    both = grouped.select("doc_id", "n_shingles", "component_id").unionByName(alone.drop("cls"))
+    both = grouped.select("doc_id", "n_shingles", *more, "component_id").unionByName(alone.drop("cls"))
     return both.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(df: DataFrame, how: NearDup = NearDup(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with its columns, of each group of near copies: one of those with the smallest id. Rows without words or with a null id stay.
+
+    Rows are judged by id and text, so a row that shares its id with a near copy but not its text stays. Where several rows of a group have the
+    smallest id (repeated ids), that with the smallest digest stays, and of rows equal in id and text any one.
+    """
+    row = F.xxhash64(text_col)
+    judged = materialise(near_duplicates(df, how, id_col=id_col, text_col=text_col, extra={"row": row}), "judged")
+    kept = judged.where("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy("component_id").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("rows")).where("rows > 1")
+    other = judged.where("kept").join(kept.select("component_id", "first"), "component_id").where("row <> first")
+    gone = judged.where("NOT kept").select("doc_id", "row").unionByName(other.select("doc_id", "row")).distinct().select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    left = drop_rows(df, materialise(gone, "near-duplicates"), id_col, text_col)
+    # Equal rows meet only where a group has several rows of the smallest id.
+    again = materialise(kept.select(F.col("component_id").alias("_id"), F.col("first").alias("_row")), "repeated")
+    named = F.col(id_col).eqNullSafe(F.col("_id")) & (row == F.col("_row"))
+    once = left.join(again, named, "left_semi").withColumn("_row", row).dropDuplicates([id_col, "_row"]).drop("_row")
+    return left.join(again, named, "left_anti").unionByName(once)

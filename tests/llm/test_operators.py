@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -19,6 +20,7 @@ from sparkloom.llm.common import running_total
 from sparkloom.llm.components import components
 from sparkloom.llm.shingles import shingle_sets
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 RANKS, PIECES = PT.path("byte_bpe_50k.tiktoken"), PT.path("piece_bpe_32k.model")
 ODD = [None, "", " ", "\n\n", "é", "日本語 テキスト", "a" * 5000, "word " * 3000, "▁▁ x▁y", "<s> </s> <|endoftext|>", "\x00\x1c\x85", "🎉🎉", "it's 'll THE\r\n\ttab"]
 
@@ -126,6 +128,29 @@ def test_language_id_without_labels(spark):
     assert langid.classify(empty_docs(spark), m).count() == 0
 
 
+def test_folded_table_is_the_average_and_the_softmax():
+    """Prediction by the folded table against embeddings averaged and put through the softmax one text at a time."""
+    rng, how = np.random.default_rng(3), langid.Settings(buckets=256, steps=200)
+    texts = [" ".join(rng.choice(w, 9)) for w in (["lorem", "ipsum", "dolor"], ["zwölf", "jagen", "viktor"]) for _ in range(30)]
+    sparse = []
+    for t in texts:
+        found, times = np.unique(langid.subwords([t], how.widths, how.buckets)[1], return_counts=True)
+        sparse.append((found, times.astype(np.float32)))
+    y = np.repeat([0, 1], 30)
+    emb, w, bias = langid.train(sparse, y, np.arange(60), 2, how, np.random.default_rng(1))
+    seen = np.zeros(how.buckets)
+    seen[np.unique(np.concatenate([s[0] for s in sparse[:40]]))] = 1
+    heat = 1.7
+    model = langid.Model(["a", "b"], emb @ w / heat, bias / heat, 0.0, how, seen)
+    pred, score = model.predict([*texts, "unter", "日本 1"])
+    for i, t in enumerate([*texts, "unter", "日本 1"]):
+        own = langid.subwords([t], how.widths, how.buckets)[1]
+        z = (np.mean([emb[b] for b in own], axis=0) @ w + bias) / heat
+        p = np.exp(z) / np.exp(z).sum()
+        assert pred[i] == "ab"[int(p.argmax())] and abs(score[i] - p.max() * np.mean([seen[b] for b in own])) < 1e-5
+    assert np.mean([a == "ab"[b] for a, b in zip(pred, y, strict=False)]) > 0.95
+
+
 def test_unlearned_text_is_rejected_and_learned_text_stays_with_noisy_labels(spark):
     d = lang_docs(spark)
     other = ["Η γλώσσα αυτή δεν είναι γνωστή και κανείς δεν τη διάβασε ποτέ", "これは学習していない言語の文章です", "этот язык никогда не встречался в обучении", "qxzjk wvqzx jjqkx zzxqv kqxjw"]
@@ -179,11 +204,25 @@ def test_toxicity(spark):
     assert np.mean([r.predicted == (r.doc_id % 5 == 0) for r in got]) > 0.98
     held = {r.doc_id for r in docs.where(toxicity.held_out("doc_id")).collect()}
     assert not held & {e.doc_id for r in got for e in r.evidence}
+    # Every text with known words has neighbours, and both labels are among them.
+    assert all(r.evidence for r in got) and {e.toxic for r in got for e in r.evidence} == {0, 1}
     odd = toxicity.classify(odd_docs(spark), m).collect()
     assert len(odd) == odd_docs(spark).count() and all(r.predicted == 0 for r in odd)
     assert toxicity.classify(empty_docs(spark), m).count() == 0
 
 
+def test_toxicity_with_ids_of_any_type_and_repeated_ids(spark):
+    docs, labels = toxic_tables(spark)
+    name = lambda d: d.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    more = docs.where("doc_id < 50").withColumn("text", F.concat("text", F.lit(" more")))
+    both = name(docs.unionByName(more).unionByName(docs.where("doc_id < 50")))
+    m, again = (toxicity.fit(d, name(labels)) for d in (both, both.repartition(5)))
+    assert len(m.ids) == 650 and m.ids == again.ids and np.array_equal(m.curve, again.curve)
+    got = toxicity.classify(both, m).collect()
+    assert len(got) == 700 and all(e.doc_id.startswith("d") for r in got for e in r.evidence)
+    assert np.mean([r.predicted == (int(r.doc_id[1:]) % 5 == 0) for r in got]) > 0.98
+
+
 def test_toxicity_without_examples(spark):
     docs, labels = toxic_tables(spark, 20)
     m = toxicity.fit(docs, labels.where("toxic = 0"))
@@ -201,7 +240,7 @@ def test_nearest_are_exact(seed):
         t = np.flatnonzero(rng.random(terms) < 0.3)
         w = rng.integers(1, 4, len(t)).astype(float)
         vectors.append((t, w / np.linalg.norm(w) if len(w) else w))
-    ix = toxicity.Index(vectors, rng.random(n) < 0.5, list(range(n)), terms, 4)
+    ix = toxicity.Index(vectors, rng.random(n) < 0.5, terms, 4, first=1, full=int(rng.integers(1, 9)))
     q = np.flatnonzero(rng.random(terms) < 0.4)
     if not len(q):
         return
@@ -317,6 +356,64 @@ def test_near_duplicates_are_those_of_brute_force(spark, seed, width, percent, b
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
+def test_exact_mode_and_its_bounds(spark):
+    """Sets longer than a sketch, many of them hard at the threshold: the exact mode is brute force, the sketches miss none of them here."""
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(3000)]
+    docs = []
+    for g in range(12):
+        base = rng.choices(words, k=300)
+        for c in range(6):
+            own = list(base)
+            for at in rng.sample(range(300), 2 + c + g % 3):
+                own[at] = f"x{g}_{c}_{at}"
+            docs.append((len(docs), " ".join(own)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_components(docs, 3, 85)
+    for how in (minhash.NearDup.exact(3, 85), minhash.NearDup(3, 85)):
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(d, how).collect()} == want
+    assert 12 < sum(kept for _, _, kept in want.values()) < len(docs)
+
+
+def test_estimates_at_the_threshold_let_pairs_pass():
+    """Recall of the two steps that chance takes part in, on pairs of long sets whose similarity is the threshold itself."""
+    how, rng = minhash.NearDup(3, 85), np.random.default_rng(5)
+    met = passed = 0
+    for _ in range(400):
+        both = rng.integers(-(2**62), 2**62, 850)
+        a, b = (np.sort(np.concatenate([both, rng.integers(-(2**62), 2**62, 75)])) for _ in range(2))
+        met += len(np.intersect1d(a[: how.k], b[: how.k])) >= how.shared
+        passed += minhash.similar(a, np.concatenate([b, a, b[:3]]), np.array([0, len(b), len(a) + len(b), len(a) + len(b) + 3]), how).tolist() == [True, True, False]
+    assert (met, passed) == (400, 400)
+
+
+def test_large_groups_of_copies(spark):
+    """5,000 near copies of one text that differ from each other, 5,000 exact ones, and one passage in 500 further texts."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(2000)]
+    base, passage = rng.choices(words, k=200), rng.choices(words, k=40)
+    docs = [(i, " ".join([*base[:195], *[f"y{i}_{j}" for j in range(2)], *base[197:]])) for i in range(5000)]
+    docs += [(5000 + i, "the same words stand here again and again in every row") for i in range(5000)]
+    docs += [(10_000 + i, " ".join([*passage, *rng.choices(words, k=60)])) for i in range(500)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(d, minhash.NearDup(3, 85)).collect()}
+    assert {got[i] for i in range(5000)} == {0} and {got[i] for i in range(5000, 10_000)} == {5000}
+    assert all(got[i] == i for i in range(10_000, 10_500))
+
+
+def test_one_row_of_each_group_stays(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*base[:59], "x"]), "quite another text that shares nothing with those before it"
+    rows = [(1, " ".join(base)), (1, " ".join(base)), (2, near), (2, other), (3, near), (None, near), (4, None), (4, ""), (1, near), (5, other)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "kept": F.lit(2), "_p": F.lit(3)})
+    left = minhash.drop_near_duplicates(d)
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    # Id 2 stays with its own text, since that text's group has no smaller id; of id 1 one row stays.
+    assert left.columns == d.columns and len(got) == 5
+    assert [i for i, _ in got] == [1, 2, 4, 4, None] and got[1][1] == other and got[4][1] == near
+    assert minhash.drop_near_duplicates(d.limit(0)).count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(empty_docs(spark)).count() == 0
 
@@ -360,11 +457,9 @@ def test_byte_bpe_is_the_library(spark):
 
 
 def test_small_dictionaries_change_nothing():
-    codec, counter = bpe_codec.ByteBpe(RANKS, PT.PATTERN, max_kept=3), piece_count.PieceCounter(PIECES, max_kept=3)
-    big, full = bpe_codec.ByteBpe(RANKS, PT.PATTERN), piece_count.PieceCounter(PIECES)
+    codec, big = bpe_codec.ByteBpe(RANKS, PT.PATTERN, max_kept=3), bpe_codec.ByteBpe(RANKS, PT.PATTERN)
     texts = [*ODD, "the quick brown fox", "the quick"] * 2
     assert [codec.encode(t) for t in texts] == [big.encode(t) for t in texts]
-    assert counter.count(texts) == full.count(texts)
 
 
 @settings(max_examples=300, deadline=None)
@@ -373,53 +468,97 @@ def test_counts_are_the_library(text):
     import sentencepiece
 
     own = test_counts_are_the_library.__dict__.setdefault("own", [piece_count.PieceCounter(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)])
-    assert own[0].count([text]) == [len(own[1].encode(text))]
+    assert own[0].count(text) == len(own[1].encode(text))
 
 
 def test_piece_counts(spark):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    got = piece_count.count_pieces(odd_docs(spark), PIECES, limit=10).collect()
-    assert len(got) == odd_docs(spark).count()
-    for r in got:
-        text = "null id" if r.doc_id is None else ODD[r.doc_id] or ""
-        assert (r.n_bytes, r.n_tokens) == (len(text.encode()), len(sp.encode(text))) and r.over_limit == (r.n_tokens > 10)
+    for more in ({}, {"common": 2, "max_kept": 3}):  # nearly all by the join; tasks that hold few pre-tokens
+        got = piece_count.count_pieces(odd_docs(spark), PIECES, limit=10, **more).collect()
+        assert len(got) == odd_docs(spark).count()
+        for r in got:
+            text = "null id" if r.doc_id is None else ODD[r.doc_id] or ""
+            assert (r.n_bytes, r.n_tokens) == (len(text.encode()), len(sp.encode(text))) and r.over_limit == (r.n_tokens > 10)
     assert piece_count.count_pieces(empty_docs(spark), PIECES).count() == 0
 
 
+def test_each_pre_token_is_counted_once(spark):
+    d = spark.createDataFrame([(i, f"the cat {i % 3} sat\non the mat") for i in range(60)], "doc_id long, text string").repartition(4)
+    got = {r.pre_token: (r.docs, r.pieces) for r in piece_count.counted(piece_count.distinct_pre_tokens(d, PIECES, max_kept=2), PIECES).collect()}
+    assert got[" the"] == (60, 1) and got["\n"][0] == 60 and got[" 1"][0] == 20 and len(got) == 9
+
+
+def test_long_pre_tokens_are_quick():
+    import sentencepiece
+
+    text = "ab" * 50_000 + "日本é" * 2_000
+    assert piece_count.PieceCounter(PIECES).count(text) == len(sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(text))
+
+
 # --- 7
 
 
 def brute_top(rows, k, every):
-    out = set()
-    sound = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            sound.setdefault(i, [math.floor(256 * float(np.float32(x))) for x in v])
-    for q, a in sound.items():
+    """Every sound row is a candidate of every other, also where ids repeat."""
+    sound = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for at, (q, a) in enumerate(sound):
         if q % every == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in sound.items() if i != q)[:k]
-            out |= {(q, r, i, -s) for r, (s, i) in enumerate(best, 1)}
-    return out
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for n, (i, b) in enumerate(sound) if n != at)[:k]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+def top(d, k, **more):
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(d, k, **more).collect())
 
 
-@pytest.mark.parametrize(("n", "candidates", "queries"), [(300, 64, 3), (3, 4096, 512)])
+@pytest.mark.parametrize(("n", "candidates", "queries"), [(300, 64 * 50, 3 * 50), (3, topk.CANDIDATES, topk.QUERIES)])
 def test_top_k(spark, n, candidates, queries):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(0, 0.2, 40).astype("f4").tolist()) for i in range(n)]
     rows += [(n + i, rows[0][1]) for i in range(20)]
-    rows += [(1001, None), (1002, [1.0, None]), (1003, [float("nan")] * 40), (1004, [float("inf")] * 40), (1050, []), (1051, [0.5] * 50), (0, rows[0][1])]
+    rows += [(1001, None), (1002, [1.0, None]), (1003, [float("nan")] * 40), (1004, [float("inf")] * 40), (1050, []), (1051, [0.5] * 50), (0, rows[0][1]), (2, rows[1][1]), (None, rows[1][1])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"id": F.lit(1), "v": F.lit(2), "score": F.lit(3)})
-    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(d, 5, candidates=candidates, queries=queries).collect()}
-    assert got == brute_top(rows, 5, 50)
+    assert top(d, 5, candidates=candidates, queries=queries) == brute_top(rows, 5, 50)
 
 
 def test_top_k_of_nothing_and_of_large_values(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
-    rows = [(50 * i, [float(2**20 + i), -1.5]) for i in range(8)]
-    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(d, 3).collect()} == brute_top(rows, 3, 50)
+    many = [(50 * i, [float(2**20 + i), -1.5]) for i in range(8)]
+    huge = [(0, [1.0, 0.0]), (1, [1e8, 0.0]), (2, [2e8, 3.0]), (3, [-2e8, 3.0]), (4, [3e13, 7.0])]
+    twice = [(0, [1.0]), (1, [1.0]), (1, [3.0])]
+    for rows in (many, huge, twice):
+        d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        assert top(d, 3) == brute_top(rows, 3, 50)
+    beyond = spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(beyond).collect()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.sampled_from([1, 300, 2**20, 2**27]))
+def test_blocks_are_exact(seed, size):
+    """Few values, so many ties; numbers of every kind of sum."""
+    rng = np.random.default_rng(seed)
+    q, c = (np.floor(rng.integers(-3, 4, (int(n), 37)) * float(size)) for n in rng.integers(1, 30, 2))
+    ids = rng.integers(0, 20, len(c))
+    i, j, s = topk.block_top(np.arange(len(q)), q, np.arange(len(c)), ids, c, 4, step=5)
+    got = [sorted((-int(x), int(ids[b])) for a, b, x in zip(i, j, s, strict=True) if a == r) for r in range(len(q))]
+    want = [sorted((-sum(int(x) * int(y) for x, y in zip(q[r], c[b], strict=True)), int(ids[b])) for b in range(len(c)) if b != r)[:4] for r in range(len(q))]
+    assert got == want
+
+
+def test_pruning_leaves_few(spark):
+    """On the given vectors, fewer than half of the pairs are left before the last step, and fewer still after it."""
+    got = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    v = np.floor(np.array([r.embedding for r in got]) * 256)
+    at, live = np.arange(len(v)), []
+    q = np.array([r.vec_id % 50 == 0 for r in got])
+    topk.block_top(at[q], v[q], at, at, v, 5, live=live)
+    assert len(live) == 4 and live[-2] < 0.5 and live[-1] < 0.1
 
 
 # --- 8
@@ -436,14 +575,16 @@ def template_tables(spark):
     return docs, items
 
 
-@pytest.mark.parametrize("most", [2_000_000, 0])
-def test_decontamination(spark, most):
+@pytest.mark.parametrize("bits", [decontam.Settings.filter_bits, 1])
+def test_decontamination(spark, bits):
     docs, items = template_tables(spark)
-    got = {(r.doc_id, r.item_id): r.kind for r in decontam.contaminated(docs, items, decontam.Settings(most_broadcast=most)).collect()}
+    got = {(r.doc_id, r.item_id): r.kind for r in decontam.contaminated(docs, items, decontam.Settings(filter_bits=bits)).collect()}
     # Document 3 exchanges one of two equal names: its slots contradict each other.
     assert got == {(d, i): k for d, k in ((1, "exact"), (2, "reparameterised"), (8, "exact"), (None, "exact")) for i in (1, 5)} | {(7, 4): "exact"}
     left = decontam.drop_contaminated(docs, items)
-    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["3", "4", "5", "6", "None"]
+    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["3", "4", "5", "6"]
+    shared = docs.where("doc_id IN (1, 4)").withColumn("doc_id", F.lit(1).cast("long"))  # one id, one leaked text and one clean one
+    assert [r.text for r in decontam.drop_contaminated(shared, items).collect()] == [r.text for r in docs.where("doc_id = 4").collect()]
     assert decontam.contaminated(docs.limit(0), items).count() == 0 and decontam.contaminated(docs, items.limit(0)).count() == 0
 
 
@@ -536,6 +677,56 @@ def test_window_entropy(s, w):
     assert np.allclose(got, [plain(s[i : i + w]) for i in range(len(s) - w + 1)], atol=1e-9)
 
 
+SETS = {"hex": ("0123456789abcdefABCDEF", 24, 3.0), "key": (None, 20, 3.75), "lower": ("abcdefghijklmnopqrstuvwxyz0123456789", 24, 3.6), "upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 24, 3.6)}
+
+
+def brute_entropy(text):
+    """Every window of every class, each with its entropy counted anew; windows that touch are one span."""
+    def known(part):
+        return [m.span() for m in re.finditer(r"(?<![0-9a-f])[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}(?![0-9a-f])|[a-z0-9]*example[a-z0-9]*|abcdefghij[k-z]*|0123456789", part, re.IGNORECASE)]
+
+    marked = [False] * (len(text) + 1)
+    joined = set()
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
+        gone = {m.start() + i for a, z in known(m[0]) for i in range(a, z)}
+        for name, (chars, n, least) in SETS.items():
+            for i in range(m.start(), m.end() - n + 1):
+                w = text[i : i + n]
+                if gone & set(range(i, i + n)) or (chars and set(w) - set(chars)):
+                    continue
+                digits, low, up = (sum(f(c) for c in w) for f in (str.isdigit, str.islower, str.isupper))
+                holds = {"hex": digits and digits < n, "key": digits and low and up, "lower": digits >= 3 and low >= 3, "upper": digits >= 3 and up >= 3}[name]
+                if holds and -sum(c / n * math.log2(c / n) for c in collections.Counter(w).values()) >= least - 1e-12:
+                    joined.add((i, i + n))
+    out = []
+    for a, z in sorted(joined):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], z))
+        else:
+            out.append((a, z))
+    return [(a, 3, z) for a, z in out]
+
+
+KEYS = ["x9Kq2LmP7vTz4RbW8nYc3", "3ax6xnjp29jd6fds4gc373sgvjxteol0", "Q4ZT7XK2M9B1VN8RW3PY5HJ6", "deadBEEF0123cafe4567f00d", "123e4567-e89b-12d3-a456-426614174000", "wordsjoinedwithoutanydigits", "0123456789", "example", "/", "_", "-", " ", "é", "abcdefghijklm"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(KEYS), max_size=7).map("".join))
+def test_entropy_spans(text):
+    assert secret_scan.Scanner().entropy(text) == brute_entropy(text)
+
+
+def test_keys_of_one_case_and_keys_beside_known_words():
+    own = secret_scan.Scanner()
+    for key in KEYS[:4]:
+        for text, at in ((f"key {key} end", 4), (f"example/{key}", 8), (f"{key}_0123456789", 0)):
+            (a, _, z), *more = own.entropy(text)
+            # A slash, dash or underline beside the key is a key character too.
+            assert not more and at - 1 <= a <= at and at + len(key) <= z <= at + len(key) + 1, text
+    for text in KEYS[4:7]:
+        assert own.entropy(f"is {text} ok") == []
+
+
 def test_secrets(spark):
     key = "x9Kq2LmP7vTz4RbW8nYc3"
     rows = [(1, f"key {key} end"), (2, "id 123e4567-e89b-12d3-a456-426614174000 ok"), (3, f"token = '{key}'"), (4, None), (5, ""), (6, "thelongestwordthatanyonewouldwrite"), (7, "é" * 50_000 + key), (3, f"token = '{key}'")]

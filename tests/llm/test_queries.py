@@ -12,7 +12,7 @@ import public_tokenizers as PT
 import pytest
 
 import __spark_entry__ as entry
-from sparkloom.llm import langid, queries, secret_scan
+from sparkloom.llm import langid, queries
 from sparkloom.llm.decontam import Settings
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -56,13 +56,18 @@ def test_language_held_out(spark, db):
     assert np.mean([r.lang_pred == want[r.doc_id] for r in held]) > 0.9
 
 
-def test_toxicity_held_out(spark, db):
-    want = dict(db.sql("SELECT doc_id, toxic FROM labels").fetchall())
-    rows = QUERIES["op3_toxicity_neighbours"](spark, SF).collect()
+@pytest.mark.parametrize(("sf_dir", "recall", "clean_left"), [("/root/testdata/sf0.01", 0.75, 0.98), ("/root/testdata/sf0.1", 0.85, 0.99)])
+def test_toxicity_held_out(spark, sf_dir, recall, clean_left):
+    """Held-out rows alone: toxic ones found, clean ones left alone. The smaller table has 1 to 4 toxic rows of three of its languages to learn from."""
+    want = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{sf_dir}/labels.parquet'").fetchall())
+    held = duckdb.sql(f"SELECT doc_id FROM '{sf_dir}/documents.parquet'").fetchall()
+    held = {i for (i,) in held if zlib.crc32(str(i).encode()) % 3 == 1}
+    rows = QUERIES["op3_toxicity_neighbours"](spark, sf_dir).drop("evidence").collect()
     for r in rows:
-        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7)
-    clean = [r for r in rows if want.get(r.doc_id) == 0]
-    assert np.mean([r.predicted == 0 for r in clean]) > 0.9
+        assert r.held_out == (r.doc_id in held) and r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1
+    own = [(r.predicted, want[r.doc_id]) for r in rows if r.held_out and r.doc_id in want]
+    assert np.mean([p for p, y in own if y == 1]) >= recall
+    assert np.mean([p == 0 for p, y in own if y == 0]) >= clean_left
 
 
 def test_tokens_are_the_libraries(spark, docs):
@@ -101,6 +106,41 @@ def test_leaks(spark, db, docs):
     assert got == brute_leaks(docs, items)
 
 
+def test_leaks_with_exchanged_values(spark, tmp_path):
+    """The registered query on planted rows: the same question with other numbers and names throughout is found, one whose values contradict each other is not."""
+    item = "Every Tuesday the baker Maria sells 40 loaves of bread and 25 rolls so in 3 weeks Maria sells how many loaves and rolls together with 12 cakes"
+    other = "The train leaves the old station at noon and reaches the harbour town after 90 minutes so how far is the harbour if it goes 60 km each hour"
+    swap = lambda text, pairs: re.sub(r"\w+", lambda m: pairs.get(m[0], m[0]), text)
+    talk = "people talk about the weather and the garden while nobody listens to any of it at all "
+    planted = {
+        1: (talk + item + " " + talk, 1, "exact"),
+        2: (talk + swap(item, {"Maria": "Olga", "40": "55", "25": "70", "3": "4", "12": "9"}) + " " + talk, 1, "reparameterised"),
+        3: (talk + swap(other, {"90": "80", "60": "45"}), 2, "reparameterised"),
+        4: (talk + item.replace("sells 40", "sells 41").replace("Maria sells how", "Olga sells how").replace("in 3 weeks", "in 40 weeks"), None, None),
+        5: (talk * 3, None, None),
+        6: (None, None, None),
+    }
+    tables = {"documents": ("doc_id long, text string", [(i, t) for i, (t, _, _) in planted.items()]), "benchmark": ("item_id long, text string", [(1, item), (2, other)])}
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {(r.doc_id, r.item_id): r.kind for r in QUERIES["op8_template_decontamination"](spark, str(tmp_path)).collect()}
+    assert got == {(i, k): kind for i, (_, k, kind) in planted.items() if k}
+
+
+def test_secrets_are_those_of_brute_force(spark, docs):
+    """The registered query over the whole table, base and entropy spans."""
+    from test_operators import brute_base, brute_entropy
+
+    rows = {r.doc_id: r for r in QUERIES["op10_secret_scan"](spark, SF).collect()}
+    assert set(rows) == set(docs)
+    kinds = ("assign", "access", "hex", "entropy")
+    shown = lambda spans: ",".join(f"{kinds[k]}:{a}:{z}" for a, k, z in sorted(spans))
+    for i, text in docs.items():
+        base = brute_base(text)
+        assert [rows[i].n_assign, rows[i].n_access, rows[i].n_hex] == [sum(x[1] == k for x in base) for k in range(3)]
+        assert rows[i].base_sha256 == hashlib.sha256(shown(base).encode()).hexdigest() and rows[i].spans == shown(base + brute_entropy(text))
+
+
 def brute_shingles(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or ({tuple(words)} if words else set())
@@ -128,6 +168,7 @@ def brute_kept(docs, width, percent):
 def test_pipeline_stage_by_stage(spark, db, docs):
     """The whole pipeline against plain Python around the same fitted language model."""
     import tiktoken
+    from test_operators import brute_base, brute_entropy
 
     import corpus_pipeline
 
@@ -140,14 +181,14 @@ def test_pipeline_stage_by_stage(spark, db, docs):
     kept = brute_kept(left, 5, 80)
     left = {i: t for i, t in left.items() if i in kept}
     leaks = {d for d, _ in brute_leaks(left, dict(db.sql("SELECT item_id, text FROM benchmark").fetchall()))}
-    scanner, want = secret_scan.Scanner(), {}
+    want = {}
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PT.path("byte_bpe_50k.tiktoken"), "rb"))}
     lib = tiktoken.Encoding("own", pat_str=PT.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for i, t in left.items():
         if i in leaks:
             continue
         cover = [False] * len(t)
-        for a, _, z in scanner.base(t) + scanner.entropy(t):
+        for a, _, z in brute_base(t) + brute_entropy(t):
             cover[a:z] = [True] * (z - a)
         clean = "".join("[SECRET]" if c and (k == 0 or not cover[k - 1]) else "" if c else ch for k, (ch, c) in enumerate(zip(t, cover, strict=True)))
         n = np.array(lib.encode_ordinary(clean), "<u4").tobytes()
@@ -165,4 +206,16 @@ def test_pipeline_of_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         d = stage(spark, d, SF)
         assert d.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept"]
-    assert sorted(str(r.doc_id) for r in corpus_pipeline.STAGES[-1][1](spark, d, SF).collect()) == ["1", "1", "None"]
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.STAGES[-1][1](spark, d, SF).collect()) == ["1", "None"]
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    """Empty documents, empty benchmark: every stage runs and the last has its columns."""
+    import corpus_pipeline
+
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
