@@ -9,35 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe_codec, decontam, langid, minhash, secret_scan
-from sparkloom.llm.common import materialise
+from sparkloom.llm.common import materialise, with_bounded_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with enough certainty; the others go."""
+    """Documents whose language is told with enough certainty; the others, null and empty texts among them, go."""
     return langid.keep_identified(docs, langid.fit(docs, learn=langid.learnable("doc_id")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies; rows with a null id and rows that repeat the staying id stay."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    gone = materialise(gone, "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti")
+    """One document, of the smallest id, of each group of near copies; rows with a null id or without words stay."""
+    return minhash.drop_near_duplicates(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in whose text no benchmark item is found, whatever their ids."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mark; n_chars follows the text."""
+    """All documents, their secrets replaced by a mark; n_chars follows the text, null for a null one."""
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, and digests of the ids and of what they decode to."""
+    """Each document's number of tokens, and digests of its ids and of what they decode to; a null text has none."""
     return bpe_codec.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -54,7 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage is written before the next reads it; an empty table goes through all of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    with with_bounded_batches(spark):
+        for name, stage in STAGES:
+            docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
     return docs
