@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.plans import corpus, records, reports, training
+from sparkloom.plans import corpus, io, records, reports, training
 
-REGISTRIES = (corpus.R, training.R, reports.R, records.R)
+REGISTRIES = (corpus.R, io.R, training.R, reports.R, records.R)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

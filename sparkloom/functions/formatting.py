@@ -86,6 +86,17 @@ def learning_rate(step: Column | str, peak: float, warmup: int, decay: int, leas
     return F.when(s < warmup, peak * s / max(1, warmup)).otherwise(peak * cosine)
 
 
-def mfu(params: Column, tokens_per_second: Column, devices: Column, peak_flops: Column, per_param: int = 6) -> Column:
-    """Share of peak: 6 operations a parameter and token, or 8 with recomputation."""
-    return per_param * params * tokens_per_second / (devices * peak_flops)
+def param_memory(params: Column, precision: Column | str) -> Column:
+    """Bytes of all weights as computed with (param_bytes) and as kept (master_bytes)."""
+    each = bytes_per_param(precision)
+    return F.struct((params * each["param"]).cast("long").alias("param_bytes"), (params * each["master"]).cast("long").alias("master_bytes"))
+
+
+def attention_flops(layers: Column, length: Column, width: Column) -> Column:
+    """Operations a token that attention scores add, which no parameter stands for."""
+    return 6 * layers.cast("double") * length * width
+
+
+def mfu(params: Column, tokens_per_second: Column, devices: Column, peak_flops: Column, per_param: int = 6, attention: Column | float = 0.0) -> Column:
+    """Share of peak: 6 operations a parameter and token, or 8 with recomputation, and those of attention if given."""
+    return (per_param * params + attention) * tokens_per_second / (devices * peak_flops)

@@ -1,7 +1,11 @@
-"""A packed sequence's vectors as array expressions over its concatenated tokens (`ids`, not yet padded)."""
+"""A packed sequence's vectors: as array expressions over its concatenated tokens (`ids`, not yet padded), and all at once by `finalize`."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,12 +53,57 @@ def doc_ids(padded: Column, content: Column, eod: int) -> Column:
     return F.concat(body, F.array_repeat(F.lit(0), F.size(padded) - content))
 
 
-def finalize(df: DataFrame, length: int, *, ids: str = "ids", repeated: str = "repeated", eod: int, pad: int, with_doc_ids: bool = True) -> DataFrame:
-    """Adds input_ids, attention_mask, labels, position_ids, content_len and, unless left out, doc_ids."""
-    df = df.withColumn("input_ids", fit_length(ids, length, pad)).withColumn("content_len", content_length(ids, length))
-    content, padded = F.col("content_len"), F.col("input_ids")
-    df = df.withColumn("attention_mask", attention_mask(content, length)).withColumn("labels", labels(padded, content, F.col(repeated), eod)).withColumn("position_ids", position_ids(content, length))
-    return df.withColumn("doc_ids", doc_ids(padded, content, eod)) if with_doc_ids else df
+#: What `finalize` can make of a sequence.
+FINISHED = ("input_ids", "attention_mask", "labels", "position_ids", "doc_ids")
+
+
+def finalize(df: DataFrame, length: int, *, ids: str = "ids", repeated: str | None = None, overlap: str | None = None, eod: int, pad: int, columns: tuple[str, ...] = FINISHED) -> DataFrame:
+    """`df` with content_len and the vectors named in `columns`, each of `length` numbers, in place of `ids` and `repeated`.
+
+    One pass over Arrow batches makes them as matrices. The rules are those of the expressions above: `repeated` has a 1 for each token that is an overlap, or
+    `overlap` says how many of the first are. Null or missing ids make a sequence of padding. Only the named vectors are made and sent back.
+    """
+    if odd := sorted(set(columns) - set(FINISHED)):
+        raise ValueError(f"no such vectors: {odd}")
+    gone = [c for c in (ids, repeated) if c]
+    kept = [c for c in df.columns if c not in gone]
+    slim = df.select(*kept, F.col(ids).cast("array<int>").alias("_ids"), *([F.col(repeated).cast("array<int>").alias("_rep")] if repeated else []))
+    schema = ", ".join([*[f"`{n}` {t}" for n, t in df.select(*kept).dtypes], "content_len int", *[f"{c} array<int>" for c in columns]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.arange(length)
+
+        def matrix(lists: pa.Array, empty: int) -> tuple[np.ndarray, np.ndarray]:
+            lists = lists.fill_null([])
+            starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            n = np.minimum(np.diff(starts), length)
+            inside = at < n[:, None]
+            out = np.full((len(n), length), empty, np.int32)
+            out[inside] = flat[(starts[:-1, None] + at)[inside]]
+            return out, n
+
+        for b in batches:
+            x, n = matrix(b.column(len(kept)), pad)
+            inside = at < n[:, None]
+            made = {"input_ids": lambda x=x: x, "attention_mask": lambda m=inside: m, "position_ids": lambda m=inside: np.where(m, at, 0)}
+            ends = (x == eod) & inside
+            made["doc_ids"] = lambda e=ends, m=inside: np.where(m, np.cumsum(e, 1) - e, 0)
+
+            def labels(b=b, x=x, m=inside):
+                skip = ~m
+                skip[:, 1:] |= x[:, :-1] == eod
+                if repeated:
+                    skip |= matrix(b.column(len(kept) + 1), 0)[0] == 1
+                if overlap:
+                    skip |= at < b.column(kept.index(overlap)).to_numpy(zero_copy_only=False)[:, None]
+                return np.where(skip, IGNORE, x)
+
+            made["labels"] = labels
+            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * length)
+            vectors = [pa.ListArray.from_arrays(offsets, pa.array(made[c]().astype(np.int32).ravel())) for c in columns]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(n, pa.int32()), *vectors], names=[*kept, "content_len", *columns])
+
+    return slim.mapInArrow(run, schema)
 
 
 def shifted_targets(label: Column | str = "labels") -> Column:

@@ -69,3 +69,18 @@ def exhaustion_code(dry: DataFrame, ids: DataFrame, known: list[str]) -> DataFra
     """Over all slots: the highest id of a newly dry bucket plus 1, or 0."""
     new = dry.where(~F.col("bucket").isin(known)).join(ids, "bucket")
     return new.agg(F.coalesce(F.max("bucket_id") + 1, F.lit(0)).cast("int").alias("code"))
+
+
+def renormalise(mix: DataFrame, dry: DataFrame) -> DataFrame:
+    """`mix` without the buckets of `dry`, weights of a phase summing to 1 again; a phase whose buckets are all dry has no rows."""
+    left = mix.join(dry.select("bucket").distinct(), "bucket", "left_anti").where("weight > 0")
+    return left.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("phase_idx")))
+
+
+def exhaustion_policy(dry: DataFrame, ids: DataFrame, known: list[str], allow: bool) -> DataFrame:
+    """(action, reason) after a step: `halt` for the newly dry bucket of the highest id, the same on every rank, unless buckets may run dry: then
+    `renormalise`; `continue` where nothing is new."""
+    code = exhaustion_code(dry, ids, known)
+    named = code.join(ids, F.col("code") == F.col("bucket_id") + 1, "left")
+    new = F.col("code") > 0
+    return named.select(F.when(~new, "continue").otherwise("renormalise" if allow else "halt").alias("action"), F.when(new & F.lit(not allow), F.concat(F.lit("bucket_exhausted:"), "bucket")).alias("reason"))

@@ -142,3 +142,8 @@ def batches(df: DataFrame, slot: list[str], order: str, size: int, drop_last: bo
     if not drop_last:
         return df
     return df.withColumn("_c", F.count("*").over(Window.partitionBy(*slot, "batch_idx"))).where(F.col("_c") == size).drop("_c")
+
+
+def loader_order(batches_: DataFrame, rank: list[str], worker: str, batch: str, out: str = "place") -> DataFrame:
+    """Place of each batch (rank..., worker, batch) in what a rank's loader gives: one batch of each worker in turn, workers that are done left out."""
+    return positions(batches_, rank, [batch, worker], out)

@@ -41,8 +41,8 @@ def first_fit(lengths: list[int], room: int) -> list[int]:
 
 
 def pack_ffd(windows: DataFrame, length: int, *, group: list[str], pos: str = "doc_pos", n: str = "n_tokens") -> DataFrame:
-    """(group..., buffer_idx, doc_pos, seq_idx, place) of each window; a longer window counts as `length`. Places number the windows of a
-    sequence in the order of placing: longest first, ties by position."""
+    """(group..., buffer_idx, doc_pos, n_tokens, seq_idx, place) of each window; a longer window counts as `length`, also in n_tokens. Places number the
+    windows of a sequence in the order of placing: longest first, ties by position."""
     keys = [*group, "buffer_idx"]
     kinds = dict(windows.dtypes)
     slim = windows.select(*keys, F.col(pos).cast("long").alias("doc_pos"), F.col(n).cast("int").alias("_n"))
@@ -53,9 +53,10 @@ def pack_ffd(windows: DataFrame, length: int, *, group: list[str], pos: str = "d
         for s, r in zip(seqs, rows, strict=True):
             seq_idx[r[2]], place[r[2]] = s, filled.get(s, 0)
             filled[s] = place[r[2]] + 1
-        return t.drop_columns(["_n"]).append_column("seq_idx", pa.array(seq_idx, pa.int32())).append_column("place", pa.array(place, pa.int32()))
+        size = pa.array([min(x, length) for x in t.column("_n").to_pylist()], pa.int64())
+        return t.drop_columns(["_n"]).append_column("n_tokens", size).append_column("seq_idx", pa.array(seq_idx, pa.int32())).append_column("place", pa.array(place, pa.int32()))
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", doc_pos long, seq_idx int, place int"
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", doc_pos long, n_tokens long, seq_idx int, place int"
     return slim.groupBy(*keys).applyInArrow(pack, schema)
 
 

@@ -69,6 +69,15 @@ def interval_metrics(log: DataFrame, every: int) -> DataFrame:
     return g.agg(F.count("*").alias("rows"), F.avg("loss").alias("mean_loss"), F.avg("grad_norm").alias("mean_grad_norm"), F.sum("trained").alias("tokens"), (F.sum("trained") * 100.0 / F.sum("possible")).alias("packing_pct"))
 
 
+def interval_rates(log: DataFrame, every: int) -> DataFrame:
+    """(interval, seconds, tokens_per_second, seconds_per_step): an interval lasts from the last row before it, or its own first row, to its last row
+    (`clock`, in seconds). Intervals are few, so their order is one small sort."""
+    g = log.groupBy(F.floor(F.col("step") / every).cast("long").alias("interval")).agg(F.sum("trained").alias("t"), F.countDistinct("step").alias("n"), F.min("clock").alias("a"), F.max("clock").alias("z"))
+    since = F.coalesce(F.lag("z").over(Window.orderBy("interval")), F.col("a"))
+    g = g.withColumn("seconds", F.col("z") - since)
+    return g.select("interval", "seconds", F.when(F.col("seconds") > 0, F.col("t") / F.col("seconds")).otherwise(0.0).alias("tokens_per_second"), (F.col("seconds") / F.col("n")).alias("seconds_per_step"))
+
+
 def running_tokens(log: DataFrame) -> DataFrame:
     """Trained tokens of each step over ranks, and so far. The running total is over steps, one row each."""
     steps = log.groupBy("step").agg(F.sum("trained").alias("tokens"))

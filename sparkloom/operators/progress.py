@@ -47,3 +47,15 @@ def restore_slots(states: DataFrame, world: int, workers: int) -> DataFrame:
     """(restore): whether counters and dry buckets can be taken over, which needs states and all of them with this topology."""
     same = F.coalesce(F.bool_and((F.col("world_size") == world) & (F.col("num_workers") == workers)), F.lit(False))
     return usable(states).agg(same.alias("restore"), F.count("*").alias("states"))
+
+
+def commit(cursors: DataFrame, accumulation: int, *, by: list[str], order: str) -> DataFrame:
+    """(by..., state, cursor columns): each slot's last cursor that belongs to a whole optimizer step (committed), and the last one after it, if any
+    (pending). `order` counts the micro steps of all slots from 0; a step is made of `accumulation` of them, so what came after the last whole step was
+    never trained on and must be read again."""
+    seen = cursors.agg(F.coalesce(F.max(order) + 1, F.lit(0)).alias("_seen"))
+    # One number, joined to every row.
+    c = cursors.join(F.broadcast(seen)).withColumn("state", F.when(F.col(order) < F.col("_seen") - F.col("_seen") % accumulation, "committed").otherwise("pending")).drop("_seen")
+    rest = [x for x in cursors.columns if x not in (*by, order)]
+    last = F.max_by(F.struct(order, *rest), order).alias("c")
+    return c.groupBy(*by, "state").agg(last).select(*by, "state", *[F.col(f"c.{x}").alias(x) for x in (order, *rest)])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from json import dumps, loads
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +85,25 @@ def orchestrator_decision(status: Column) -> Column:
     return F.when(status == "completed", "done").when(status.isin("halted", "error"), "manual").when(status.isin("stopped", "running"), "resubmit").otherwise("start")
 
 
+def scratch_guard(listed: DataFrame, hint: str, force: bool = False, shown: int = 5) -> DataFrame:
+    """(allowed, clobbered): whether a run may begin from scratch, which would lose the checkpoints that are there; the first of their names."""
+    names = F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), 1, shown), ", ")
+    guarded = hint == "scratch" and not force
+    return listed.agg(F.count("*").alias("n"), names.alias("names")).select((F.lit(not guarded) | (F.col("n") == 0)).alias("allowed"), F.when(F.lit(guarded) & (F.col("n") > 0), F.col("names")).alias("clobbered"))
+
+
 def canonical_hash(json: Column) -> Column:
-    """Name of a configuration: the first 16 hex digits of the SHA-256 of its JSON with sorted keys."""
-    return F.concat(F.lit("sha256:"), F.substring(F.sha2(json.cast("binary"), 256), 1, 16))
+    """Name of a configuration: the first 16 hex digits of the SHA-256 of its JSON with keys in order at every level and a space after commas and
+    colons, whatever the text's own order and spaces. Text that is no JSON has none."""
+
+    @F.pandas_udf("string")
+    def same(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return None if t is None else dumps(loads(t), sort_keys=True)
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return F.concat(F.lit("sha256:"), F.substring(F.sha2(same(json).cast("binary"), 256), 1, 16))

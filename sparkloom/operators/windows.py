@@ -62,6 +62,21 @@ def window_counts(df: DataFrame, spec: WindowSpec, n: str = "n_tokens") -> DataF
     return df.withColumn("n_windows", F.when(F.col(n) <= 0, 0).when(F.col(n) < spec.length, 1).otherwise(long).cast("long"))
 
 
+def window_lengths(df: DataFrame, spec: WindowSpec, n: str = "n_tokens") -> DataFrame:
+    """The windows of each document by their lengths alone: `df` without `n` and with (window_idx, overlap_len, n_tokens), end marks included. Equal to
+    counting the tokens of `explode_windows`, but no array is made."""
+    stride = max(spec.length - spec.overlap, spec.length // 2)
+    rest = [c for c in df.columns if c != n]
+    d = df.where(F.col(n) > 0).withColumn("_n", F.col(n))
+    last = F.when(F.col("_n") < spec.length, 0).otherwise(F.least(F.floor((F.col("_n") - 1) / stride), F.lit(spec.cap))).cast("int")
+    d = d.withColumn("window_idx", F.explode(F.sequence(F.lit(0), last)))
+    left = F.col("_n") - F.col("window_idx") * stride
+    body = F.when(F.col("_n") < spec.length, F.col("_n")).otherwise(F.least(left, F.lit(spec.length)))
+    ends = (F.col("_n") < spec.length) | (left <= spec.length)
+    head = F.when(F.col("window_idx") > 0, F.least(F.lit(spec.overlap), body)).otherwise(0).cast("int")
+    return d.select(*rest, "window_idx", head.alias("overlap_len"), (body + ends.cast("int")).cast("long").alias("n_tokens"))
+
+
 def overlap_mask(tokens: str = "tokens", overlap: str = "overlap_len") -> Column:
     """1 for each repeated token, 0 for the others."""
     return F.concat(F.array_repeat(F.lit(1), F.col(overlap)), F.array_repeat(F.lit(0), F.size(tokens) - F.col(overlap)))

@@ -10,13 +10,18 @@ from sparkloom.functions import tokens as T
 from sparkloom.operators import order as O
 from sparkloom.operators import packing as P
 from sparkloom.operators import profile
-from sparkloom.operators.windows import WindowSpec, explode_windows, window_counts
+from sparkloom.operators.windows import WindowSpec, explode_windows, overlap_mask, window_counts, window_lengths
 from sparkloom.plans.registry import Registry, table
 
 R = Registry()
 L, OV = 128, 32
 SPEC = WindowSpec(L, OV)
 
+
+def _digest(column: str):
+    return F.md5(F.array_join(F.col(column).cast("array<string>"), " ").cast("binary"))
+
+
 # --- base frames, and the same in SQL
 
 
@@ -256,8 +261,9 @@ def batch_plan(spark, sf_dir):
 
 
 def ordered_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows by place after the shuffle of their file, lengths only."""
-    w = word_windows(docs(spark, sf_dir).drop("split")).select("bucket", "file_idx", "doc_id", "window_idx", "n_tokens")
+    """Windows by place after the shuffle of their file; lengths only, from counts of words."""
+    d = docs(spark, sf_dir).select("bucket", "file_idx", "doc_id", F.size(T.word_tokens("text")).cast("long").alias("n_tokens"))
+    w = window_lengths(d, SPEC).drop("overlap_len")
     return P.with_buffers(O.shuffled_positions(w, ["bucket", "file_idx"], ["doc_id", "window_idx"]))
 
 
@@ -276,13 +282,11 @@ PACKED = f"WITH RECURSIVE {DOCS}, {_window_sql()}, {_ORDERED}, {_FFD}"
 
 @R.add(f"{PACKED} SELECT bucket, file_idx, buffer_idx::BIGINT AS buffer_idx, doc_pos::BIGINT AS doc_pos, (seq - 1)::INT AS seq_idx FROM ffd WHERE r > 0")
 def pack_ffd(spark, sf_dir):
-    return P.pack_ffd(ordered_windows(spark, sf_dir), L, group=["bucket", "file_idx"]).drop("place")
+    return P.pack_ffd(ordered_windows(spark, sf_dir), L, group=["bucket", "file_idx"]).drop("place", "n_tokens")
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = ordered_windows(spark, sf_dir).select("bucket", "file_idx", "doc_pos", "buffer_idx", "n_tokens")
-    placed = P.pack_ffd(w, L, group=["bucket", "file_idx"])
-    return w.join(placed, ["bucket", "file_idx", "buffer_idx", "doc_pos"])
+    return P.pack_ffd(ordered_windows(spark, sf_dir).select("bucket", "file_idx", "doc_pos", "buffer_idx", "n_tokens"), L, group=["bucket", "file_idx"])
 
 
 @R.add(f"""{PACKED}, s AS (SELECT bucket, file_idx, buffer_idx, seq, sum(n) AS content, count(*) AS w FROM ffd WHERE r > 0 GROUP BY ALL)
@@ -290,7 +294,7 @@ SELECT bucket, sum(w)::BIGINT AS windows, count(*)::BIGINT AS sequences, sum(con
 def pack_summary(spark, sf_dir):
     """Windows, sequences, tokens and packing efficiency by bucket."""
     p = _packed(spark, sf_dir)
-    s = p.groupBy("bucket", "file_idx", "buffer_idx", "seq_idx").agg(F.sum(F.least("n_tokens", F.lit(L))).alias("content_len"), F.count("*").alias("w"))
+    s = p.groupBy("bucket", "file_idx", "buffer_idx", "seq_idx").agg(F.sum("n_tokens").alias("content_len"), F.count("*").alias("w"))
     return s.groupBy("bucket").agg(F.sum("w").alias("windows"), F.count("*").alias("sequences"), F.sum("content_len").alias("tokens"), P.efficiency(s, L).alias("efficiency"))
 
 
@@ -299,7 +303,7 @@ SELECT (sum(content)::DOUBLE / (count(*) * {L})::DOUBLE) AS content_over_slots,
   min(content)::BIGINT AS emptiest, sum((content = {L})::INT)::BIGINT AS full_sequences FROM s""")
 def pack_efficiency(spark, sf_dir):
     p = _packed(spark, sf_dir)
-    s = p.groupBy("bucket", "file_idx", "buffer_idx", "seq_idx").agg(F.sum(F.least("n_tokens", F.lit(L))).alias("content_len"))
+    s = p.groupBy("bucket", "file_idx", "buffer_idx", "seq_idx").agg(F.sum("n_tokens").alias("content_len"))
     return s.agg(P.efficiency(s, L).alias("content_over_slots"), (1 - F.sum(L - F.col("content_len")) / (F.count("*") * L)).alias("one_minus_padding"), F.min("content_len").alias("emptiest"), F.sum((F.col("content_len") == L).cast("long")).alias("full_sequences"))
 
 
@@ -333,11 +337,23 @@ def length_bins(spark, sf_dir):
 # --- finished sequences
 
 
-def finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+@R.add()
+def stream_sequences(spark, sf_dir):
+    """Sequences of the streaming packer over code points, finished: mask from overlaps, windows numbered for attention, one row a slot and sequence."""
+    d = lines(docs(spark, sf_dir)).select("doc_id", O.line_slots("line_num", 2, 2).alias("slot"), T.codepoint_tokens("text").alias("tokens"))
+    w = explode_windows(d, WindowSpec.streaming(L, OV), eod=F.lit(T.EOD))
+    placed = P.pack_best_fit(w.select("slot", "doc_id", "window_idx", F.size("tokens").alias("n_tokens")), L, group=["slot"], doc="doc_id")
+    own = w.select("slot", "doc_id", "window_idx", "tokens", overlap_mask().alias("repeated"), F.xxhash64("doc_id", "window_idx").alias("id"))
+    seqs = P.assemble(own, placed, ["slot", "doc_id", "window_idx"], ["slot", "seq_idx"], length=L, window_id="id")
+    done = S.finalize(seqs, L, repeated="repeated", eod=T.EOD, pad=T.PAD, columns=("input_ids", "labels"))
+    return done.select("slot", "seq_idx", "content_len", "n_windows", F.size(F.array_distinct("window_ids")).alias("distinct_windows"), _digest("input_ids").alias("ids_md5"), _digest("labels").alias("labels_md5"))
+
+
+
+def finished(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """No-pack sequences over code points: a window is a sequence."""
-    w = code_windows(spark, sf_dir)
-    mask = F.concat(F.array_repeat(F.lit(1), F.col("overlap_len")), F.array_repeat(F.lit(0), F.size("tokens") - F.col("overlap_len")))
-    return S.finalize(w.withColumn("repeated", mask), L, ids="tokens", eod=T.EOD, pad=T.PAD)
+    w = code_windows(spark, sf_dir).select("doc_id", "window_idx", "overlap_len", "tokens")
+    return S.finalize(w, L, ids="tokens", overlap="overlap_len", eod=T.EOD, pad=T.PAD, columns=columns)
 
 
 _SEQ = f"""{CODEWIN}, f AS (SELECT doc_id, window_idx, overlap_len, least(len(tokens), {L}) AS content,
@@ -347,13 +363,9 @@ g AS (SELECT *, list_transform(ids, lambda x, i: CASE WHEN i > content THEN -100
   list_transform(ids, lambda x, i: CASE WHEN i <= content THEN len(list_filter(ids[1:i - 1], lambda y: y = {T.EOD})) ELSE 0 END) AS docs FROM f)"""
 
 
-def _digest(column: str):
-    return F.md5(F.array_join(F.col(column).cast("array<string>"), " ").cast("binary"))
-
-
 def _sequence_query(name: str, column: str, sql_column: str) -> None:
     def run(spark, sf_dir):
-        return finished(spark, sf_dir).select("doc_id", "window_idx", _digest(column).alias("digest"), F.col("content_len").cast("long").alias("content"))
+        return finished(spark, sf_dir, column).select("doc_id", "window_idx", _digest(column).alias("digest"), F.col("content_len").cast("long").alias("content"))
 
     R.add(f"{_SEQ} SELECT doc_id, window_idx, md5(array_to_string({sql_column}, ' ')) AS digest, content::BIGINT AS content FROM g", name)(run)
 
@@ -365,14 +377,14 @@ for _name, _column, _sql in (("seq_input_ids", "input_ids", "ids"), ("seq_attent
 @R.add(f"{_SEQ} SELECT doc_id, window_idx, sum(c * (c + 1) // 2)::BIGINT AS pairs FROM (SELECT doc_id, window_idx, d, count(*) AS c FROM (SELECT doc_id, window_idx, unnest(docs[1:content]) AS d FROM g) GROUP BY ALL) GROUP BY ALL")
 def attention_pairs(spark, sf_dir):
     """Allowed (query, key) pairs of each sequence under causal attention inside documents."""
-    return finished(spark, sf_dir).select("doc_id", "window_idx", S.allowed_pairs(F.col("input_ids"), F.col("content_len"), T.EOD).alias("pairs"))
+    return finished(spark, sf_dir, "input_ids").select("doc_id", "window_idx", S.allowed_pairs(F.col("input_ids"), F.col("content_len"), T.EOD).alias("pairs"))
 
 
 @R.add(f"""{_SEQ} SELECT count(*)::BIGINT AS sequences, sum(len(list_filter(labels[2:], lambda x: x <> -100)))::BIGINT AS trained, sum(len(list_filter(labels[2:], lambda x: x = {T.EOD})))::BIGINT AS eod_trained,
   sum(len(list_filter(ids[2:content], lambda x: x = {T.EOD})) - len(list_filter(labels[2:], lambda x: x = {T.EOD})))::BIGINT AS eod_masked FROM g""")
 def shift_targets(spark, sf_dir):
     """End marks as targets after the shift by one, trained and masked."""
-    return profile.label_census(finished(spark, sf_dir), T.EOD)
+    return profile.label_census(finished(spark, sf_dir, "input_ids", "labels"), T.EOD)
 
 
 @R.add(f"""{PACKED}, x AS (SELECT f.bucket, f.file_idx, f.buffer_idx, f.seq, f.r, w.tokens, w.overlap_len FROM ffd f JOIN ordered o USING (bucket, file_idx, doc_pos) JOIN win w ON w.doc_id = o.doc_id AND w.window_idx = o.window_idx WHERE f.r > 0),
@@ -381,12 +393,13 @@ z AS (SELECT bucket, file_idx, buffer_idx, seq, flatten(list(tokens[1:{L}] ORDER
 SELECT bucket, file_idx, buffer_idx::BIGINT AS buffer_idx, (seq - 1)::INT AS seq_idx, md5(array_to_string(list_transform(ids, lambda x, i: CASE WHEN i > 1 AND ids[i - 1] = '<eod>' THEN '-' WHEN rep[i] = 1 THEN '-' ELSE x END), ' ')) AS labels_md5, len(ids)::BIGINT AS content FROM z""")
 def packed_labels(spark, sf_dir):
     """Labels of first-fit sequences over words, ignored targets shown as a dash."""
-    w = word_windows(docs(spark, sf_dir).drop("split"))
-    w = w.withColumn("repeated", F.concat(F.array_repeat(F.lit(1), F.col("overlap_len")), F.array_repeat(F.lit(0), F.size("tokens") - F.col("overlap_len"))))
-    w = P.with_buffers(O.shuffled_positions(w, ["bucket", "file_idx"], ["doc_id", "window_idx"]))
-    key = ["bucket", "file_idx", "buffer_idx", "doc_pos"]
-    placed = P.pack_ffd(w.select(*key, "n_tokens"), L, group=["bucket", "file_idx"])
-    seqs = P.assemble(w.select(*key, "tokens", "repeated"), placed, key, ["bucket", "file_idx", "buffer_idx", "seq_idx"], length=L)
+    order = ordered_windows(spark, sf_dir)
+    placed = P.pack_ffd(order.drop("doc_id", "window_idx"), L, group=["bucket", "file_idx"]).drop("n_tokens")
+    # Tokens join once, when all places are known.
+    name = ["bucket", "file_idx", "doc_id", "window_idx"]
+    placed = placed.join(order.select(*name, "buffer_idx", "doc_pos"), ["bucket", "file_idx", "buffer_idx", "doc_pos"]).drop("doc_pos")
+    w = word_windows(docs(spark, sf_dir).drop("split")).select(*name, "tokens", overlap_mask().alias("repeated"))
+    seqs = P.assemble(w, placed, name, ["bucket", "file_idx", "buffer_idx", "seq_idx"], length=L)
     zipped = F.arrays_zip(F.concat(F.array(F.lit("")), "ids").alias("b"), F.col("ids").alias("x"), F.col("repeated").alias("r"))
     shown = F.transform(F.slice(zipped, F.lit(1), F.size("ids")), lambda t: F.when((t["b"] == T.WORD_EOD) | (t["r"] == 1), "-").otherwise(t["x"]))
     return seqs.select("bucket", "file_idx", "buffer_idx", "seq_idx", F.md5(F.array_join(shown, " ").cast("binary")).alias("labels_md5"), F.size("ids").cast("long").alias("content"))
@@ -428,4 +441,4 @@ SELECT count(*)::BIGINT AS sequences, sum(len(list_filter(labels[2:], lambda x:
   sum(len(list_filter(ids[2:content], lambda x: x = {T.EOD})) - len(list_filter(labels[2:], lambda x: x = {T.EOD})))::BIGINT AS eod_masked FROM h""")
 def label_census(spark, sf_dir):
     """The same over the first 500 sequences: a report of the first n items."""
-    return profile.label_census(finished(spark, sf_dir).orderBy("doc_id", "window_idx").limit(500), T.EOD)
+    return profile.label_census(finished(spark, sf_dir, "input_ids", "labels").orderBy("doc_id", "window_idx").limit(500), T.EOD)

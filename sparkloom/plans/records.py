@@ -6,30 +6,53 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import records as Rec
 from sparkloom.operators import validation as V
+from sparkloom.operators.order import positions
 from sparkloom.plans.corpus import SHARDS, WIN, shard_sizes
-from sparkloom.plans.registry import Registry, literal, values
+from sparkloom.plans.registry import Registry, literal, table, values
 from sparkloom.plans.training import _MIXSQL, mix
 
 R = Registry()
 
-_LINES = [
-    '{"prompt": "a", "id": 7}',
-    "",
-    '{"prompt": "b", "model": {"checkpoint": "runs/x", "dtype": "fp16"}, "generation": {"temperature": 0.5, "top_k": null}}',
-    '{"prompt": 5}',
-    '{"model": {"checkpoint": "a", "output_dir": "b"}}',
-    "[1, 2]",
-    "{broken",
-    '{"prompt": "c", "generation": {"greedy": true, "top_k": 9, "seed": 3}}',
-    '{"prompt": "d", "generation": {"max_new_tokens": 0, "temperature": true, "top_p": 1.5}}',
-    '{"prompt": "e", "model": {"output_dir": "runs/x", "size": 1}}',
-    '{"prompt": "f", "model": {"dtype": "int8"}}',
-    '{"prompt": "g", "generation": {"repetition_penalty": -1, "seed": 1.5, "beam": 2}}',
-    '{"prompt": "h", "model": [], "generation": 3}',
-    '{"prompt": null}',
-    '{"prompt": "i", "model": {"checkpoint": null, "tokenizer": "t"}, "generation": {"top_k": 0, "top_p": 1}}',
-]
-_ROWS = [(i, v) for i, v in enumerate(_LINES, 1)]
+#: What a line holds beside a message of `conversations`, by the remainder of its number; {} is the message as a JSON string.
+_LINES = (
+    '{"prompt": {}, "id": 7}',
+    " ",
+    '{"prompt": {}, "model": {"checkpoint": "runs/x", "dtype": "fp16"}, "generation": {"temperature": 0.5, "top_k": null}}',
+    '{"prompt": 5, "note": {}}',
+    '{"model": {"checkpoint": "a", "output_dir": "b"}, "note": {}}',
+    "[1, 2, {}]",
+    '{"prompt": {}',
+    '{"prompt": {}, "generation": {"greedy": true, "top_k": 9, "seed": 3}}',
+    '{"prompt": {}, "generation": {"max_new_tokens": 0, "temperature": true, "top_p": 1.5}}',
+    '{"prompt": {}, "model": {"output_dir": "runs/x", "size": 1}}',
+    '{"prompt": {}, "model": {"dtype": "int8"}}',
+    '{"prompt": {}, "generation": {"repetition_penalty": -1, "seed": 1.5, "beam": 2}}',
+    '{"prompt": {}, "model": [], "generation": 3}',
+    '{"prompt": null, "note": {}}',
+    '{"prompt": {}, "model": {"checkpoint": null, "tokenizer": "t"}, "generation": {"top_k": 0, "top_p": 1}}',
+    '{"prompt": {}, "model": {"output_dir": "runs/x"}, "generation": null, "extra": [1.25, {}]}',
+)
+_N = len(_LINES)
+
+
+def record_lines(spark, sf_dir):
+    """A line for each message, in the order of conversations and turns."""
+    t = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "text")
+    t = positions(t, [], ["conv_id", "turn"], "line_num")
+    quoted = F.to_json(F.struct("text"))
+    quoted = F.substring(quoted, F.lit(9), F.length(quoted) - 9)
+    line = F.lit(None).cast("string")
+    for i, shape in enumerate(_LINES):
+        first, *rest = [F.lit(p) for p in shape.split("{}")]
+        line = F.when(F.col("line_num") % _N == i, F.concat(first, *[c for p in rest for c in (quoted, p)])).otherwise(line)
+    return t.select("line_num", line.alias("value"))
+
+
+def _line_sql() -> str:
+    cases = " ".join(f"WHEN {i} THEN " + " || to_json(text)::VARCHAR || ".join("'" + p + "'" for p in shape.split("{}")) for i, shape in enumerate(_LINES))
+    return f"raw AS (SELECT line_num, CASE line_num % {_N} {cases} END AS value FROM (SELECT text, row_number() OVER (ORDER BY conv_id, turn) - 1 AS line_num FROM conversations WHERE text IS NOT NULL))"
+
+
 DEFAULTS = Rec.Defaults("runs/base", "bf16", None, {"max_new_tokens": 64, "temperature": 0.8, "top_k": 50, "top_p": 0.95, "greedy": False, "repetition_penalty": 1.0, "seed": None, "return_full_text": False})
 
 _INT = "('BIGINT', 'UBIGINT')"
@@ -72,18 +95,18 @@ _CHECKS = " + ".join(
         _bad("return_full_text", f"{_type('return_full_text')} = 'BOOLEAN'"),
     ]
 )
-_PARSED = f"""raw AS {values(_ROWS, 'line_num, value')}, js AS (SELECT line_num::BIGINT AS line_num, value, CASE WHEN json_valid(value) THEN value::JSON END AS j FROM raw WHERE trim(value) <> ''),
+_PARSED = f"""{_line_sql()}, js AS (SELECT line_num::BIGINT AS line_num, value, CASE WHEN json_valid(value) THEN value::JSON END AS j FROM raw WHERE trim(value) <> ''),
 ty AS (SELECT *, json_type(j) AS t, json_type(j, '$.prompt') AS p, json_type(j, '$.model') AS m, json_type(j, '$.generation') AS g FROM js),
 er AS (SELECT *, CASE WHEN j IS NULL OR t <> 'OBJECT' THEN 1 ELSE {_CHECKS} END AS n FROM ty)"""
 
 
-def parsed(spark):
-    return Rec.parse(literal(spark, _ROWS, "line_num int, value string"), DEFAULTS)
+def parsed(spark, sf_dir):
+    return Rec.parse(record_lines(spark, sf_dir), DEFAULTS)
 
 
 @R.add(f"WITH {_PARSED} SELECT line_num, n::INT AS n_errors FROM er")
 def record_errors(spark, sf_dir):
-    return parsed(spark).select("line_num", F.size("errors").alias("n_errors"))
+    return parsed(spark, sf_dir).select("line_num", F.size("errors").alias("n_errors"))
 
 
 _GREEDY = "coalesce((j->>'$.generation.greedy')::BOOLEAN, FALSE)"
@@ -100,12 +123,12 @@ _RESOLVED = f"""re AS (SELECT line_num, (row_number() OVER (ORDER BY line_num) -
 
 @R.add(f"WITH {_PARSED}, {_RESOLVED} SELECT line_num, index, prompt, path, dtype, tokenizer FROM re")
 def record_resolve(spark, sf_dir):
-    return Rec.valid(parsed(spark)).select("line_num", "index", "prompt", "path", "dtype", "tokenizer")
+    return Rec.valid(parsed(spark, sf_dir)).select("line_num", "index", "prompt", "path", "dtype", "tokenizer")
 
 
 @R.add(f"WITH {_PARSED}, {_RESOLVED} SELECT line_num, max_new_tokens, temperature, top_k, top_p, do_sample, seed FROM re")
 def record_greedy(spark, sf_dir):
-    return Rec.valid(parsed(spark)).select("line_num", "max_new_tokens", "temperature", "top_k", "top_p", "do_sample", "seed")
+    return Rec.valid(parsed(spark, sf_dir)).select("line_num", "max_new_tokens", "temperature", "top_k", "top_p", "do_sample", "seed")
 
 
 _CANON = [("runs/x", "runs/x/checkpoint-9"), ("runs/base", "runs/base/final")]
@@ -113,10 +136,20 @@ _CANON = [("runs/x", "runs/x/checkpoint-9"), ("runs/base", "runs/base/final")]
 
 @R.add(f"WITH {_PARSED}, {_RESOLVED}, c AS {values(_CANON, 'path, checkpoint')} SELECT coalesce(c.checkpoint, re.path) AS checkpoint, dtype, tokenizer, count(*)::BIGINT AS records, array_to_string(list_sort(list(DISTINCT re.path)), ',') AS paths FROM re LEFT JOIN c ON c.path = re.path GROUP BY ALL")
 def record_groups(spark, sf_dir):
-    g = Rec.groups(Rec.canonical(Rec.valid(parsed(spark)), literal(spark, _CANON, "path string, checkpoint string")))
+    g = Rec.groups(Rec.canonical(Rec.valid(parsed(spark, sf_dir)), literal(spark, _CANON, "path string, checkpoint string")))
     return g.withColumn("paths", F.array_join("paths", ","))
 
 
+@R.add(f"WITH {_PARSED} SELECT sum(n)::BIGINT AS problems, 2 AS exit_code FROM er")
+def record_refusal(spark, sf_dir):
+    """All problems of all lines, and the code with which a command ends that runs nothing because of them."""
+    try:
+        Rec.plan(parsed(spark, sf_dir), literal(spark, [("runs/x", "runs/x/checkpoint-9"), ("runs/base", "runs/base/final")], "path string, checkpoint string"))
+    except Rec.InvalidRecords as e:
+        return literal(spark, [(e.count, e.exit_code)], "problems long, exit_code int")
+    return literal(spark, [(0, 0)], "problems long, exit_code int")
+
+
 # --- findings
 
 _FIND = f"""{WIN}, {SHARDS}, {_MIXSQL}, av AS (SELECT bucket, sum(tokens) AS tokens, count(*) AS shards FROM shards GROUP BY bucket),
@@ -151,3 +184,14 @@ def validation_missing_splits(spark, sf_dir):
 @R.add(f"WITH f AS ({_FIND}) SELECT (CASE WHEN bool_or(severity IN ('ERROR', 'BUDGET')) THEN 1 WHEN bool_or(severity = 'WARNING') THEN 2 ELSE 0 END)::INT AS exit_code FROM f")
 def validation_exit_code(spark, sf_dir):
     return V.exit_code(validation_findings(spark, sf_dir))
+
+
+@R.add(f"""WITH f AS ({_FIND}), s AS (SELECT CASE WHEN code LIKE 'curriculum.%' THEN 'Curriculum' WHEN code LIKE 'data.%' THEN 'Data' WHEN code LIKE 'training.%' THEN 'Training plan' END AS section, severity FROM f)
+SELECT section, severity, count(*)::BIGINT AS findings FROM s GROUP BY ALL""")
+def validation_report(spark, sf_dir):
+    """Findings of all groups of rules, run in their order, by section of the report."""
+    shards = shard_sizes(spark, sf_dir)
+    have = shards.groupBy("bucket").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("shards"))
+    plan = V.Plan(world=2, workers=16, batch=2, accumulation=1, length=128, steps=100)
+    found = V.run_all(spark, {"buckets": lambda: V.name_findings(have, mix(spark)), "shards": lambda: V.shard_findings(have, plan), "demand": lambda: V.demand_findings(have, mix(spark), plan), "plan": lambda: V.plan_findings(mix(spark), plan)})
+    return found.groupBy(V.section(F.col("code")).alias("section"), "severity").agg(F.count("*").alias("findings"))

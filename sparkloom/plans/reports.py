@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.config import PRESETS
 from sparkloom.functions import formatting as Fmt
 from sparkloom.operators import runs
 from sparkloom.operators import sampling as S
@@ -180,12 +181,24 @@ def progress_rows(spark, sf_dir):
     return runs.progress_rows(literal(spark, _STATE, "run string, step int, max_steps int, loss double, tokens int"), literal(spark, _TRAINER, "run string, step int, loss double, tokens int"))
 
 
-_JSON = [('{"a":1,"b":[2,3]}',), ('{"n_embd":64,"n_layer":2}',)]
+#: A configuration's text, and the same with sorted keys and single spaces.
+_JSON = [('{"a":1,"b":[2,3]}', '{"a": 1, "b": [2, 3]}'), ('{"n_layer":2, "n_embd":64}', '{"n_embd": 64, "n_layer": 2}'), ('{"b":{"z":null,"a":true},"a":"x"}', '{"a": "x", "b": {"a": true, "z": null}}'), ("{broken", None)]
 
 
-@R.add(f"SELECT json, 'sha256:' || substr(sha256(json), 1, 16) AS hash FROM {values(_JSON, 'json')}")
+@R.add(f"SELECT json, 'sha256:' || substr(sha256(sorted), 1, 16) AS hash FROM {values(_JSON, 'json, sorted')}")
 def config_hash(spark, sf_dir):
-    return literal(spark, _JSON, "json string").withColumn("hash", runs.canonical_hash(F.col("json")))
+    return literal(spark, [r[:1] for r in _JSON], "json string").withColumn("hash", runs.canonical_hash(F.col("json")))
+
+
+_HINTS = [("scratch", False, False, "checkpoint-100, checkpoint-200, checkpoint-250-shutdown, checkpoint-300, checkpoint-500"), ("scratch", True, True, None), ("auto", False, True, None)]
+
+
+@R.add(f"SELECT * FROM {values(_HINTS, 'hint, force, allowed, clobbered')}")
+def scratch_guard(spark, sf_dir):
+    """Whether a run may begin anew over the listed checkpoints, by hint and force."""
+    listed = runs.list_checkpoints(checkpoints(spark))
+    parts = [runs.scratch_guard(listed, hint, force).select(F.lit(hint).alias("hint"), F.lit(force).alias("force"), "allowed", "clobbered") for hint, force, _, _ in _HINTS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # --- formats and arithmetic
@@ -239,6 +252,22 @@ def bytes_per_param(spark, sf_dir):
     return literal(spark, _PRECISIONS, "precision string").select("precision", Fmt.bytes_per_param("precision").alias("b")).select("precision", "b.*")
 
 
+_WEIGHTS = [("bf16", 124439808), ("fp32", 124439808), (None, 2800000000), ("FP16", 0)]
+
+
+@R.add(f"SELECT precision, params::BIGINT AS params, (params * CASE WHEN lower(coalesce(precision, '')) IN ('bf16', 'fp16') THEN 2 ELSE 4 END)::BIGINT AS param_bytes, (params * 4)::BIGINT AS master_bytes FROM {values(_WEIGHTS, 'precision, params')}")
+def param_memory(spark, sf_dir):
+    """Bytes of the weights as computed with and as kept."""
+    m = literal(spark, _WEIGHTS, "precision string, params long").withColumn("b", Fmt.param_memory(F.col("params"), F.col("precision")))
+    return m.select("precision", "params", "b.param_bytes", "b.master_bytes")
+
+
+@R.add(f"SELECT preset, n_embd, n_layer, n_head, n_positions FROM {values([(k, *v.values()) for k, v in PRESETS.items()], 'preset, n_embd, n_layer, n_head, n_positions')}")
+def presets(spark, sf_dir):
+    """Model shapes by name."""
+    return literal(spark, [(k, *v.values()) for k, v in PRESETS.items()], "preset string, n_embd int, n_layer int, n_head int, n_positions int")
+
+
 @R.add("SELECT i AS step, round(CASE WHEN i < 100 THEN 3e-4 * i / 100 ELSE 3e-4 * (0.1 + 0.9 * 0.5 * (1 + cos(3.141592653589793 * least((i - 100) / 900, 1.0)))) END, 12) AS lr FROM range(0, 1200, 10) AS t(i)")
 def lr_schedule(spark, sf_dir):
     return spark.range(0, 1200, 10).select(F.col("id").alias("step"), F.round(Fmt.learning_rate("id", 3e-4, 100, 900, 0.1), 12).alias("lr"))
@@ -247,6 +276,14 @@ def lr_schedule(spark, sf_dir):
 _SPEEDS = [(2.8e9, 65000.0, 8, 3.12e14), (1.25e8, 500000.0, 8, 3.12e14)]
 
 
+@R.add(f"SELECT params, round((6 * params + 6 * 34 * 2048 * 2560) * speed / (devices * peak), 9) AS mfu FROM {values(_SPEEDS, 'params, speed, devices, peak')}")
+def mfu_attention(spark, sf_dir):
+    """Utilisation with the attention term of 34 layers, 2,048 positions and 2,560 channels."""
+    c = [F.col(x) for x in ("params", "speed", "devices", "peak")]
+    s = literal(spark, _SPEEDS, "params double, speed double, devices int, peak double")
+    return s.select("params", F.round(Fmt.mfu(*c, attention=Fmt.attention_flops(F.lit(34), F.lit(2048), F.lit(2560))), 9).alias("mfu"))
+
+
 @R.add(f"SELECT params, round(6 * params * speed / (devices * peak), 9) AS mfu, round(8 * params * speed / (devices * peak), 9) AS hfu FROM {values(_SPEEDS, 'params, speed, devices, peak')}")
 def mfu(spark, sf_dir):
     c = [F.col(x) for x in ("params", "speed", "devices", "peak")]

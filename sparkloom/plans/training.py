@@ -40,35 +40,58 @@ def interleave_chain(spark, sf_dir):
 _WEIGHTS = {"de": 0.2, "en": 0.5, "es": 0.1, "fr": 0.2}
 
 
-def counters(spark: SparkSession, n: int) -> DataFrame:
-    c = spark.range(4 * n)
-    return c.select((F.col("id") % 4).cast("int").alias("slot"), F.floor(F.col("id") / 4).cast("long").alias("counter"))
+def slot_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lines(docs(spark, sf_dir).drop("text")).withColumn("slot", O.line_slots("line_num", 2, 2))
+    return O.positions(d, ["slot", "bucket"], ["doc_id"], "ord").select("slot", "bucket", "ord", "doc_id")
+
+
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many counters for a slot as it has items."""
+    d = lines(docs(spark, sf_dir).drop("text")).select("doc_id", O.line_slots("line_num", 2, 2).alias("slot"))
+    return O.positions(d, ["slot"], ["doc_id"], "counter").select("slot", "counter")
+
+
+_SLOT_ITEMS = f"{DOCS}, si AS (SELECT doc_id, bucket, (line_num % 4)::INT AS slot, row_number() OVER (PARTITION BY line_num % 4, bucket ORDER BY doc_id) - 1 AS ord FROM docs)"
+_U = "('0x' || substr(md5('42:' || slot || ':' || counter), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE"
 
 
-def _draw_sql(n: int) -> str:
-    u = "('0x' || substr(md5('42:' || slot || ':' || counter), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE"
-    return f"""c AS (SELECT (i % 4)::INT AS slot, (i // 4)::BIGINT AS counter FROM range({4 * n}) AS t(i)), u AS (SELECT *, {u} AS u FROM c),
-b AS (SELECT slot, counter, CASE WHEN u < 0.2::DOUBLE THEN 'de' WHEN u < (0.2::DOUBLE + 0.5::DOUBLE) THEN 'en' WHEN u < (0.2::DOUBLE + 0.5::DOUBLE + 0.1::DOUBLE) THEN 'es' ELSE 'fr' END AS bucket FROM u),
-drawn AS (SELECT *, (row_number() OVER (PARTITION BY slot, bucket ORDER BY counter) - 1)::BIGINT AS k FROM b)"""
+def _drawn(bucket: str) -> str:
+    return f"""c AS (SELECT slot, (row_number() OVER (PARTITION BY slot ORDER BY doc_id) - 1)::BIGINT AS counter FROM si), u AS (SELECT *, {_U} AS u FROM c),
+b AS (SELECT slot, counter, {bucket} AS bucket FROM u), drawn AS (SELECT *, (row_number() OVER (PARTITION BY slot, bucket ORDER BY counter) - 1)::BIGINT AS k FROM b)"""
 
 
-@R.add(f"WITH {_draw_sql(500)} SELECT slot, counter, bucket, k FROM drawn")
+_WEIGHTED = "CASE WHEN u < 0.2::DOUBLE THEN 'de' WHEN u < (0.2::DOUBLE + 0.5::DOUBLE) THEN 'en' WHEN u < (0.2::DOUBLE + 0.5::DOUBLE + 0.1::DOUBLE) THEN 'es' ELSE 'fr' END"
+_EVEN = "CASE WHEN u < 0.25::DOUBLE THEN 'de' WHEN u < 0.5::DOUBLE THEN 'en' WHEN u < 0.75::DOUBLE THEN 'es' ELSE 'fr' END"
+
+
+@R.add(f"WITH {_SLOT_ITEMS}, {_drawn(_WEIGHTED)} SELECT slot, counter, bucket, k FROM drawn")
 def weighted_draws_md5(spark, sf_dir):
-    return M.draws(counters(spark, 500), _WEIGHTS).select("slot", "counter", "bucket", "k")
+    return M.draws(counters(spark, sf_dir), _WEIGHTS).select("slot", "counter", "bucket", "k")
 
 
-def slot_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = lines(docs(spark, sf_dir).drop("text")).withColumn("slot", O.line_slots("line_num", 2, 2))
-    return O.positions(d, ["slot", "bucket"], ["doc_id"], "ord").select("slot", "bucket", "ord", "doc_id")
+@R.add(f"WITH {_SLOT_ITEMS}, {_drawn(_EVEN)} SELECT slot, counter, bucket, k FROM drawn")
+def uniform_draws_md5(spark, sf_dir):
+    """A random interleave without preference: the same with equal weights."""
+    return M.draws(counters(spark, sf_dir), M.uniform(list(_WEIGHTS))).select("slot", "counter", "bucket", "k")
 
 
-_SLOT_ITEMS = f"{DOCS}, si AS (SELECT doc_id, bucket, (line_num % 4)::INT AS slot, row_number() OVER (PARTITION BY line_num % 4, bucket ORDER BY doc_id) - 1 AS ord FROM docs)"
+_ZERO = {"de": 0.5, "en": 0.0, "fr": 0.5}
+
 
+_HALVES = "CASE WHEN u < 0.5::DOUBLE THEN 'de' ELSE 'fr' END"
 
-@R.add(f"WITH {_SLOT_ITEMS}, {_draw_sql(60)} SELECT d.slot, counter, d.bucket, k, doc_id FROM drawn d JOIN si ON si.slot = d.slot AND si.bucket = d.bucket AND si.ord = d.k")
+
+@R.add(f"WITH {_SLOT_ITEMS}, {_drawn(_HALVES)} SELECT bucket, count(*)::BIGINT AS draws, max(k)::BIGINT + 1 AS taken FROM drawn GROUP BY bucket")
+def zero_weight_draws(spark, sf_dir):
+    """A bucket of weight 0 and one without a weight are never drawn."""
+    d = M.draws(counters(spark, sf_dir), _ZERO)
+    return d.groupBy("bucket").agg(F.count("*").alias("draws"), (F.max("k") + 1).alias("taken"))
+
+
+@R.add(f"WITH {_SLOT_ITEMS}, {_drawn(_WEIGHTED)} SELECT d.slot, counter, d.bucket, k, doc_id FROM drawn d JOIN si ON si.slot = d.slot AND si.bucket = d.bucket AND si.ord = d.k")
 def weighted_join(spark, sf_dir):
-    drawn = M.draws(counters(spark, 60), _WEIGHTS)
-    return M.join_draws(drawn, slot_items(spark, sf_dir)).select("slot", "counter", "bucket", "k", "doc_id")
+    """A slot draws as often as it has items; draws of a bucket that is dry by then find nothing."""
+    return M.join_draws(M.draws(counters(spark, sf_dir), _WEIGHTS), slot_items(spark, sf_dir)).select("slot", "counter", "bucket", "k", "doc_id")
 
 
 @R.add()
@@ -135,10 +158,10 @@ def curriculum_unknown_buckets(spark, sf_dir):
 def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a training log: one row for each rank's micro step."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.floor(F.col("event_id") / 4).cast("long").alias("step"), (F.col("user_id") % 4).cast("int").alias("rank"), F.col("value").alias("loss"), (F.col("value") / 10).alias("grad_norm"), (F.col("event_id") % 97 + 32).alias("trained"), F.lit(128).cast("long").alias("possible"))
+    return e.select(F.floor(F.col("event_id") / 4).cast("long").alias("step"), (F.col("user_id") % 4).cast("int").alias("rank"), F.col("value").alias("loss"), (F.col("value") / 10).alias("grad_norm"), (F.col("event_id") % 97 + 32).alias("trained"), F.lit(128).cast("long").alias("possible"), (F.col("event_id") / 4).alias("clock"))
 
 
-_LOG = "log AS (SELECT (event_id // 4)::BIGINT AS step, value AS loss, value / 10 AS grad_norm, event_id % 97 + 32 AS trained, 128 AS possible FROM events)"
+_LOG = "log AS (SELECT (event_id // 4)::BIGINT AS step, value AS loss, value / 10 AS grad_norm, event_id % 97 + 32 AS trained, 128 AS possible, event_id / 4 AS clock FROM events)"
 _DURATIONS = [20000, 35000, 15000, 10**12]
 
 
@@ -175,6 +198,24 @@ def exhaustion_code(spark, sf_dir):
     return C.exhaustion_code(literal(spark, _DRY, "slot int, bucket string"), ids, ["fr"])
 
 
+@R.add(f"""WITH ids AS (SELECT lang AS bucket, row_number() OVER (ORDER BY lang) - 1 AS bucket_id FROM (SELECT DISTINCT lang FROM documents)), d AS {values(_DRY, 'slot, bucket')},
+n AS (SELECT arg_max(bucket, bucket_id) AS bucket FROM d JOIN ids USING (bucket) WHERE bucket NOT IN ('fr'))
+SELECT allow, CASE WHEN bucket IS NULL THEN 'continue' WHEN allow THEN 'renormalise' ELSE 'halt' END AS action, CASE WHEN NOT allow THEN 'bucket_exhausted:' || bucket END AS reason FROM n, (VALUES (TRUE), (FALSE)) AS a(allow)""")
+def exhaustion_policy(spark, sf_dir):
+    """What follows a dry bucket, with and without leave to go on."""
+    ids = O.bucket_ids(table(spark, sf_dir, "documents").select(F.col("lang").alias("bucket")))
+    dry = literal(spark, _DRY, "slot int, bucket string")
+    both = [C.exhaustion_policy(dry, ids, ["fr"], allow).select(F.lit(allow).alias("allow"), "action", "reason") for allow in (True, False)]
+    return both[0].unionByName(both[1])
+
+
+@R.add(f"WITH {_MIXSQL}, l AS (SELECT * FROM mix WHERE bucket NOT IN ('en', 'fr') AND weight > 0) SELECT phase_idx, bucket, round(weight / sum(weight) OVER (PARTITION BY phase_idx), 9) AS weight FROM l")
+def mix_renormalised(spark, sf_dir):
+    """The mix after two buckets have run dry; a phase of these alone is gone."""
+    left = C.renormalise(mix(spark), literal(spark, [("en",), ("fr",)], "bucket string"))
+    return left.select("phase_idx", "bucket", F.round("weight", 9).alias("weight"))
+
+
 # --- progress
 
 
@@ -212,6 +253,26 @@ def batch_cursor(spark, sf_dir):
     return progress.batch_cursors(d, ["slot", "batch_idx"], "ord", ["bucket", "file_idx", "line_num"])
 
 
+@R.add("""WITH c AS (SELECT event_id AS micro, (user_id % 4)::INT AS slot, value FROM events), n AS (SELECT max(micro) + 1 AS n FROM c),
+s AS (SELECT slot, CASE WHEN micro < n - n % 48 THEN 'committed' ELSE 'pending' END AS state, micro, value FROM c, n)
+SELECT slot, state, max(micro)::BIGINT AS micro, arg_max(value, micro) AS value FROM s GROUP BY slot, state""")
+def cursor_commit(spark, sf_dir):
+    """Cursors of the last whole optimizer step of 48 micro steps, and those read since."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("micro"), (F.col("user_id") % 4).cast("int").alias("slot"), "value")
+    return progress.commit(e, 48, by=["slot"], order="micro")
+
+
+@R.add(f"""WITH {DOCS}, i AS (SELECT split, (line_num % 4) AS slot, doc_id, row_number() OVER (PARTITION BY split, line_num % 4 ORDER BY doc_id) - 1 AS ord FROM docs),
+b AS (SELECT DISTINCT split, slot, ord // 8 AS batch_idx FROM i)
+SELECT split, (slot // 2)::INT AS rank, (slot % 2)::INT AS worker, batch_idx::BIGINT AS batch_idx, (row_number() OVER (PARTITION BY split, slot // 2 ORDER BY batch_idx, slot % 2) - 1)::BIGINT AS place FROM b""")
+def loader_order(spark, sf_dir):
+    """The order in which a rank gets its workers' batches."""
+    d = lines(docs(spark, sf_dir).drop("text")).withColumn("slot", O.line_slots("line_num", 2, 2))
+    b = O.batches(O.positions(d, ["split", "slot"], ["doc_id"], "ord"), ["split", "slot"], "ord", 8, False)
+    b = b.select("split", F.floor(F.col("slot") / 2).cast("int").alias("rank"), (F.col("slot") % 2).alias("worker"), "batch_idx").distinct()
+    return O.loader_order(b, ["split", "rank"], "worker", "batch_idx")
+
+
 _STATES = [(2, 2, 2, 0), (2, 2, 2, 1), (99, 4, 1, 0), (2, 2, 2, 2)]
 
 
@@ -229,6 +290,14 @@ def interval_metrics(spark, sf_dir):
     return m.withColumn("mean_loss", F.round("mean_loss", 6)).withColumn("mean_grad_norm", F.round("mean_grad_norm", 6)).withColumn("packing_pct", F.col("packing_pct").cast("double"))
 
 
+@R.add(f"""WITH {_LOG}, g AS (SELECT (step // 50)::BIGINT AS interval, sum(trained) AS t, count(DISTINCT step) AS n, min(clock) AS a, max(clock) AS z FROM log GROUP BY 1), s AS (SELECT *, z - coalesce(lag(z) OVER (ORDER BY interval), a) AS seconds FROM g)
+SELECT interval, seconds, round(CASE WHEN seconds > 0 THEN t / seconds ELSE 0 END, 6) AS tokens_per_second, round(seconds / n, 6) AS seconds_per_step FROM s""")
+def interval_rates(spark, sf_dir):
+    """Tokens a second and seconds a step; a micro step takes a quarter of a second."""
+    r = profile.interval_rates(training_log(spark, sf_dir), 50)
+    return r.select("interval", "seconds", F.round("tokens_per_second", 6).alias("tokens_per_second"), F.round("seconds_per_step", 6).alias("seconds_per_step"))
+
+
 @R.add(f"WITH {_LOG}, s AS (SELECT step, sum(trained)::BIGINT AS tokens FROM log GROUP BY step) SELECT step, tokens, (sum(tokens) OVER (ORDER BY step))::BIGINT AS total FROM s")
 def tokens_running(spark, sf_dir):
     return profile.running_tokens(training_log(spark, sf_dir))

@@ -14,6 +14,21 @@ from sparkloom.functions.tokens import strip
 BOTH, PLAIN = "*.{jsonl,jsonl.gz}", "*.jsonl"
 
 
+class NoInput(FileNotFoundError):
+    """There is nothing to read; commands end with this code."""
+
+    exit_code = 1
+
+
+def find_inputs(spark: SparkSession, path: str, pattern: str = BOTH) -> list[str]:
+    """The input files under `path`, sorted; NoInput if there are none. Only names are read, through Spark, so any store will do."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path").distinct().orderBy("path")
+    names = [r.path for r in found.collect()]
+    if not names:
+        raise NoInput(f"no {pattern} under {path}")
+    return names
+
+
 def read_lines(spark: SparkSession, path: str, pattern: str = BOTH) -> DataFrame:
     """(file, value) of each line. Without numbers, so large files split into many tasks."""
     return spark.read.option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
@@ -63,6 +78,12 @@ def texts(lines: DataFrame, *, least_chars: int = 200, streaming: bool = False)
     return rows.withColumn("status", status).drop("_j")
 
 
+def stream_texts(spark: SparkSession, path: str, pattern: str = PLAIN, *, least_chars: int = 200) -> DataFrame:
+    """The streaming path: lines of files as they come, with text and status. There must be a file to begin with."""
+    find_inputs(spark, path, pattern)
+    return texts(spark.readStream.option("pathGlobFilter", pattern).text(path), least_chars=least_chars, streaming=True)
+
+
 def read_strict(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_num, value, prompt); raises at the first line that is no object with a prompt, by file and line."""
     rows = read_numbered(spark, path, "*").where(strip("value") != "")
@@ -76,8 +97,9 @@ def read_strict(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "line_num", "value", F.get_json_object("value", "$.prompt").alias("prompt"))
 
 
-def write_lines(df: DataFrame, path: str, order: list[str], *, one_file: bool = True) -> None:
-    """A JSON object for each row in the given order; letters outside ASCII stay as they are. `one_file` suits results that a person reads."""
+def write_lines(df: DataFrame, path: str, order: list[str], *, one_file: bool = False) -> None:
+    """A JSON object for each row, in the given order over the sorted file names; letters outside ASCII stay as they are. `one_file` puts all into one
+    task and file, which suits small results that a person reads."""
     columns = [c for c in df.columns if c not in order] or df.columns
     rows = df.orderBy(*order).select(F.to_json(F.struct(*columns)).alias("value"))
     (rows.coalesce(1) if one_file else rows).write.text(path)

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkloom.operators import packing as P
-from sparkloom.operators.windows import WindowSpec, explode_windows, window_counts
+from sparkloom.operators.windows import WindowSpec, explode_windows, window_counts, window_lengths
 
 
 def model(n, length, overlap):
@@ -72,7 +72,7 @@ def test_packing_places_every_window_once(spark):
     rows = [("a", 0, i, (i * 37) % 60 + 1) for i in range(700)]
     w = P.with_buffers(spark.createDataFrame(rows, "bucket string, file_idx int, doc_pos long, n_tokens long"))
     placed = P.pack_ffd(w, 128, group=["bucket", "file_idx"])
-    out = placed.join(w, ["bucket", "file_idx", "buffer_idx", "doc_pos"]).collect()
+    out = placed.join(w.drop("n_tokens"), ["bucket", "file_idx", "buffer_idx", "doc_pos"]).collect()
     assert sorted(r.doc_pos for r in out) == list(range(700))
     load = {}
     for r in out:
@@ -91,3 +91,11 @@ def test_best_fit_never_places_what_is_too_long(spark):
         load[r.seq_idx] = load.get(r.seq_idx, 0) + n[r.doc]
     assert all(n[r.doc] <= 128 for r in placed) and max(load.values()) <= 128
     assert len({r.doc for r in placed}) == len(placed) == sum(v <= 128 for v in n.values())
+
+
+def test_lengths_alone_are_those_of_the_windows(spark):
+    d = spark.createDataFrame([(n, list(range(n))) for n in (0, 1, 31, 63, 64, 65, 111, 112, 113, 160, 500, 3000)], "doc int, tokens array<int>")
+    for spec in (WindowSpec(64, 16), WindowSpec(64, 0), WindowSpec(64, 50, cap=5)):
+        full = explode_windows(d, spec, eod=F.lit(-1)).select("doc", "window_idx", "overlap_len", F.size("tokens").cast("long").alias("n_tokens"))
+        slim = window_lengths(d.select("doc", F.size("tokens").alias("n")), spec, "n")
+        assert sorted(map(tuple, slim.collect())) == sorted(map(tuple, full.collect()))
