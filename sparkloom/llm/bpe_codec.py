@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pre-tokens that a worker keeps ids of; beyond it the dictionary starts anew, which changes no id.
+#: Distinct pre-tokens that a worker keeps ids of; beyond it the older half goes, which changes no id.
 MAX_KEPT = 200_000
 #: Where the byte 0 is mapped to; the others follow.
 FIRST_LETTER = 0x100
@@ -81,11 +82,13 @@ class ByteBpe:
             return b"".join(map(kept.__getitem__, matches))
         except KeyError:
             new = list({m for m in matches if m not in kept})
-            if len(kept) + len(new) > self.max_kept:
-                kept.clear()
-                new = list(set(matches))
             self._learn(new)
-            return b"".join(map(kept.__getitem__, matches))
+            ids = b"".join(map(kept.__getitem__, matches))
+            if len(kept) > self.max_kept:
+                # Of the older entries the commonest come back at once.
+                for p in list(itertools.islice(kept, len(kept) - self.max_kept // 2)):
+                    del kept[p]
+            return ids
 
     def decode(self, ids: bytes) -> bytes:
         import numpy as np
@@ -130,7 +133,11 @@ def decode(df: DataFrame, ranks_file: str, pattern: str, *, ids_col: str = "ids"
 
 
 def round_trip(df: DataFrame, ranks_file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes in one pass, keeping digests only."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes in one pass, keeping digests only.
+
+    Null and empty texts have no ids and the digests of nothing; a very long text is encoded whole, match by match; repeated rows and null ids give
+    a row each; an empty table gives an empty one; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sha = _codec(ranks_file, pattern), hashlib.sha256

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialise, running_total
+from sparkloom.llm.common import join_hot, materialise, running_total
 
 BEGIN, SEP, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings that texts may hold: those of this template and of common others.
@@ -62,8 +62,8 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
 
 @dataclass(frozen=True)
 class ChatForest:
-    """nodes: the stream, a row for each segment. leaves: node ids from root to leaf of each distinct conversation.
-    members: the leaf of each conversation."""
+    """nodes: the stream, a row for each segment; `paths` counts the distinct conversations that go through it. leaves: node ids from root to leaf of each
+    distinct conversation. members: the leaf of each conversation."""
 
     nodes: DataFrame
     leaves: DataFrame
@@ -105,10 +105,11 @@ def build(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn"
     ranks = running_total(once.select("leaf", "path", F.lit(1).cast("long").alias("one")), ["path"], "one", "rank", "chat-ranks").select("leaf", "rank")
     chained = once.select("leaf", F.explode("nodes").alias("n")).join(ranks, "leaf")
     own = [c for c in ("parent", "depth", "role", "segment", "loss_from", "loss_to", "length", "position")]
-    found = chained.groupBy(F.col("n.node").alias("node")).agg(F.min("rank").alias("rank"), *[F.first(f"n.{c}").alias(c) for c in own])
+    found = chained.groupBy(F.col("n.node").alias("node")).agg(F.min("rank").alias("rank"), F.count("*").alias("paths"), *[F.first(f"n.{c}").alias(c) for c in own])
     found = materialise(found, "chat-nodes")
-    starts = running_total(found.select("node", "rank", "depth", "length"), ["rank", "depth"], "length", "start", "chat-starts").select("node", "rank", "start")
-    chain = chained.select("leaf", F.col("rank").alias("leaf_rank"), "n.node", "n.depth", "n.length").join(starts, "node")
+    starts = running_total(found.select("node", "rank", "depth", "length", "paths"), ["rank", "depth"], "length", "start", "chat-starts").select("node", "rank", "start", "paths")
+    # A first turn that many conversations share is a hot key.
+    chain = join_hot(chained.select("leaf", F.col("rank").alias("leaf_rank"), "n.node", "n.depth", "n.length"), starts, "node", "paths")
     lines = chain.groupBy("leaf", "leaf_rank").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "start", "length", (F.col("rank") == F.col("leaf_rank")).alias("first")))).alias("line"))
 
     def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +135,8 @@ def build(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn"
 
 def read_back(forest: ChatForest) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), from the emitted segments alone."""
-    steps = forest.leaves.select("leaf", F.posexplode("chain").alias("depth", "node")).join(forest.nodes.select("node", "segment", "loss_from", "loss_to"), "node")
+    steps = forest.leaves.select("leaf", F.posexplode("chain").alias("depth", "node"))
+    steps = join_hot(steps, forest.nodes.select("node", "segment", "loss_from", "loss_to", "paths"), "node", "paths")
     whole = steps.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("depth", "segment", "loss_from", "loss_to"))).alias("line"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialise, new_path
+from sparkloom.llm.common import join_hot, materialise, new_path
 
 #: Payloads below this many bytes are always written whole.
 LEAST_REVISIT_BYTES = 100
@@ -33,8 +33,9 @@ def _header(kind: str, record_id: Column, uri: Column, extra: list[Column], cont
 def plan_revisits(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(key, digest, refers_to): the captures that revisit an equal payload of the smallest id; the text stays where it is."""
     slim = _keyed(pages, id_col, url_col, html_col).where(F.col("_bytes") >= LEAST_REVISIT_BYTES).where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), "_key", "_digest")
-    first = slim.groupBy("_digest").agg(F.min(F.struct("id", "_key")).alias("first"), F.max("id").alias("last")).where("last > first.id")
-    return slim.join(first, "_digest").where("id > first.id").select("_key", F.col("first._key").alias("_refers")).distinct()
+    first = slim.groupBy("_digest").agg(F.min(F.struct("id", "_key")).alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("last > first.id")
+    # One payload may be that of a third of all pages.
+    return join_hot(slim, first, "_digest", "n").where("id > first.id").select("_key", F.col("first._key").alias("_refers")).distinct()
 
 
 def _keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -146,7 +147,12 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def archive_digests(pages: DataFrame, *, id_col: str = "page_id") -> DataFrame:
-    """Writes the pages, reads them back and gives a row for each: id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes the pages, reads them back and gives a row for each: id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Null html is an empty payload; a null id stays null and is never revisited; rows that repeat one are each given; rows that share an id
+    but not url or html are captures of their own, and of these only those of a smaller id are revisited. A payload of any length is
+    written whole; other columns are not read; an empty table gives an empty one.
+    """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path, id_col=id_col)
