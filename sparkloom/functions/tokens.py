@@ -125,13 +125,29 @@ def load(spec: TokenizerSpec):
     return _loaded[spec]
 
 
-def encode_texts(spec: TokenizerSpec, texts: list[str], max_length: int | None = None) -> list[list[int]]:
+def encode_texts(spec: TokenizerSpec, texts: list[str], max_length: int | None = None, *, special: bool = False, padded: bool = False) -> list[list[int]]:
+    """Ids of each text; `special` adds the tokenizer's marks around it, `padded` fills up to `max_length` with the pad id."""
     t = load(spec)
-    ids = t.encode(texts, num_threads=1) if spec.kind == "sentencepiece" else [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
-    return [x[:max_length] for x in ids] if max_length else ids
+    if spec.kind == "sentencepiece":
+        ids = t.encode(texts, num_threads=1)
+        ids = [[spec.bos_id, *x] for x in ids] if special else ids
+    else:
+        ids = [e.ids for e in t.encode_batch(texts, add_special_tokens=special)]
+    if not max_length:
+        return ids
+    return [x[:max_length] + [spec.pad_id] * (max_length - len(x) if padded else 0) for x in ids]
+
+
+def find_metaspace(spec: TokenizerSpec, first: int = 1000, last: int = 50_000) -> int | None:
+    """The id of a piece that is white space alone and decodes to nothing, looked for where such ids are; byte-level vocabularies have none."""
+    if spec.kind != "sentencepiece":
+        return None
+    t = load(spec)
+    n = t.get_piece_size()
+    return next((i for i in range(min(first, n), min(last, n)) if t.id_to_piece(i) == "\u2581" and not t.decode([i]).strip()), None)
 
 
-def encode(spec: TokenizerSpec, max_length: int | None = None):
+def encode(spec: TokenizerSpec, max_length: int | None = None, *, special: bool = False, padded: bool = False):
     """A column function text -> array<int>; null texts are encoded as empty ones."""
     if spec.kind in ("codepoint", "word"):
         made = codepoint_tokens if spec.kind == "codepoint" else word_tokens
@@ -139,17 +155,22 @@ def encode(spec: TokenizerSpec, max_length: int | None = None):
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(encode_texts(spec, s.fillna("").tolist(), max_length))
+            yield pd.Series(encode_texts(spec, s.fillna("").tolist(), max_length, special=special, padded=padded))
 
     return run
 
 
 def decode(spec: TokenizerSpec):
-    """A column function array<int> -> text; no ids give an empty text."""
+    """A column function array<int> -> text; no ids give an empty text. A sentencepiece text loses the spaces at its end, unless it is nothing else."""
     @F.pandas_udf("string")
     def run(ids: pd.Series) -> pd.Series:
         t = load(spec)
-        return ids.map(lambda x: "" if x is None or not len(x) else t.decode([int(i) for i in x]))
+
+        def one(x):
+            text = "" if x is None or not len(x) else t.decode([int(i) for i in x])
+            return text.rstrip(" ") if spec.kind == "sentencepiece" and not text.isspace() else text
+
+        return ids.map(one)
 
     return run
 
@@ -165,6 +186,17 @@ def pieces(spec: TokenizerSpec, df: DataFrame, tokens: str = "tokens") -> DataFr
     return df.withColumn("pieces", run(tokens))
 
 
+def piece_ids(spec: TokenizerSpec, df: DataFrame, pieces_col: str = "pieces") -> DataFrame:
+    """`df` with `tokens`, the ids of the vocabulary's strings; a string that is none has the id that the library gives it, or null."""
+    @F.pandas_udf("array<int>")
+    def run(pieces_: pd.Series) -> pd.Series:
+        t = load(spec)
+        name = t.piece_to_id if spec.kind == "sentencepiece" else t.token_to_id
+        return pieces_.map(lambda x: None if x is None else [name(str(p)) for p in x])
+
+    return df.withColumn("tokens", run(pieces_col))
+
+
 def strip(text: Column | str) -> Column:
     """Without white space at either end, line ends and Unicode spaces included."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.order import running_sum
+
 
 def normalise(mix: DataFrame) -> DataFrame:
     """Weights of a phase that sum to 1. Phases without length, weight, or with a negative weight are an error when they are read."""
@@ -37,9 +39,8 @@ def unknown_buckets(mix: DataFrame, present: DataFrame) -> DataFrame:
 
 def phase_of_steps(steps: DataFrame, durations: list[int]) -> DataFrame:
     """(step, tokens, phase_idx, phase_tokens): a phase ends with the step that reaches its length; the next begins at 0, so what goes beyond is
-    not carried over; the last phase has no end. A step is one row, so the running sum is over a small table; the loop is over phases."""
-    total = F.sum("tokens").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    run = steps.select("step", "tokens", total.alias("_t"))
+    not carried over; the last phase has no end. The loop is over phases, with one look at the running sum for each."""
+    run = running_sum(steps.select("step", "tokens"), "step", "tokens", "_t")
     starts: list[tuple[int, int | None]] = [(0, None)]
     for need in durations[:-1]:
         base, after = starts[-1]

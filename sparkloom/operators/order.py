@@ -54,6 +54,15 @@ def _ranked_by_parts(parted: DataFrame, group: list[str], order: list[str], colu
     return ranked.join(starts, same).withColumn(out, (F.col("_at") + F.col("_start")).cast("long")).select(*[c for c in columns if c != out], out)
 
 
+def running_sum(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """The sum of `value` over all rows up to and with this one in the order of `order`, which must be unique. By even parts, as places are."""
+    parted = df.withColumn("_p", _even_parts(df, order))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over PARTS rows
+    starts = parted.groupBy("_p").agg(F.sum(value).alias("_s")).select(F.col("_p").alias("_q"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    own = F.sum(value).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return parted.withColumn("_own", own).join(F.broadcast(starts), F.col("_p").eqNullSafe(F.col("_q"))).select(*[c for c in df.columns if c != out], (F.col("_start") + F.col("_own")).alias(out))
+
+
 def shuffle_key(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]).cast("binary"))
 

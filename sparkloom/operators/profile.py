@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.tokens import IGNORE
+from sparkloom.operators.order import running_sum
 from sparkloom.operators.windows import WindowSpec, window_counts
 
 
@@ -79,9 +80,8 @@ def interval_rates(log: DataFrame, every: int) -> DataFrame:
 
 
 def running_tokens(log: DataFrame) -> DataFrame:
-    """Trained tokens of each step over ranks, and so far. The running total is over steps, one row each."""
-    steps = log.groupBy("step").agg(F.sum("trained").alias("tokens"))
-    return steps.withColumn("total", F.sum("tokens").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
+    """Trained tokens of each step over ranks, and so far."""
+    return running_sum(log.groupBy("step").agg(F.sum("trained").alias("tokens")), "step", "tokens", "total")
 
 
 def eval_perplexity(losses: DataFrame, most: int | None) -> DataFrame:

@@ -138,6 +138,49 @@ def test_sql_names(spark):
     assert spark.sql("SELECT size(tokenize('Hello world')) AS n").first().n == 2
     rows = spark.sql("SELECT w.* FROM create_windows(array(1, 2, 3, 4, 5), 0, 4, 1) w").collect()
     assert [(r.window_idx, r.overlap_len, list(r.tokens)) for r in rows] == [(0, 0, [1, 2, 3, 4]), (1, 1, [4, 5, 0])]
+    placed = spark.sql("SELECT p.* FROM pack_windows(array(3, 9, 5, 7, 30), 10) p").collect()
+    assert [(r.item, r.seq_idx, r.place) for r in placed] == [(4, 0, 0), (1, 1, 0), (3, 2, 0), (2, 3, 0), (0, 2, 1)]
+
+
+def test_tokens_with_marks_padding_and_pieces(spark):
+    import public_tokenizers as P
+
+    gpt, sp = T.resolve("gpt2"), T.resolve(P.path("piece_bpe_32k.model"))
+    assert T.encode_texts(gpt, ["Hello", "a b c d"], 3, padded=True) == [[15496, 50257, 50257], [64, 275, 269]]
+    assert [x[0] for x in T.encode_texts(sp, ["Hello"], special=True)] == [sp.bos_id]
+    assert T.find_metaspace(gpt) is None
+    found = T.find_metaspace(sp)
+    assert found is not None and T.load(sp).id_to_piece(found) == "\u2581"
+    d = spark.createDataFrame([("Hello world  ",), ("",), (None,), ("   ",)], "text string").withColumn("tokens", T.encode(sp)("text"))
+    back = T.piece_ids(sp, T.pieces(sp, d).withColumnRenamed("tokens", "ids")).collect()
+    assert all(list(r.ids) == list(r.tokens) for r in back)
+    assert d.select(T.decode(sp)("tokens").alias("t")).first().t == "Hello world"
+
+
+def test_models_of_runs(spark, tmp_path, monkeypatch):
+    for name, step in (("checkpoint-10", 10), ("checkpoint-9", 9), ("checkpoint-11.partial", 11)):
+        (tmp_path / "run/checkpoints" / name).mkdir(parents=True)
+        (tmp_path / "run/checkpoints" / name / "trainer_state.json").write_text(json.dumps({"step": step}))
+    (tmp_path / "run/tokenizer").mkdir()
+    (tmp_path / "lone/model").mkdir(parents=True)
+    (tmp_path / "lone/model/config.json").write_text("{}")
+    monkeypatch.setenv("RUNS_HERE", str(tmp_path))
+    d = spark.createDataFrame([("$RUNS_HERE/run",), (f"{tmp_path}/lone",), ("nowhere",), (None,)], "path string")
+    got = {r.path: (r.checkpoint, r.tokenizer_dir) for r in Rec.resolve_models(d).collect()}
+    assert got == {"$RUNS_HERE/run": (f"{tmp_path}/run/checkpoints/checkpoint-10", f"{tmp_path}/run/tokenizer")}
+    (tmp_path / "lone/tokenizer").mkdir()
+    (tmp_path / "run/checkpoints/final").mkdir()
+    (tmp_path / "run/checkpoints/final/trainer_state.json").write_text('{"step": 8}')
+    got = {r.path: r.checkpoint.rsplit("/", 1)[1] for r in Rec.resolve_models(d).collect()}
+    assert got == {"$RUNS_HERE/run": "final", f"{tmp_path}/lone": "lone"}
+
+
+def test_streamed_lines_need_a_file(spark, tmp_path):
+    with pytest.raises(jsonl.NoInput) as e:
+        jsonl.stream_texts(spark, str(tmp_path))
+    assert e.value.exit_code == 1
+    (tmp_path / "a.jsonl").write_text('{"text": "hello"}\n')
+    assert len(jsonl.find_inputs(spark, str(tmp_path))) == 1 and jsonl.stream_texts(spark, str(tmp_path)).isStreaming
 
 
 def test_config(tmp_path):
