@@ -65,14 +65,14 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def join_hot(rows: DataFrame, side: DataFrame, key: str, count: str, total: int | None = None, most: int = 1000) -> DataFrame:
+def join_hot(rows: DataFrame, side: DataFrame, key: str, count: str, most: int = 1000) -> DataFrame:
     """`rows` with the columns of `side` (one row a key), which says in `count` how many rows of `rows` have the key; rows without a
-    key there go. `total` is the sum of these counts, or more.
+    key there go.
 
     Keys with more than 1/`most` of the rows could land in one task; there are fewer than `most` of them, whatever the rows, so
     these are broadcast, and the rest is shuffled.
     """
-    total = side.agg(F.sum(count)).first()[0] or 0 if total is None else total
+    total = side.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) * most > total
     is_hot = side.where(hot).drop(count)
     held = rows.join(F.broadcast(is_hot), key)
