@@ -137,65 +137,90 @@ def _counts(head, flat, at):
     return np.diff(np.concatenate([[0], np.cumsum(head[place] == flat)])[at])
 
 
+def likely(head, n_head: int, flat, at, n, how: NearDup):
+    """Which sets can reach the threshold with one of `n_head` values, and for which that is certain. `head` and the parts flat[at[i] : at[i + 1]]
+    are the sets' smallest values, all of them or estimate_k; `n` are the sets' sizes. By the sketch of the union, which is the union itself where
+    both are whole."""
+    import numpy as np
+
+    k, top = how.estimate_k, np.iinfo(np.int64).max
+    small, large = np.minimum(n, n_head), np.maximum(n, n_head)
+    cut = n > k
+    edge = np.minimum(head[-1] if n_head > k else top, np.where(cut, flat[at[1:] - 1], top))
+    low = flat <= np.repeat(edge, np.diff(at))
+    inside = np.concatenate([[0], np.cumsum(low)])[at]
+    i = _counts(head, flat[low], inside)
+    union = np.diff(inside) + np.searchsorted(head, edge, side="right") - i
+    whole = ~cut & (n_head <= k)
+    ok = np.where(whole, i * 100 >= union * how.percent, i >= (how.percent / 100 - _room(union, small + large, how)) * union)
+    return ok & (small * 100 >= large * how.percent), whole
+
+
 def similar(head, flat, at, how: NearDup):
-    """Which sets, flat[at[i] : at[i + 1]], reach the threshold with `head`: first by the sketch of the union, then on full sets."""
+    """Which whole sets flat[at[i] : at[i + 1]] reach the threshold with the whole set `head`."""
     import numpy as np
 
-    n, k, top = np.diff(at), how.estimate_k, np.iinfo(np.int64).max
-    ok = np.minimum(n, len(head)) * 100 >= np.maximum(n, len(head)) * how.percent
-    if len(head) > k or (n > k).any():
-        own = head[k - 1] if len(head) > k else top
-        edge = np.minimum(own, np.where(n > k, flat[np.minimum(at[:-1] + k, at[1:]) - 1], top))
-        low = flat <= np.repeat(edge, n)
-        inside = np.concatenate([[0], np.cumsum(low)])[at]
-        i = _counts(head, flat[low], inside)
-        union = np.diff(inside) + np.searchsorted(head, edge, side="right") - i
-        ok &= i >= (how.percent / 100 - _room(union, len(head) + n, how)) * union
-    for j in np.array_split(np.flatnonzero(ok), 1 + ok.sum() // 64):
-        if len(j):
-            parts = [flat[at[x] : at[x + 1]] for x in j]
-            i = _counts(head, np.concatenate(parts), np.concatenate([[0], np.cumsum(n[j])]))
-            ok[j] = i * 100 >= (len(head) + n[j] - i) * how.percent
-    return ok
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
-    """Pairs (a, b) whose estimate can reach the threshold and whose exact Jaccard on full sets does. `size` says how many partners a class may
-    have; those of one with many go to several tasks by their hash. A task reads that class's set first and then lets its partners' sets pass by."""
+    i = _counts(head, flat, at)
+    return i * 100 >= (len(head) + np.diff(at) - i) * how.percent
+
+
+def _beside(pairs: DataFrame, values: DataFrame, how: NearDup, judge, out: str) -> DataFrame:
+    """What `judge` says of each pair (a, b, size): it gets the row (n, set) of `values` of a class and those of some of its partners, and returns columns
+    of arrays and which partners to keep. `size` says how many partners a class may have; those of one with many go to several tasks by their hash. A
+    task reads the class's row first and then lets its partners' pass by."""
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / how.partners)).cast("int")
-    salted = materialise(pairs.groupBy("a", "b").agg(F.max("size").alias("size")).select("a", "b", salt.alias("salt")), "pairs")
-    partners = salted.join(sets.select(F.col("cls").alias("b"), "set"), "b").select("a", "salt", "b", "set")
-    heads = salted.select("a", "salt").distinct().join(sets.select(F.col("cls").alias("a"), "set"), "a").select("a", "salt", F.lit(None).cast("string").alias("b"), "set")
+    salted = pairs.select("a", "b", "size", salt.alias("salt"))
+    partners = salted.join(values.select(F.col("cls").alias("b"), "n", "set"), "b").select("a", "salt", "b", "size", "n", "set")
+    heads = salted.select("a", "salt").distinct().join(values.select(F.col("cls").alias("a"), "n", "set"), "a")
+    heads = heads.select("a", "salt", F.lit(None).cast("string").alias("b"), F.lit(None).cast("long").alias("size"), "n", "set")
     dealt = heads.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        key = head = None
+        key = head = n_head = None
         for batch in batches:
-            found = []
+            found: list[tuple] = []
             for start in range(0, batch.num_rows, 256):  # sets can be long: few at once
                 part = batch.slice(start, 256)
-                at, flat = part.column(3).offsets.to_numpy(), part.column(3).values.to_numpy(zero_copy_only=False)
+                at, flat = part.column(5).offsets.to_numpy(), part.column(5).values.to_numpy(zero_copy_only=False)
                 keys = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
-                b = part.column(2).to_pylist()
+                b, size, n = part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_numpy(zero_copy_only=False)
                 i = 0
                 while i < len(b):
                     if b[i] is None:
-                        key, head = keys[i], np.array(flat[at[i] : at[i + 1]])
+                        key, head, n_head = keys[i], np.array(flat[at[i] : at[i + 1]]), int(n[i])
                         i += 1
                         continue
                     z = i
                     while z < len(b) and b[z] is not None and keys[z] == key:
                         z += 1
                     if z == i:
-                        raise ValueError("a partner without its class's set")
-                    ok = similar(head, flat[at[i] : at[z]], at[i : z + 1] - at[i], how)
-                    found += [(key[0], b[i + x]) for x in np.flatnonzero(ok)]
+                        raise ValueError("a partner without its class's row")
+                    ok, sure = judge(head, n_head, flat[at[i] : at[z]], at[i : z + 1] - at[i], n[i:z])
+                    found += [(key[0], b[i + x], size[i + x], bool(sure[x])) for x in np.flatnonzero(ok)]
                     i = z
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], names=["a", "b"])
+            cols = list(zip(*found, strict=True)) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "size", "sure"])
+
+    return materialise(dealt.mapInArrow(check, "a string, b string, size long, sure boolean"), out)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, how: NearDup, *, estimated: bool = False) -> DataFrame:
+    """Pairs (a, b) of `pairs` (a, b, size) whose exact Jaccard on full sets reaches the threshold. First sketches alone travel (unless the pairs are
+    `estimated` already), and settle what is clear; full sets travel for what is left."""
+    import numpy as np
 
-    return dealt.mapInArrow(check, "a string, b string")
+    k = how.estimate_k
+    once = materialise(pairs.groupBy("a", "b").agg(F.max("size").alias("size")), "pairs")
+    sized = sets.select("cls", F.size("set").cast("long").alias("n"), "set")
+    sure = None
+    if not estimated:
+        low = sized.withColumn("set", F.slice("set", 1, k))
+        met = _beside(once, low, how, lambda head, n_head, flat, at, n: likely(head, n_head, flat, at, n, how), "likely")
+        sure, once = met.where("sure"), met.where("NOT sure")
+    found = _beside(once, sized, how, lambda head, n_head, flat, at, n: (similar(head, flat, at, how), np.ones(len(n), bool)), "similar")
+    return (found if sure is None else found.unionByName(sure)).select("a", "b")
 
 
 @dataclass
@@ -302,7 +327,7 @@ def near_duplicates(df: DataFrame, how: NearDup = NearDup(), *, id_col: str = "d
     star = star.select(F.col("pivot").alias("a"), F.col("cls").alias("b"), "size")
     links = materialise(confirm(star, sets, how), "links")
     labels = components(links)
-    more = confirm(_open_pairs(lists, labels, sets, how), sets, how)
+    more = confirm(_open_pairs(lists, labels, sets, how), sets, how, estimated=True)
     labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
     least = labels.join(members, labels.node == members.cls).groupBy("label").agg(F.min("rep").alias("component_id"))

@@ -383,7 +383,11 @@ def test_estimates_at_the_threshold_let_pairs_pass():
         both = rng.integers(-(2**62), 2**62, 850)
         a, b = (np.sort(np.concatenate([both, rng.integers(-(2**62), 2**62, 75)])) for _ in range(2))
         met += len(np.intersect1d(a[: how.k], b[: how.k])) >= how.shared
-        passed += minhash.similar(a, np.concatenate([b, a, b[:3]]), np.array([0, len(b), len(a) + len(b), len(a) + len(b) + 3]), how).tolist() == [True, True, False]
+        at = np.array([0, len(b), len(a) + len(b), len(a) + len(b) + 3])
+        assert minhash.similar(a, np.concatenate([b, a, b[:3]]), at, how).tolist() == [True, True, False]
+        k = how.estimate_k
+        ok, sure = minhash.likely(a[:k], len(a), np.concatenate([b[:k], a[:k], b[:3]]), np.array([0, k, 2 * k, 2 * k + 3]), np.array([len(b), len(a), 3]), how)
+        passed += ok.tolist() == [True, True, False] and not sure[0]
     assert (met, passed) == (400, 400)
 
 
@@ -753,3 +757,28 @@ def test_running_total(spark):
         at += n
 
 
+
+
+def test_very_long_texts(spark):
+    """A text of two million characters, whole, beside a short one, through every operator that reads texts."""
+    import sentencepiece
+
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in "the and for with from".split() for b in ("", "ing", "er", "ly", "ness")]
+    long = " ".join(rng.choices(words, k=280_000)) + " token = 'x9Kq2LmP7vTz4RbW8nYc3' " + LEAK + " tail" * 40_000
+    assert len(long) > 1_900_000
+    d = spark.createDataFrame([(1, long), (2, "short and plain"), (3, long + " end")], "doc_id long, text string")
+    model = langid.fit(lang_docs(spark))
+    assert [r.lang_pred for r in langid.classify(d, model).orderBy("doc_id").collect()] == model.predict([long, "short and plain", long + " end"])[0]
+    tox = toxicity.fit(*toxic_tables(spark, 100))
+    assert [r.score for r in toxicity.classify(d, tox).orderBy("doc_id").collect()][0] == tox.score(long)[0]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(d, minhash.NearDup(3, 85)).collect()}
+    assert got == {i: (len(brute_shingles(t, 3)), 1 if i != 2 else 2) for i, t in ((1, long), (2, "short and plain"), (3, long + " end"))}
+    assert {r.doc_id: r.decoded_sha256 for r in bpe_codec.round_trip(d, RANKS, PT.PATTERN).collect()}[1] == hashlib.sha256(long.encode()).hexdigest()
+    items = spark.createDataFrame([(1, LEAK)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.contaminated(d, items).collect()) == [1, 3]
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert {r.doc_id: r.n_tokens for r in piece_count.count_pieces(d, PIECES).collect()}[1] == len(sp.encode(long))
+    spans = {r.doc_id: r.spans for r in secret_scan.scan(d).collect()}
+    at = long.index("token = ")
+    assert spans[2] == "" and spans[1] == spans[3] == f"assign:{at}:{at + 30},entropy:{at + 9}:{at + 30}"
