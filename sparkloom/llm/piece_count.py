@@ -26,8 +26,8 @@ from sparkloom.llm.common import materialise
 
 #: Distinct pre-tokens that a task holds at once; beyond it what it has goes out, which changes no sum.
 MAX_KEPT = 200_000
-#: The broadcast table: so many of the commonest pre-tokens, none longer than so many characters (so at most 13 MB).
-COMMON, COMMON_CHARS = 50_000, 64
+#: The broadcast table: at most so many of the commonest pre-tokens, none longer than so many characters (so at most 38 MB).
+COMMON, COMMON_CHARS = 300_000, 32
 SPACE = "▁"
 PRE_TOKEN = re.compile(r"\n| *[^ \n]+| +")
 
@@ -127,6 +127,22 @@ def counted(pre_tokens: DataFrame, model_file: str) -> DataFrame:
     return pre_tokens.select("pre_token", "docs").mapInArrow(run, "pre_token string, docs long, pieces long")
 
 
+def commonest(table: DataFrame, most: int) -> dict[str, int]:
+    """Pieces of the commonest pre-tokens of `table`, `most` or fewer: all from that number of documents on at which there are no more. The driver gets how many
+    pre-tokens there are by the logarithm of that number, then these pre-tokens."""
+    short = table.where(F.length("pre_token") <= COMMON_CHARS).withColumn("scale", F.floor(F.log2("docs") * 16))
+    found, least = 0, None
+    for scale, n in sorted(map(tuple, short.groupBy("scale").count().collect()), reverse=True):
+        found += n
+        if found > most:
+            break
+        least = scale
+    if least is None:
+        return {}
+    best = short.where(F.col("scale") >= least).select("pre_token", "pieces").toArrow()
+    return dict(zip(best.column(0).to_pylist(), best.column(1).to_pylist(), strict=True))
+
+
 def count_pieces(df: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, common: int = COMMON, max_kept: int = MAX_KEPT) -> DataFrame:
     """A row (id, n_bytes, n_tokens, over_limit) for each row of `df`.
 
@@ -138,8 +154,7 @@ def count_pieces(df: DataFrame, model_file: str, *, id_col: str = "doc_id", text
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = df.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     table = materialise(counted(distinct_pre_tokens(slim, model_file, max_kept), model_file), "pre-tokens")
-    best = table.where(F.length("pre_token") <= COMMON_CHARS).orderBy(F.desc("docs"), "pre_token").limit(common)
-    known = {r.pre_token: r.pieces for r in best.select("pre_token", "pieces").collect()}
+    known = commonest(table, common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, find = _counter(model_file), known.get
