@@ -37,14 +37,14 @@ class Settings:
     beginnings. base, full: relevance of a term without a link to the toxic label, and the log-likelihood ratio of such a link that counts in
     full. folds: parts for the fit of the curve. first: blocks scored before others are ruled out."""
 
-    sample: int = 2000
+    sample: int = 1500
     longest: int = 200_000
     beginnings: tuple[int, ...] = (5,)
     base: float = 0.05
     full: float = 20.0
     neighbours: int = 15
-    block: int = 64
-    first: int = 3
+    block: int = 512
+    first: int = 1
     folds: int = 3
     threshold: float = 0.7
 
@@ -64,15 +64,17 @@ class Index:
     """Block-max inverted index over unit vectors. `origin` says which vector each row is. A term's list is cut into runs, one for each block that
     it is in, with the run's greatest weight; lists that hold more than one in `full` of all rows are kept unpacked, a cell for each row."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_terms: int, block: int, first: int = 3, full: int = 8):
-        lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_terms: int, block: int, first: int = 1, full: int = 8):
+        held = np.bincount(np.concatenate([t for t, _ in vectors] or [np.zeros(0, int)]).astype(int), minlength=n_terms)
+        often = held * full > len(vectors)
+        # Rows whose heaviest common term is the same are alike, as those in one language are.
+        lead = [int(t[np.argmax(np.where(often[t], w, 0))]) if len(t) else -1 for t, w in vectors]
         order = sorted(range(len(vectors)), key=lambda i: (labels[i], lead[i], i))
         self.origin, self.labels, self.block, self.first = order, np.asarray(labels, float)[order], block, first
         self.n_blocks = max(1, -(-len(order) // block))
         row = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
         term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, int)]).astype(int)
         weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
-        often = np.bincount(term, minlength=n_terms) * full > len(order)
         self.unpacked = np.where(often, np.cumsum(often) - 1, -1)
         self.cells = np.zeros((int(often.sum()), self.n_blocks, block))
         at = often[term]
@@ -176,24 +178,26 @@ class Model:
     def __init__(self, vocabulary: dict[str, int], weights: Weights, index: Index | None, ids: list, curve: np.ndarray, settings: Settings):
         self.vocabulary, self.weights, self.index, self.curve, self.settings = vocabulary, weights, index, curve, settings
         self.ids = [ids[i] for i in index.origin] if index else []
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "known": {}}
+        # Of each term that is a word, the terms of its beginnings; and beginnings apart, for words that are no terms.
+        self.heads = {t: i for t, i in vocabulary.items() if t.endswith("*")}
+        self.heads_of = np.array([[self.heads.get(t[:n] + "*", -1) if len(t) >= n and not t.endswith("*") else -1 for t in vocabulary] for n in settings.beginnings], int)
 
     def terms(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Known terms of a text and how often they stand in it."""
-        known, vocabulary = self.known, self.vocabulary
-        found: dict[int, int] = {}
-        for word, n in Counter(WORD.findall((text or "").lower())).items():
-            own = known.get(word)
-            if own is None:
-                if len(known) >= 200_000:
-                    known.clear()
-                own = known[word] = tuple(vocabulary[t] for t in terms_of(word, self.settings.beginnings) if t in vocabulary)
-            for t in own:
-                found[t] = found.get(t, 0) + n
-        return np.fromiter(found, int, len(found)), np.fromiter(found.values(), float, len(found))
+        counts = Counter(WORD.findall((text or "").lower()))
+        find, head = self.vocabulary.get, self.heads.get
+        words = np.fromiter((find(w, -1) for w in counts), int, len(counts))
+        times = np.fromiter(counts.values(), float, len(counts))
+        strange = np.flatnonzero(words < 0)
+        named = list(counts)
+        own = [words]
+        for n, heads in zip(self.settings.beginnings, self.heads_of, strict=True):
+            own.append(heads[words])
+            own[-1][strange] = [head(named[i][:n] + "*", -1) if len(named[i]) >= n else -1 for i in strange]
+        found = np.concatenate(own)
+        held = found >= 0
+        terms, place = np.unique(found[held], return_inverse=True)
+        return terms, np.bincount(place, weights=np.tile(times, len(own))[held], minlength=len(terms))
 
     def calibrated(self, vote: float, best: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(np.array(_inputs(vote, best)) @ self.curve, -30, 30))))
