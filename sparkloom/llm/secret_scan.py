@@ -65,7 +65,8 @@ def window_entropies(s: str, window: int) -> Iterator[float]:
     """Shannon entropy in bits of each window of `s`, from counts that change by one character in and one out."""
     if len(s) < window:
         return
-    f = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    # A window of one character holds window + 1 of it before the oldest leaves.
+    f = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
     counts: dict[str, int] = {}
     total = 0.0
     for i, ch in enumerate(s):

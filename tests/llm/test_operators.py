@@ -681,6 +681,12 @@ def test_window_entropy(s, w):
     assert np.allclose(got, [plain(s[i : i + w]) for i in range(len(s) - w + 1)], atol=1e-9)
 
 
+def test_a_run_longer_than_a_window_of_one_character():
+    key = "a1b2c3d4e5f6a1b2c3d4e5f6"
+    for text in (key + "0" * 30, "0" * 100 + key, "a1" + "b" * 60):
+        assert secret_scan.Scanner().entropy(text) == brute_entropy(text)
+
+
 SETS = {"hex": ("0123456789abcdefABCDEF", 24, 3.0), "key": (None, 20, 3.75), "lower": ("abcdefghijklmnopqrstuvwxyz0123456789", 24, 3.6), "upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 24, 3.6)}
 
 
