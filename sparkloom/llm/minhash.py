@@ -82,20 +82,47 @@ def sketches(df: DataFrame, how: NearDup, *, id_col: str = "doc_id", text_col: s
     return slim.mapInArrow(run, schema)
 
 
+#: Bits of the filter of representatives' ids, whatever their number.
+ID_BITS = 1 << 25
+
+
+def _id_filter(wanted: DataFrame) -> bytes:
+    """A bit for the hash of each `rep`, packed. A dozen parts come to the driver, whatever the size."""
+    import numpy as np
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(ID_BITS, bool)
+        for b in batches:
+            bits[b.column(0).to_numpy() & (ID_BITS - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(ID_BITS // 8, np.uint8)
+    for row in wanted.select(F.xxhash64("rep").alias("h")).coalesce(12).mapInArrow(mark, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row.bits, np.uint8)
+    return out.tobytes()
+
+
 def full_sets(df: DataFrame, how: NearDup, wanted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(cls, set) of the classes in `wanted` (rep, cls), from the texts of their representatives."""
-    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.select("rep").distinct(), "rep", "left_semi")
+    """(cls, set) of the classes in `wanted` (rep, cls), from the texts of their representatives. Texts don't travel: a filter of ids leaves out most rows where
+    the texts are, and the exact join meets sets."""
+    texts = df.select(F.col(id_col).alias("rep"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
+    bits = df.sparkSession.sparkContext.broadcast(_id_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        marked = np.frombuffer(bits.value, np.uint8)
         for b in batches:
+            h = b.column(1).to_numpy() & (ID_BITS - 1)
+            b = b.filter(pa.array((marked[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1))
             for i in range(0, b.num_rows, 512):
-                sets = shingle_sets(b.column(1).slice(i, 512).to_pylist(), how.width)
+                sets = shingle_sets(b.column(2).slice(i, 512).to_pylist(), how.width)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), _signed(sets)], names=["cls", "set"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 512), pa.array(digests, pa.string()), _signed(sets)], names=["rep", "cls", "set"])
 
-    made = texts.mapInArrow(run, "cls string, set array<long>")
+    made = texts.mapInArrow(run, f"rep {texts.dtypes[0][1]}, cls string, set array<long>")
     # A repeated id may bring the same set twice.
-    return made.join(wanted.select("cls").distinct(), "cls", "left_semi").dropDuplicates(["cls"])
+    return made.join(wanted.select("rep", "cls").distinct(), ["rep", "cls"], "left_semi").dropDuplicates(["rep", "cls"]).select("cls", "set")
 
 
 def inverted_lists(classes: DataFrame, how: NearDup) -> DataFrame:

@@ -788,3 +788,15 @@ def test_very_long_texts(spark):
     spans = {r.doc_id: r.spans for r in secret_scan.scan(d).collect()}
     at = long.index("token = ")
     assert spans[2] == "" and spans[1] == spans[3] == f"assign:{at}:{at + 30},entropy:{at + 9}:{at + 30}"
+
+
+def test_texts_stay_where_they_are_until_their_sets_are_made(spark):
+    rows = [(i % 400, f"word{i % 400} and some more words {i % 400} here") for i in range(800)] + [(None, "a b c d e f"), (7, "another text of the same id as before"), (8, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    how = minhash.NearDup(3, 85)
+    classes = minhash.sketches(d, how).where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    wanted = classes.where("rep < 50").select("rep", "cls")
+    got = minhash.full_sets(d, how, wanted)
+    assert sorted(r.cls for r in got.collect()) == sorted(r.cls for r in wanted.collect()) and got.count() == 51
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.index("Join") < plan.index("MapInArrow")
