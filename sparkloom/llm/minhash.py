@@ -10,12 +10,13 @@ generate candidates, the sketch of a pair's union estimates its similarity, and
    the lists unless they make up half a document.
 3. Each list compares its members with one pivot, the member whose values are the commonest; links are joined to
    components. That settles a large group of near copies with as many pairs as members.
-4. Members of a list that are still in different components are compared with each other, in blocks of a bounded size,
-   tile by tile; only pairs whose estimate can reach t leave the block. So no link is lost, and pairs inside a component are
-   never made.
+4. Members of a list that are still in different components are compared with each other; the pivot, which has met them all, is not.
+   Near copies share many lists and so their pivot: the lists of one pivot are gone through together, and a member's sketch
+   travels to a pivot once. That goes on in blocks of a bounded size, tile by tile; only pairs whose estimate can reach t leave
+   the block. So no link is lost, and pairs inside a component are never made.
 
-Pairs are verified in a stream: a task holds one class's set and lets the sets of its partners pass by; a class with many partners
-is dealt out over many tasks. `NearDup.exact` keeps whole sets in the place of sketches: then nothing is left to chance.
+Classes are numbered when they are written, and go by that number from then on. Pairs are verified in a stream: a task holds one
+class's set and lets the sets of its partners pass by; a class with many partners is dealt out over many tasks. `NearDup.exact` keeps whole sets in the place of sketches: then nothing is left to chance.
 """
 
 from __future__ import annotations
@@ -86,8 +87,8 @@ def sketches(df: DataFrame, how: NearDup, *, id_col: str = "doc_id", text_col: s
 ID_BITS = 1 << 25
 
 
-def _id_filter(wanted: DataFrame) -> bytes:
-    """A bit for the hash of each `rep`, packed. A dozen parts come to the driver, whatever the size."""
+def _id_filter(wanted: DataFrame, col: str = "rep") -> bytes:
+    """A bit for the hash of each `col`, packed. A dozen parts come to the driver, whatever the size."""
     import numpy as np
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,24 +98,28 @@ def _id_filter(wanted: DataFrame) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
     out = np.zeros(ID_BITS // 8, np.uint8)
-    for row in wanted.select(F.xxhash64("rep").alias("h")).coalesce(12).mapInArrow(mark, "bits binary").toLocalIterator():
+    for row in wanted.select(F.xxhash64(col).alias("h")).coalesce(12).mapInArrow(mark, "bits binary").toLocalIterator():
         out |= np.frombuffer(row.bits, np.uint8)
     return out.tobytes()
 
 
-def full_sets(df: DataFrame, how: NearDup, wanted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(cls, set) of the classes in `wanted` (rep, cls), from the texts of their representatives. Texts don't travel: a filter of ids leaves out most rows where
-    the texts are, and the exact join meets sets."""
+def _marked(h, bits):
+    """Which of the hashes `h` have their bit in an `_id_filter`."""
+    import numpy as np
+
+    h = h & (ID_BITS - 1)
+    return pa.array((np.frombuffer(bits, np.uint8)[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1)
+
+
+def full_sets(df: DataFrame, how: NearDup, wanted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", named: str = "cls") -> DataFrame:
+    """(cls, set) of the classes in `wanted` (rep, cls), from the texts of their representatives; `named` is the column of `wanted` by which classes go afterwards.
+    Texts don't travel: a filter of ids leaves out most rows where the texts are, and the exact join meets sets."""
     texts = df.select(F.col(id_col).alias("rep"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
     bits = df.sparkSession.sparkContext.broadcast(_id_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        marked = np.frombuffer(bits.value, np.uint8)
         for b in batches:
-            h = b.column(1).to_numpy() & (ID_BITS - 1)
-            b = b.filter(pa.array((marked[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1))
+            b = b.filter(_marked(b.column(1).to_numpy(), bits.value))
             for i in range(0, b.num_rows, 512):
                 sets = shingle_sets(b.column(2).slice(i, 512).to_pylist(), how.width)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
@@ -122,22 +127,43 @@ def full_sets(df: DataFrame, how: NearDup, wanted: DataFrame, *, id_col: str = "
 
     made = texts.mapInArrow(run, f"rep {texts.dtypes[0][1]}, cls string, set array<long>")
     # A repeated id may bring the same set twice.
-    return made.join(wanted.select("rep", "cls").distinct(), ["rep", "cls"], "left_semi").dropDuplicates(["rep", "cls"]).select("cls", "set")
+    return made.join(wanted.select(*dict.fromkeys(["rep", "cls", named])).distinct(), ["rep", "cls"]).dropDuplicates(["rep", "cls"]).select(F.col(named).alias("cls"), "set")
+
+
+def _some(sets: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of `sets` whose class is in one of the `columns` of `wanted`, and a few others: what nothing meets doesn't go through a shuffle."""
+    ids = wanted.select(F.explode(F.array(*columns)).alias("cls"))
+    bits = sets.sparkSession.sparkContext.broadcast(_id_filter(ids, "cls"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                yield part.select(part.schema.names[:-1]).filter(_marked(part.column(part.num_columns - 1).to_numpy(), bits.value))
+
+    return sets.withColumn("_h", F.xxhash64("cls")).mapInArrow(run, ", ".join(f"{k} {t}" for k, t in sets.dtypes))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """(cls, digest, n, rep, copies, low) of each class in `rows` with an id and words, written: number, digest and size of the set, smallest id, rows, sketch."""
+    classes = rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("cls").alias("digest"))
+    classes = classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("low").alias("low"), F.count("*").alias("copies"))
+    return materialise(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
 
 def inverted_lists(classes: DataFrame, how: NearDup) -> DataFrame:
-    """(value, cls, n, rep, weight, size): the members of each list of two or more, its size, and how common a member's values are."""
-    held = classes.select("cls", "n", "rep", F.size("low").alias("held"), F.explode("low").alias("value"))
-    many = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    common = held.join(many, "value")
-    own = common.groupBy("cls", "n", "rep", "held").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("seen"))
+    """(value, cls, n, size, pivot, pivot_n): the members of each list of two or more, its size, and the member whose values are the commonest."""
+    each = classes.select("cls", "n", F.explode("low").alias("value"))
+    many = each.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    own = each.join(many, "value").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("seen"))
+    held = F.least(F.col("n"), F.lit(how.k))
     need = F.when(F.col("n") <= how.k, F.least(F.floor((F.col("n") * how.percent + 99) / 100), F.lit(how.shared))).otherwise(how.shared)
     # The values that no other class holds are the rarest; what they leave of the prefix goes to the rarest others.
-    rest = (F.col("held") - need + 1 - (F.col("held") - F.size("seen"))).cast("int")
-    weight = (F.aggregate("seen", F.lit(0).cast("long"), lambda a, x: a + x["df"]) / F.col("held")).alias("weight")
-    kept = own.where(rest > 0).select("cls", "n", "rep", weight, F.explode(F.slice("seen", F.lit(1), rest)).alias("s"), F.transform(F.slice("seen", F.lit(1), rest), lambda s: s["value"]).alias("prefix")).select(F.col("s.value").alias("value"), "cls", "n", "rep", "weight", "prefix")
+    rest = (held - need + 1 - (held - F.size("seen"))).cast("int")
+    weight = (F.aggregate("seen", F.lit(0).cast("long"), lambda a, x: a + x["df"]) / held).alias("weight")
+    kept = own.where(rest > 0).select("cls", "n", weight, F.explode(F.slice("seen", F.lit(1), rest)).alias("s")).select(F.col("s.value").alias("value"), "cls", "n", "weight")
     sizes = kept.groupBy("value").agg(F.count("*").alias("size"), F.max(F.struct("weight", "cls", "n")).alias("top")).where("size > 1")
-    return kept.join(sizes.select("value", "size", F.col("top.cls").alias("pivot"), F.col("top.n").alias("pivot_n")), "value")
+    return kept.drop("weight").join(sizes.select("value", "size", F.col("top.cls").alias("pivot"), F.col("top.n").alias("pivot_n")), "value")
 
 
 def _size_fits(a: Column, b: Column, how: NearDup) -> Column:
@@ -199,7 +225,7 @@ def _beside(pairs: DataFrame, values: DataFrame, how: NearDup, judge, out: str)
     salted = pairs.select("a", "b", "size", salt.alias("salt"))
     partners = salted.join(values.select(F.col("cls").alias("b"), "n", "set"), "b").select("a", "salt", "b", "size", "n", "set")
     heads = salted.select("a", "salt").distinct().join(values.select(F.col("cls").alias("a"), "n", "set"), "a")
-    heads = heads.select("a", "salt", F.lit(None).cast("string").alias("b"), F.lit(None).cast("long").alias("size"), "n", "set")
+    heads = heads.select("a", "salt", F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("size"), "n", "set")
     dealt = heads.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,46 +254,46 @@ def _beside(pairs: DataFrame, values: DataFrame, how: NearDup, judge, out: str)
                     found += [(key[0], b[i + x], size[i + x], bool(sure[x])) for x in np.flatnonzero(ok)]
                     i = z
             cols = list(zip(*found, strict=True)) if found else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "size", "sure"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "size", "sure"])
 
-    return materialise(dealt.mapInArrow(check, "a string, b string, size long, sure boolean"), out)
+    return materialise(dealt.mapInArrow(check, "a long, b long, size long, sure boolean"), out)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, how: NearDup, *, estimated: bool = False) -> DataFrame:
-    """Pairs (a, b) of `pairs` (a, b, size) whose exact Jaccard on full sets reaches the threshold. First sketches alone travel (unless the pairs are
-    `estimated` already), and settle what is clear; full sets travel for what is left."""
+def confirm(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
+    """Pairs (a, b) of `pairs` (a, b, size) whose exact Jaccard on full sets reaches the threshold. First sketches alone travel, and settle what is clear (unless the
+    pairs are estimated already and say whether they are `sure`); full sets travel for what is left."""
     import numpy as np
 
     k = how.estimate_k
-    once = materialise(pairs.groupBy("a", "b").agg(F.max("size").alias("size")), "pairs")
+    estimated = "sure" in pairs.columns
+    once = materialise(pairs.groupBy("a", "b").agg(F.max("size").alias("size"), *[F.max(c).alias(c) for c in pairs.columns[3:]]), "pairs")
     sized = sets.select("cls", F.size("set").cast("long").alias("n"), "set")
-    sure = None
+    met = once
     if not estimated:
         low = sized.withColumn("set", F.slice("set", 1, k))
         met = _beside(once, low, how, lambda head, n_head, flat, at, n: likely(head, n_head, flat, at, n, how), "likely")
-        sure, once = met.where("sure"), met.where("NOT sure")
-    found = _beside(once, sized, how, lambda head, n_head, flat, at, n: (similar(head, flat, at, how), np.ones(len(n), bool)), "similar")
-    return (found if sure is None else found.unionByName(sure)).select("a", "b")
+    sure, left = met.where("sure"), met.where("NOT sure")
+    found = _beside(left, _some(sized, left, ["a", "b"]), how, lambda head, n_head, flat, at, n: (similar(head, flat, at, how), np.ones(len(n), bool)), "similar")
+    return found.select("a", "b").unionByName(sure.select("a", "b"))
 
 
 @dataclass
 class Members:
-    """Some members of a list: class, component, set size, prefix values, and sketches (`cut`: the set has more values)."""
+    """Some members of a pivot's lists: class, component, set size, and sketches (`cut`: the set has more values)."""
 
-    cls: list[str]
-    label: list[str]
+    cls: list[int]
+    label: list[int]
     n: object
-    prefix: list[frozenset]
     low: list
     cut: object
 
     def part(self, at) -> Members:
-        return Members([self.cls[i] for i in at], [self.label[i] for i in at], self.n[at], [self.prefix[i] for i in at], [self.low[i] for i in at], self.cut[at])
+        return Members([self.cls[i] for i in at], [self.label[i] for i in at], self.n[at], [self.low[i] for i in at], self.cut[at])
 
 
-def tile_pairs(value: int, x: Members, y: Members, how: NearDup):
-    """Pairs of a member of `x` and one of `y` in different components whose union-sketch estimate can reach the threshold, and whose
-    smallest common prefix value is this list's, so that each pair leaves one list only. Memory goes with the product of the two numbers of members."""
+def tile_pairs(x: Members, y: Members, how: NearDup):
+    """Pairs (a, b, sure) of a member of `x` and one of `y` in different components whose union-sketch estimate can reach the threshold; sure where both
+    sketches are whole sets. Memory goes with the product of the two numbers of members."""
     import numpy as np
 
     top = np.iinfo(np.int64).max
@@ -289,32 +315,41 @@ def tile_pairs(value: int, x: Members, y: Members, how: NearDup):
     in_y = np.stack([np.searchsorted(v, np.minimum(last[0], e), side="right") for v, e in zip(y.low, last[1], strict=True)]).T
     union = in_x + in_y - inter
     small, large = np.minimum(x.n[:, None], y.n[None, :]), np.maximum(x.n[:, None], y.n[None, :])
-    ok = (inter >= (how.percent / 100 - _room(union, small + large, how)) * union) & (small * 100 >= large * how.percent)
+    whole = ~x.cut[:, None] & ~y.cut[None, :]
+    exact = inter.astype(np.int64) * 100 >= union.astype(np.int64) * how.percent
+    ok = np.where(whole, exact, inter >= (how.percent / 100 - _room(union, small + large, how)) * union) & (small * 100 >= large * how.percent)
     ok &= np.array(x.label)[:, None] != np.array(y.label)[None, :]
     out = set()
     for i, j in zip(*np.nonzero(ok), strict=True):
-        common = x.prefix[i] & y.prefix[j]
-        if common and min(common) == value:
-            out.add((x.cls[i], y.cls[j]) if x.cls[i] < y.cls[j] else (y.cls[j], x.cls[i]))
+        out.add((min(x.cls[i], y.cls[j]), max(x.cls[i], y.cls[j]), bool(whole[i, j])))
     return out
 
 
-def _open_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
-    """Candidates (a, b, size of the list) among members of one list that are in different components."""
-    named = lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+def open_members(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(pivot, cls, label, n, size): the members of each pivot's lists that hold several components, once for each pivot and without it, and how many
+    they are. A pivot has met all members of its lists already, so a list of two has nothing left."""
+    named = lists.where("cls <> pivot").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     mixed = named.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
+    met = named.join(mixed, "value", "left_semi").select("pivot", "cls", "label", "n").distinct()
+    return met.join(met.groupBy("pivot").agg(F.count("*").alias("size")), "pivot")
+
+
+def _open_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
+    """Candidates (a, b, size of the group, sure) among members of one pivot's lists that are in different components, more than those that
+    share a list; a pair may leave several groups."""
     blocks = F.ceil(F.col("size") / how.block).cast("int")
     mine = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     # Each pair of blocks is a task of its own; a member goes to those its block takes part in.
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    dealt = named.join(mixed, "value", "left_semi").withColumn("mine", mine).withColumn("other", other)
-    dealt = dealt.select("value", "cls", "label", "n", "prefix", "size", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
-    low = sets.select("cls", F.slice("set", 1, how.estimate_k).alias("low"), (F.size("set") > how.estimate_k).alias("cut"))
+    members = materialise(open_members(lists, labels), "open")
+    dealt = members.withColumn("mine", mine).withColumn("other", other)
+    dealt = dealt.select("pivot", "cls", "label", "n", "size", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+    low = _some(sets.select("cls", F.slice("set", 1, how.estimate_k).alias("low"), (F.size("set") > how.estimate_k).alias("cut")), members, ["cls"])
 
     def compare(t: pa.Table) -> pa.Table:
         import numpy as np
 
-        value, p, q, size = (t.column(c)[0].as_py() for c in ("value", "p", "q", "size"))
+        p, q, size = (t.column(c)[0].as_py() for c in ("p", "q", "size"))
         mine = t.column("mine").to_numpy()
 
         def arrays(name):
@@ -322,16 +357,15 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, sets: DataFrame, how: NearD
             at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
-        prefix = [frozenset(x.tolist()) for x in arrays("prefix")]
-        whole = Members(t.column("cls").to_pylist(), t.column("label").to_pylist(), t.column("n").to_numpy(), prefix, arrays("low"), t.column("cut").to_numpy(zero_copy_only=False))
+        whole = Members(t.column("cls").to_pylist(), t.column("label").to_pylist(), t.column("n").to_numpy(), arrays("low"), t.column("cut").to_numpy(zero_copy_only=False))
         found = set()
         left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
         for i in range(0, len(left), how.tile):
             for j in range(0 if p != q else i, len(right), how.tile):
-                found |= tile_pairs(value, whole.part(left[i : i + how.tile]), whole.part(right[j : j + how.tile]), how)
-        return pa.table([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), pa.array([size] * len(found), pa.int64())], names=["a", "b", "size"])
+                found |= tile_pairs(whole.part(left[i : i + how.tile]), whole.part(right[j : j + how.tile]), how)
+        return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([size] * len(found), pa.int64()), pa.array([x[2] for x in found], pa.bool_())], names=["a", "b", "size", "sure"])
 
-    return dealt.join(low, "cls").groupBy("value", "p", "q").applyInArrow(compare, "a string, b string, size long")
+    return dealt.join(low, "cls").groupBy("pivot", "p", "q").applyInArrow(compare, "a long, b long, size long, sure boolean")
 
 
 def near_duplicates(df: DataFrame, how: NearDup = NearDup(), *, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
@@ -344,23 +378,22 @@ def near_duplicates(df: DataFrame, how: NearDup = NearDup(), *, id_col: str = "d
     """
     kind = df.schema[id_col].dataType.simpleString()
     rows = materialise(sketches(df, how, id_col=id_col, text_col=text_col, extra=extra), "sketches")
-    classes = rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("low").alias("low"))
+    classes = numbered(rows)
     lists = materialise(inverted_lists(classes, how), "lists")
-    members = lists.select("rep", "cls").distinct()
-    sets = materialise(full_sets(df, how, members, id_col=id_col, text_col=text_col), "sets")
+    members = materialise(classes.select("rep", F.col("digest").alias("cls"), F.col("cls").alias("number")).join(lists.select(F.col("cls").alias("number")), "number", "left_semi"), "members")
+    sets = materialise(full_sets(df, how, members, id_col=id_col, text_col=text_col, named="number"), "sets")
 
     star = lists.where((F.col("cls") != F.col("pivot")) & _size_fits(F.col("n"), F.col("pivot_n"), how))
     # A pivot is the greatest of its list in one order of all classes, so a pair never turns round.
     star = star.select(F.col("pivot").alias("a"), F.col("cls").alias("b"), "size")
     links = materialise(confirm(star, sets, how), "links")
     labels = components(links)
-    more = confirm(_open_pairs(lists, labels, sets, how), sets, how, estimated=True)
+    more = confirm(_open_pairs(lists, labels, sets, how), sets, how)
     labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
-    least = labels.join(members, labels.node == members.cls).groupBy("label").agg(F.min("rep").alias("component_id"))
+    least = labels.join(members, labels.node == members.number).groupBy("label").agg(F.min("rep").alias("component_id"))
     found = labels.join(least, "label").select(F.col("node").alias("cls"), "component_id")
-    many = rows.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    reps = materialise(many.join(found, "cls", "left").select("cls", "copies", F.coalesce("component_id", "rep").cast(kind).alias("component_id")), "classes")
+    reps = materialise(classes.join(found, "cls", "left").select(F.col("digest").alias("cls"), "copies", F.coalesce("component_id", "rep").cast(kind).alias("component_id")), "components")
     more = list(extra or {})
     out = rows.select("doc_id", "n_shingles", "cls", *more)
     grouped = join_hot(out.where("cls IS NOT NULL AND doc_id IS NOT NULL"), reps, "cls", "copies")
