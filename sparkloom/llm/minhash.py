@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import drop_rows, join_hot, materialise
+from sparkloom.llm.common import id_filter, is_named, join_hot, marked, materialise, parted
 from sparkloom.llm.components import components
 from sparkloom.llm.shingles import shingle_sets
 
@@ -83,43 +83,15 @@ def sketches(df: DataFrame, how: NearDup, *, id_col: str = "doc_id", text_col: s
     return slim.mapInArrow(run, schema)
 
 
-#: Bits of the filter of representatives' ids, whatever their number.
-ID_BITS = 1 << 25
-
-
-def _id_filter(wanted: DataFrame, col: str = "rep") -> bytes:
-    """A bit for the hash of each `col`, packed. A dozen parts come to the driver, whatever the size."""
-    import numpy as np
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(ID_BITS, bool)
-        for b in batches:
-            bits[b.column(0).to_numpy() & (ID_BITS - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
-
-    out = np.zeros(ID_BITS // 8, np.uint8)
-    for row in wanted.select(F.xxhash64(col).alias("h")).coalesce(12).mapInArrow(mark, "bits binary").toLocalIterator():
-        out |= np.frombuffer(row.bits, np.uint8)
-    return out.tobytes()
-
-
-def _marked(h, bits):
-    """Which of the hashes `h` have their bit in an `_id_filter`."""
-    import numpy as np
-
-    h = h & (ID_BITS - 1)
-    return pa.array((np.frombuffer(bits, np.uint8)[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1)
-
-
 def full_sets(df: DataFrame, how: NearDup, wanted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", named: str = "cls") -> DataFrame:
     """(cls, set) of the classes in `wanted` (rep, cls), from the texts of their representatives; `named` is the column of `wanted` by which classes go afterwards.
     Texts don't travel: a filter of ids leaves out most rows where the texts are, and the exact join meets sets."""
     texts = df.select(F.col(id_col).alias("rep"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
-    bits = df.sparkSession.sparkContext.broadcast(_id_filter(wanted))
+    bits = df.sparkSession.sparkContext.broadcast(id_filter(wanted, "rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(_marked(b.column(1).to_numpy(), bits.value))
+            b = b.filter(pa.array(marked(b.column(1).to_numpy(), bits.value)))
             for i in range(0, b.num_rows, 512):
                 sets = shingle_sets(b.column(2).slice(i, 512).to_pylist(), how.width)
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
@@ -133,13 +105,13 @@ def full_sets(df: DataFrame, how: NearDup, wanted: DataFrame, *, id_col: str = "
 def _some(sets: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of `sets` whose class is in one of the `columns` of `wanted`, and a few others: what nothing meets doesn't go through a shuffle."""
     ids = wanted.select(F.explode(F.array(*columns)).alias("cls"))
-    bits = sets.sparkSession.sparkContext.broadcast(_id_filter(ids, "cls"))
+    bits = sets.sparkSession.sparkContext.broadcast(id_filter(ids, "cls"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
-                yield part.select(part.schema.names[:-1]).filter(_marked(part.column(part.num_columns - 1).to_numpy(), bits.value))
+                yield part.select(part.schema.names[:-1]).filter(pa.array(marked(part.column(part.num_columns - 1).to_numpy(), bits.value)))
 
     return sets.withColumn("_h", F.xxhash64("cls")).mapInArrow(run, ", ".join(f"{k} {t}" for k, t in sets.dtypes))
 
@@ -413,9 +385,11 @@ def drop_near_duplicates(df: DataFrame, how: NearDup = NearDup(), *, id_col: str
     kept = judged.where("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy("component_id").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("rows")).where("rows > 1")
     other = judged.where("kept").join(kept.select("component_id", "first"), "component_id").where("row <> first")
     gone = judged.where("NOT kept").select("doc_id", "row").unionByName(other.select("doc_id", "row")).distinct().select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
-    left = drop_rows(df, materialise(gone, "near-duplicates"), id_col, text_col)
+    gone = materialise(gone, "near-duplicates")
     # Equal rows meet only where a group has several rows of the smallest id.
     again = materialise(kept.select(F.col("component_id").alias("_id"), F.col("first").alias("_row")), "repeated")
-    named = F.col(id_col).eqNullSafe(F.col("_id")) & (row == F.col("_row"))
+    apart, perhaps = parted(df, gone.unionByName(again), id_col, text_col)
+    named = is_named(id_col, text_col)
+    left = perhaps.join(gone, named, "left_anti")
     once = left.join(again, named, "left_semi").withColumn("_row", row).dropDuplicates([id_col, "_row"]).drop("_row")
-    return left.join(again, named, "left_anti").unionByName(once)
+    return apart.unionByName(left.join(again, named, "left_anti")).unionByName(once)

@@ -13,10 +13,11 @@ import public_tokenizers as PT
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe_codec, chat_tree, decontam, langid, minhash, piece_count, secret_scan, topk, toxicity, warc
-from sparkloom.llm.common import running_total
+from sparkloom.llm.common import drop_rows, materialise, running_total
 from sparkloom.llm.components import components
 from sparkloom.llm.shingles import shingle_sets
 
@@ -418,6 +419,45 @@ def test_one_row_of_each_group_stays(spark):
     assert minhash.drop_near_duplicates(d.limit(0)).count() == 0
 
 
+def texts_sent(frame):
+    """How many rows with a text the plan of `frame`, which has run, has sent through shuffles."""
+    seen, left = 0, [frame._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            left.append(node.plan())
+        else:
+            if kind == "ShuffleExchangeExec" and any(node.output().apply(i).name() == "text" for i in range(node.output().size())):
+                seen += node.metrics().apply("shuffleRecordsWritten").value()
+            left += [node.children().apply(i) for i in range(node.children().size())]
+    return seen
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    """Also when the dropped rows are too many to broadcast; and the rows are the same."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(5000)], k=40)), "s") for i in range(2000)]
+    rows += [(2000 + i, rows[i][1], "copy") for i in range(50)] + [rows[7], rows[7], (None, rows[9][1], "s"), (None, None, "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    usual = sorted(minhash.drop_near_duplicates(d).collect(), key=str)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = materialise(d, "texts")
+        left = minhash.drop_near_duplicates(d)
+        got = sorted(left.collect(), key=str)
+        fewer = drop_rows(d, materialise(d.where("doc_id >= 2000 OR doc_id IS NULL").select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_row")), "gone"), "doc_id", "text")
+        assert fewer.count() == 2002
+        fewer.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == usual == sorted([Row(doc_id=i, text=t, source=s) for i, t, s in [*rows[:2000], *rows[-2:]]], key=str)
+    assert texts_sent(left) < 400 and texts_sent(fewer) < 200
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(empty_docs(spark)).count() == 0
 
