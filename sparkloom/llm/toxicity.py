@@ -20,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,13 @@ def _spread(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.arange(len(owner)) + (start - (np.cumsum(n) - n))[owner], owner
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges one after the other, of `n` from `start`."""
+    out = np.repeat(start - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
+    return out
+
+
 class Index:
     """Block-max inverted index over unit vectors. `origin` says which vector each row is. A term's list is cut into runs, one for each block that
     it is in, with the run's greatest weight; lists that hold more than one in `full` of all rows are kept unpacked, a cell for each row."""
@@ -85,6 +93,7 @@ class Index:
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (row[1:] // block != row[:-1] // block)])[: len(row)])
         self.row, self.weight = row, weight
         self.run_start = np.append(new, len(row))
+        self.run_size = np.diff(self.run_start)
         self.run_block = row[new] // block
         self.run_most = np.maximum.reduceat(weight, new) if len(new) else np.zeros(0)
         self.term_start = np.searchsorted(term[new], np.arange(n_terms + 1))
@@ -94,9 +103,11 @@ class Index:
         cell = self.unpacked[terms]
         often = cell >= 0
         cell, cell_weight, terms, weights = cell[often], weights[often], terms[~often], weights[~often]
-        run, owner = _spread(self.term_start[terms], self.term_start[terms + 1])
-        weight, block = weights[owner], self.run_block[run]
-        bound = cell_weight @ self.cells_most[cell] + np.bincount(block, weights=weight * self.run_most[run], minlength=self.n_blocks)
+        first = self.term_start.take(terms)
+        runs = self.term_start.take(terms + 1) - first
+        run, weight = _ranges(first, runs), np.repeat(weights, runs)
+        block, start, size = self.run_block.take(run), self.run_start.take(run), self.run_size.take(run)
+        bound = cell_weight @ self.cells_most[cell] + np.bincount(block, weights=weight * self.run_most.take(run), minlength=self.n_blocks)
         wave = np.zeros(self.n_blocks, bool)
         wave[np.argsort(-bound, kind="stable")[: self.first]] = True
         done, score, floor = np.zeros(self.n_blocks, bool), np.zeros((self.n_blocks, self.block)), 0.0
@@ -105,16 +116,18 @@ class Index:
             if not wave.any():
                 break
             which = np.flatnonzero(wave)
-            here = np.flatnonzero(wave[block])
-            posting, of = _spread(self.run_start[run[here]], self.run_start[run[here] + 1])
-            score += np.bincount(self.row[posting], weights=self.weight[posting] * weight[here][of], minlength=score.size).reshape(score.shape)
+            here = np.flatnonzero(wave.take(block))
+            n = size.take(here)
+            posting = _ranges(start.take(here), n)
+            score += np.bincount(self.row.take(posting), weights=self.weight.take(posting) * np.repeat(weight.take(here), n), minlength=score.size).reshape(score.shape)
             score[which] += np.tensordot(cell_weight, self.cells[cell[:, None], which], 1)
             done |= wave
             flat = score.reshape(-1)
             if skip >= 0:
                 flat[skip] = 0
             if len(flat) > k:
-                floor = np.partition(flat, len(flat) - k)[len(flat) - k]
+                seen = flat if done.all() else score[done].reshape(-1)
+                floor = np.partition(seen, len(seen) - k)[len(seen) - k] if len(seen) > k else 0.0
             wave = bound >= floor - 1e-9
         flat = score.reshape(-1)
         rows = np.flatnonzero(flat >= max(floor - 1e-9, 1e-300))
@@ -186,7 +199,7 @@ class Model:
         """Known terms of a text and how often they stand in it."""
         counts = Counter(WORD.findall((text or "").lower()))
         find, head = self.vocabulary.get, self.heads.get
-        words = np.fromiter((find(w, -1) for w in counts), int, len(counts))
+        words = np.fromiter(map(find, counts, repeat(-1)), int, len(counts))
         times = np.fromiter(counts.values(), float, len(counts))
         strange = np.flatnonzero(words < 0)
         named = list(counts)
@@ -331,15 +344,19 @@ def classify(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic = model.index.labels.astype("int32") if model.index else np.zeros(0, "int32")
         for b in batches:
-            id_type = b.schema.field(0).type
-            near = pa.list_(pa.struct([("doc_id", id_type), ("toxic", pa.int32()), ("cosine", pa.float64())]))
-            scores, evidence = [], []
+            ids = pa.array(model.ids, b.schema.field(0).type)
+            scores, rows, sims = [], [np.zeros(0, int)], [np.zeros(0)]
             for text in b.column(1).to_pylist():
-                s, (rows, sims) = model.score(text)
+                s, (r, c) = model.score(text)
                 scores.append(s)
-                evidence.append([{"doc_id": model.ids[r], "toxic": int(model.index.labels[r]), "cosine": float(c)} for r, c in zip(rows, sims, strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= model.settings.threshold) for s in scores], pa.int32()), pa.array(evidence, near)], names=["doc_id", "score", "predicted", "evidence"])
+                rows.append(r)
+                sims.append(c)
+            at, flat = np.cumsum([len(r) for r in rows]), np.concatenate(rows)
+            near = pa.StructArray.from_arrays([ids.take(pa.array(flat)), pa.array(toxic[flat]), pa.array(np.concatenate(sims))], names=["doc_id", "toxic", "cosine"])
+            evidence = pa.ListArray.from_arrays(pa.array(at, pa.int32()), near)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= model.settings.threshold) for s in scores], pa.int32()), evidence], names=["doc_id", "score", "predicted", "evidence"])
 
     return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int, evidence array<struct<doc_id:{kind},toxic:int,cosine:double>>")
 

@@ -224,6 +224,18 @@ def test_toxicity_with_ids_of_any_type_and_repeated_ids(spark):
     assert np.mean([r.predicted == (int(r.doc_id[1:]) % 5 == 0) for r in got]) > 0.98
 
 
+def test_ranges_and_evidence_without_neighbours(spark):
+    start, n = np.array([5, 0, 9, 2]), np.array([2, 0, 1, 3])
+    assert toxicity._ranges(start, n).tolist() == toxicity._spread(start, start + n)[0].tolist() == [5, 6, 9, 2, 3, 4]
+    assert toxicity._ranges(start[:0], n[:0]).tolist() == []
+    # Batches with and without neighbours, and a model without an index, whose ids are text.
+    d = spark.createDataFrame([(str(i), t) for i, t in enumerate(["bad nasty word", "fine kind word", "", None, "zzz"] * 3)], "doc_id string, text string").coalesce(1)
+    labels = spark.createDataFrame([(str(i), int(i % 5 == 0)) for i in range(15) if i % 5 < 2], "doc_id string, toxic int")
+    for marks, held in ((labels, {0, 1}), (labels.limit(0), set())):
+        for r in toxicity.classify(d, toxicity.fit(d, marks)).collect():
+            assert bool(r.evidence) == (int(r.doc_id) % 5 in held) and all(int(e.doc_id) % 5 == 1 - e.toxic for e in r.evidence)
+
+
 def test_toxicity_without_examples(spark):
     docs, labels = toxic_tables(spark, 20)
     m = toxicity.fit(docs, labels.where("toxic = 0"))
