@@ -268,6 +268,33 @@ def test_nearest_are_exact(seed):
     assert [(-round(s, 12), r) for r, s in zip(rows.tolist(), sims, strict=True)] == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=40) | st.text(st.characters(max_codepoint=255), max_size=40))
+def test_words_by_table_are_those_of_the_pattern(s):
+    assert toxicity.words_of(s) == toxicity.WORD.findall(s.lower())
+
+
+def test_words_of_every_character_of_latin_1():
+    for c in map(chr, range(256)):
+        assert toxicity.words_of(f"A{c}b {c}") == toxicity.WORD.findall(f"A{c}b {c}".lower()), c
+    assert toxicity.words_of(None) == toxicity.words_of("") == []
+
+
+def test_unpacked_lists_are_read_once_for_many_texts_and_scores_ignore_company(spark, monkeypatch):
+    docs, labels = toxic_tables(spark, 300)
+    m = toxicity.fit(docs, labels)
+    texts = [r.text for r in docs.orderBy("doc_id").collect()] + [None, "", "zzz", "vile", "w1 w1 w2 — w3"]
+    alone = [m.score(t) for t in texts]
+    sizes, whole = [], toxicity.Index.unpacked_scores
+    monkeypatch.setattr(toxicity.Index, "unpacked_scores", lambda self, vectors: (sizes.append(len(vectors)), whole(self, vectors))[1])
+    for order in (range(len(texts)), range(len(texts) - 1, -1, -1)):
+        sizes.clear()
+        got = list(m.scores(texts[i] for i in order))
+        assert sizes == [toxicity.AT_ONCE] * (len(texts) // toxicity.AT_ONCE) + [len(texts) % toxicity.AT_ONCE]
+        for i, (score, (rows, sims)) in zip(order, got, strict=True):
+            assert (score, rows.tolist(), sims.tolist()) == (alone[i][0], alone[i][1][0].tolist(), alone[i][1][1].tolist())
+
+
 # --- 4
 
 
